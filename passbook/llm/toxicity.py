@@ -170,6 +170,19 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame
     return rows.mapInArrow(scores, "doc_id long, score double, predicted int")
 
 
+def keep(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (with a column text) whose score is below ``threshold``, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = WordBuckets()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([shared.value.score(t, buckets) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def training_fold(table: DataFrame) -> DataFrame:
     return table.where(fold("doc_id", 4) != 2)
 
