@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, rankquality, tokens, toxicity, warc
+from . import (
+    langid,
+    minhash,
+    mixing,
+    packing,
+    qualityrules,
+    rankquality,
+    tokens,
+    toxicity,
+    vectorjoin,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
+    "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_quality_rules": qualityrules.op7_quality_rules,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_quality_classifier": rankquality.op9_quality_classifier,
+    "op10_embedding_dedup": vectorjoin.op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE_OP1}

@@ -217,5 +217,3 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
 
-
-ORACLE_OP10 = None
