@@ -11,11 +11,11 @@
    the remaining, more frequent lists are never merged; their collisions are counted
    by comparing the two signatures.  A passage that many texts share sits at the end of
    the order and is skipped, unless a text holds little else.
-4. A list of the merge gives links to its least and its greatest member first; each
-   candidate pair is confirmed on the full sets of both texts.  Where the links so far
-   leave a list in several components, the pairs across components are compared block
-   by block and the candidates among them confirmed too.  Pairs inside one component
-   cannot change the result and are not formed.
+4. A list of the merge first pairs its least and its greatest member with all others;
+   each such candidate is confirmed on the full sets of both texts.  Where these links
+   leave a list in several components, the pairs across components are counted block by
+   block inside tasks, and the candidates among them confirmed there on full sets.
+   Pairs inside one component cannot change the result and are not formed.
 5. Connected components by minima give each text the least id reachable.
 
 Defined results.  Null or empty text, or no word: empty set, linked with nothing, its
@@ -41,7 +41,7 @@ from .common import connected_components, cut, mix64, need, shuffle_partitions
 
 MEMO = 300_000
 #: Members of a list that one task compares with as many others.
-BLOCK = 2000
+BLOCK = 1000
 
 
 class WordHashes(dict):
@@ -109,7 +109,10 @@ def shingle_sets(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
-    """``(token, id)``: each class under the tokens of its prefix that others share too."""
+    """``(token, id, prefix)``: each class under the tokens of its prefix that others share too.
+
+    A token is the coordinate (above bit 32) and the value; prefix has the bits of the prefix's coordinates.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coordinate = np.arange(coordinates, dtype=np.uint64) << np.uint64(32)
@@ -126,7 +129,10 @@ def postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
         "id", F.struct(F.coalesce("length", F.lit(1)).alias("length"), "token").alias("x"))
     prefix = coordinates - threshold + 1
     rarest = ordered.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("x")), 1, prefix).alias("x"))
-    return rarest.select("id", F.explode("x").alias("x")).where("x.length > 1").select("x.token", "id")
+    bits = F.aggregate("x", F.lit(0).cast("long"), lambda b, x: b + F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.shiftright(x["token"], 32).cast("int")))
+    return rarest.select("id", F.explode("x").alias("x"), bits.alias("prefix")).where("x.length > 1").select(
+        "x.token", "id", "prefix")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, threshold: int,
@@ -165,36 +171,107 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
         compare, "a long, b long")
 
 
-def across(lists: DataFrame, classes: DataFrame, component: DataFrame, threshold: int, coordinates: int) -> DataFrame:
-    """Candidate pairs (a, b) of lists that still hold several components, none within a component."""
+def collisions(sig: np.ndarray, mask: np.ndarray, part: np.ndarray, size: np.ndarray, row: int, among: np.ndarray,
+               coordinate: int, threshold: int, percent: int) -> np.ndarray:
+    """Those of ``among`` that are candidates for ``row``, in another component, and first meet in this list."""
+    equal = sig[among] == sig[row]
+    shared = equal & mask[among] & mask[row]
+    fits = 100 * np.minimum(size[among], size[row]) >= percent * np.maximum(size[among], size[row])
+    return among[(part[among] != part[row]) & fits & (equal.sum(1) >= threshold) & (shared.argmax(1) == coordinate)]
+
+
+def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, component: DataFrame, size: int, percent: int,
+           threshold: int, coordinates: int) -> DataFrame:
+    """Edges (src, dst) between components: confirmed links of lists that still hold several components.
+
+    First the signatures alone tell which members have a candidate in another component;
+    only those return with their full sets.  Each pair is looked at in one list, that of the
+    least coordinate they share among their prefixes.  No pair leaves a task: it returns
+    an edge from each linked class to the least it is linked with in the task, directly or not.
+    """
+    spark = docs.sparkSession
+    n = max(8, shuffle_partitions(spark))
     named = lists.join(component, lists["id"] == component["node"], "left").select(
-        "token", "id", F.coalesce("component", "id").alias("part"))
-    open_lists = named.groupBy("token").agg(
-        F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo < hi").select(
-        F.col("token").alias("t"), F.ceil(F.col("length") / BLOCK).cast("int").alias("blocks"))
-    rest = cut(named.join(open_lists, named["token"] == open_lists["t"]).select("token", "id", "part", "blocks"))
-    sigs = classes.select(F.col("id").alias("c_id"), "sig")
-    dealt = rest.join(sigs, rest["id"] == sigs["c_id"]).withColumn(
-        "own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(
-        "token", "id", "part", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "token", "id", "part", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        "token", "id", "prefix", F.coalesce("component", "id").alias("part"))
+    tokens_open = named.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select(
+        F.col("token").alias("t"))
+    sigs = classes.select(F.col("id").alias("c_id"), "sig", "n_shingles")
+    members = cut(named.join(tokens_open, named["token"] == tokens_open["t"], "left_semi").join(
+        sigs, F.col("id") == F.col("c_id")).select("token", "id", "part", "prefix", "sig", "n_shingles"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Every member under all pairs of blocks (i, j) of its list that hold its own."""
+        blocks = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("token", "t")
+        own = rows.join(blocks, rows["token"] == blocks["t"]).withColumn(
+            "own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return spread.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition(
+            n, "token", "i", "j").groupBy("token", "i", "j")
+
+    def found(pdf: pd.DataFrame):
+        """(row, candidates) of one pair of blocks."""
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, coordinates)
-        ids, part, own = (pdf[c].to_numpy() for c in ("id", "part", "own"))
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = [np.zeros((0, 2), np.int64)]
-        for r in rows:
-            near = columns[(part[columns] != part[r]) & ((sig[columns] == sig[r]).sum(1) >= threshold)]
-            near = near[ids[near] > ids[r]] if i == j else near
+        mask = (pdf["prefix"].to_numpy()[:, None] >> np.arange(coordinates)) & 1 == 1
+        part, own, count = (pdf[c].to_numpy() for c in ("part", "own", "n_shingles"))
+        i, j, coordinate = pdf["i"].iloc[0], pdf["j"].iloc[0], int(pdf["token"].iloc[0]) >> 32
+        columns = np.flatnonzero(own == j)
+        for r in np.flatnonzero(own == i):
+            near = collisions(sig, mask, part, count, r, columns[columns > r] if i == j else columns, coordinate, threshold, percent)
             if len(near):
-                found.append(np.stack([np.full(len(near), ids[r]), ids[near]], 1))
-        pairs = np.concatenate(found)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
+                yield r, near
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        has = np.zeros(len(pdf), bool)
+        for r, near in found(pdf):
+            has[r] = True
+            has[near] = True
+        return pdf.loc[has, ["token", "id"]]
 
-    n = max(8, shuffle_partitions(classes.sparkSession))
-    return dealt.repartition(n, "token", "i", "j").groupBy("token", "i", "j").applyInPandas(block, "a long, b long").distinct()
+    some = cut(dealt(members).applyInPandas(candidates, "token long, id long").distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([shingles(t, size, hashes).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
+                ["s_id", "shingles"])
+
+    ids = some.select(F.col("id").alias("w_id")).distinct()
+    texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    full = texts.join(ids, texts["doc_id"] == ids["w_id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
+        sets, "s_id long, shingles binary")
+    chosen = some.select(F.col("token").alias("o_token"), F.col("id").alias("o_id"))
+    again = members.join(chosen, (members["token"] == chosen["o_token"]) & (members["id"] == chosen["o_id"]), "left_semi")
+    with_sets = again.join(full, again["id"] == full["s_id"]).drop("s_id")
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        lengths = pdf["shingles"].map(len).to_numpy() // 8
+        starts = np.cumsum(lengths) - lengths
+        flat = np.unique(np.frombuffer(b"".join(pdf["shingles"]), np.uint64), return_inverse=True)[1]
+        flag = np.zeros(int(flat.max()) + 1, bool)
+        least = np.arange(len(ids))
+
+        def root(x: int) -> int:
+            while least[x] != x:
+                least[x] = least[least[x]]
+                x = least[x]
+            return x
+
+        for r, near in found(pdf):
+            own = flat[starts[r]:starts[r] + lengths[r]]
+            flag[own] = True
+            for c in near:
+                if (a := root(r)) != (b := root(c)):
+                    both = int(flag[flat[starts[c]:starts[c] + lengths[c]]].sum())
+                    if 100 * both >= percent * (lengths[r] + lengths[c] - both):
+                        least[max(a, b)] = min(a, b)
+            flag[own] = False
+        top = np.array([root(x) for x in range(len(ids))])
+        moved = np.flatnonzero(top != np.arange(len(ids)))
+        return pd.DataFrame({"src": ids[moved], "dst": ids[top[moved]]})
+
+    return dealt(with_sets).applyInPandas(confirm, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
@@ -210,16 +287,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
         F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")),
                           F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("x")).select(
         "x.a", "x.b").where("a < b").distinct()
-    links = cut(confirmed(hubs, classes, docs, size, percent, threshold, coordinates))
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    component = cut(connected_components(edges))
-    rest = across(lists, classes, component, threshold, coordinates)
-    tried = hubs.select("a", "b")
-    more = cut(confirmed(cut(rest.join(tried, ["a", "b"], "left_anti")), classes, docs, size, percent, threshold, coordinates))
+    links = confirmed(hubs, classes, docs, size, percent, threshold, coordinates)
+    component = cut(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    more = cut(across(lists, classes, docs, component, size, percent, threshold, coordinates))
     if not more.isEmpty():
-        edges = more.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(
-            component.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-        component = cut(connected_components(edges))
+        component = cut(connected_components(more.union(
+            component.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
     ids = classes.select("class", "id").join(component, F.col("id") == F.col("node"), "left").select(
         F.col("class").alias("c"), F.coalesce("component", "id").alias("of_class"))
     return rows.join(ids, rows["class"] == ids["c"], "left").select(
