@@ -1,10 +1,396 @@
-"""All queries by name, and the SQL that must give the same rows."""
+"""All queries of the ledger engine by name; each applies one operator to the fixture tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from passbook.functions import lexicon, privacy, text
+from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence
+from passbook.oracles import END, NOW, ORACLES, START
+from passbook.plans import pipeline
+from passbook.plans.query import TransactionQuery
+from passbook.sources import adapters, store
+from passbook.sources.rules import REGRESSION, Bundle, BundleStore
+from passbook.streaming import telemetry
+
+__all__ = ["ORACLES", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _of(f: Callable[[DataFrame], DataFrame], source: Query, name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(source(spark, sf_dir))
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+def _pick(values, index) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), index.cast("int"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+# dashboards
+
+
+def _period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    excluded = corrections.excluded_ids(adapters.corrections(spark, sf_dir))
+    return dashboard.with_role(dashboard.in_period(adapters.tx_orders(spark, sf_dir), START, END), excluded)
+
+
+for _name, _f in (("dash_scalars", dashboard.scalars), ("dash_by_category", dashboard.by_category), ("dash_by_month", dashboard.by_month),
+                  ("dash_by_merchant", dashboard.by_merchant), ("dash_grouping_sets", dashboard.facets)):
+    _of(lambda tx, f=_f: f(tx, "INR"), _period, _name)
+_of(lambda tx: dashboard.recent(tx.select("tx_id", "ts_ms", "amount_minor", "role"), 10), _period, "dash_recent_topk")
+
+
+@query
+def dash_exclude_suspected(spark, sf_dir):
+    tx = dashboard.with_role(adapters.tx_orders(spark, sf_dir), exclude_suspected=True)
+    return tx.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("total_minor"))
+
+
+# transaction queries
+
+
+@query
+def tx_query_filters(spark, sf_dir):
+    q = TransactionQuery(START, END, direction="DEBIT", payment_method="CARD", limit=100)
+    return q.run(adapters.tx_orders(spark, sf_dir)).select("tx_id", "ts_ms", "amount_minor", "direction", "payment_method")
+
+
+@query
+def tx_search_like(spark, sf_dir):
+    return TransactionQuery(search="#0000_01").run(adapters.tx_orders(spark, sf_dir)).select("tx_id", "merchant_display")
+
+
+@query
+def tx_merchant_drill(spark, sf_dir):
+    return TransactionQuery(start_ms=START, merchant_key="customer#000000010").run(adapters.tx_orders(spark, sf_dir)).select(
+        "tx_id", "ts_ms", "amount_minor")
+
+
+@query
+def tx_point_lookups(spark, sf_dir):
+    wanted = _events(spark, sf_dir).select((F.col("event_id") * 7).alias("tx_id"))
+    return adapters.tx_orders(spark, sf_dir).join(wanted, "tx_id", "left_semi").select("tx_id", "amount_minor", "currency")
+
+
+# messages
+
+
+def _page(spark, sf_dir):
+    return messages.keyset_page(adapters.messages(spark, sf_dir), 1_704_100_000_000, 1_706_000_000_000, 100, 100)
+
+
+_of(lambda p: p.select("source_message_id", "sender"), _page, "msg_keyset_page")
+_of(lambda p: messages.page_state(p, 100), _page, "msg_page_state")
+
+
+@query
+def msg_malformed(spark, sf_dir):
+    m = adapters.messages(spark, sf_dir)
+    n = F.col("source_message_id")
+    raw = m.select(n, F.when(n % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "sender")).alias("sender"),
+                   F.when(n % 6 == 0, -1).otherwise(F.col("received_ms")).alias("received_ms"),
+                   F.when(n % 7 == 0, "").otherwise(F.col("body")).alias("body"))
+    return messages.mapped(raw).select("source_message_id", "sender", "received_ms")
+
+
+def _filtered(spark, sf_dir):
+    return messages.filtered(adapters.messages(spark, sf_dir), REGRESSION)
+
+
+def _accepted(spark, sf_dir):
+    return _filtered(spark, sf_dir).where("reject_reason is null").drop("reject_reason")
+
+
+_of(lambda m: m.select("source_message_id", "reject_reason"), _filtered, "msg_filter")
+_of(lambda m: m.select("source_message_id", messages.sender_known(F.col("sender"), REGRESSION.senders()).alias("sender_known")),
+    adapters.messages, "msg_sender_match")
+_of(lambda m: messages.extractions(m, REGRESSION).select(
+    "source_message_id", "rule_id", "institution", "direction", "amount_minor", "currency", "merchant", "reference_hash", "ts_ms"),
+    _accepted, "msg_extract")
+_of(lambda m: messages.extractions(m, REGRESSION).select(
+    "source_message_id", "rule_id", F.round("confidence", 6).alias("confidence")), _accepted, "msg_confidence")
+_of(lambda m: messages.outcomes(m, REGRESSION).select(
+    "source_message_id", "parse_status", "parse_reason", F.when(F.col("parse_status") == "SUCCESS", F.col("rule_id")).alias("rule_id")),
+    _accepted, "msg_outcome")
+_of(lambda m: m.select("source_message_id", text.payment_method(F.col("body")).alias("payment_method")), adapters.messages, "msg_payment_method")
+_of(lambda m: m.select("source_message_id", messages.source_hash().alias("source_hash")), adapters.messages, "msg_source_hash")
+_of(lambda m: pipeline.counters(m, REGRESSION), adapters.messages, "scan_counters")
+
+
+@query
+def scan_pipeline(spark, sf_dir):
+    """The whole scan over synthesised messages; no single SQL statement stands for it."""
+    return pipeline.scan(adapters.messages(spark, sf_dir), REGRESSION, adapters.corrections(spark, sf_dir)).select(
+        "seq", "source_hash", "fingerprint", "amount_minor", "direction", "merchant_key", "category_id", "role",
+        "duplicate_status", "possible_duplicate_of")
+
+
+# scalar functions
+
+
+@query
+def amount_parse(spark, sf_dir):
+    n = F.col("event_id")
+    raw = F.concat(_pick((" 1,234.5", "12", "7.05 ", "1.234", "abc", "", "99999999999999999999", "1 000.10"), n % 8 + 1),
+                   F.when(n % 8 == 1, n.cast("string")).otherwise(""))
+    return _events(spark, sf_dir).select(n, text.amount_minor(raw).alias("amount_minor"))
+
+
+@query
+def currency_parse(spark, sf_dir):
+    raw = _pick((" rs. ", "₹", "Rupees", "inr5", "usd", "U.S.D", "12", ""), F.col("event_id") % 8 + 1)
+    return _events(spark, sf_dir).select("event_id", text.currency_code(raw).alias("currency"))
+
+
+@query
+def date_parse(spark, sf_dir):
+    t = F.col("ts").cast("timestamp")
+    forms = [F.date_format(t, "dd-MM-yyyy"), F.date_format(t, "dd/MM/yyyy HH:mm"), F.date_format(t, "dd/MM/yy"),
+             F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("31-02-2026"), F.lit("32-01-2026"), F.lit("2026-02-31"), F.date_format(t, "yyyy-MM-dd")]
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", text.date_millis(raw).alias("millis"))
+
+
+@query
+def version_order(spark, sf_dir):
+    n, u = F.col("event_id"), F.col("user_id")
+    a = F.concat(F.lit("bundled-2026."), (n % 12).cast("string"), F.lit("."), (u % 3).cast("string"))
+    b = F.when(n % 5 == 0, "next").otherwise(F.concat(F.lit("2026."), (n % 7).cast("string")))
+    return _events(spark, sf_dir).select(n, text.version_compare(a, b).alias("ordering"))
+
+
+# classification
+
+
+def _merchants(spark, sf_dir):
+    n = F.col("event_id")
+    raws = [F.concat(F.lit("  PAYTM*"), "event_type", F.lit(" ")), F.lit("www.Swiggy"), F.lit("AMZN"), F.lit("coffee@oksbi"), F.lit("@@ !!"), F.lit("  "),
+            F.lit("City   Cafe"), F.lit("my account"), F.concat(F.lit("Airtel-"), F.col("user_id").cast("string")), F.lit("GPay/ Uber  ")]
+    e = _events(spark, sf_dir).select(
+        n, F.element_at(F.array(*raws), (n % 10 + 1).cast("int")).alias("raw"),
+        F.when(n % 3 == 0, _pick(lexicon.DIRECTIONS, n % 5 + 1)).otherwise("DEBIT").alias("direction"),
+        _pick(adapters.METHODS, n % 7 + 1).alias("payment_method")).withColumn("m", classify.merchant_struct(F.col("raw")))
+    e = e.select("event_id", "direction", "payment_method", F.col("m.key").alias("merchant_key"), F.col("m.display").alias("merchant_display"),
+                 F.col("m.raw_normalized").alias("merchant_raw"))
+    e = e.withColumn("words", classify.haystack(F.col("merchant_key"), F.col("merchant_display"), F.col("merchant_raw")))
+    return e.withColumn("transfer_status", classify.transfer_status(F.col("direction"), F.col("words")))
+
+
+def _category() -> F.Column:
+    return classify.category(*[F.col(c) for c in ("direction", "payment_method", "transfer_status", "merchant_key", "words")])
+
+
+_of(lambda m: m.select("event_id", "merchant_key", "merchant_display", "merchant_raw"), _merchants, "merchant_normalize")
+_of(lambda m: m.select("event_id", "transfer_status", classify.spending_role(F.col("direction"), F.col("transfer_status")).alias("role")).select(
+    "*", *[c.alias(k) for k, c in classify.inclusion_flags(F.col("role")).items()]), _merchants, "semantics_role")
+_of(lambda m: m.select("event_id", _category().alias("category_id")), _merchants, "categorise")
+
+
+@query
+def merchant_resolve(spark, sf_dir):
+    m = _merchants(spark, sf_dir).where("merchant_key is not null")
+    shown = F.concat("merchant_display", F.lit(" ("), F.col("event_id").cast("string"), F.lit(")"))
+    latest = m.where("event_id % 2 = 0").groupBy(F.col("merchant_key").alias("k")).agg(F.max_by(shown, "event_id").alias("stored"))
+    return m.join(latest, m["merchant_key"] == latest["k"], "left").select("event_id", F.coalesce("stored", "merchant_display").alias("display"))
+
+
+@query
+def future_rule_overlay(spark, sf_dir):
+    tx, rules = adapters.tx_orders(spark, sf_dir), classify.future_rules(adapters.corrections(spark, sf_dir))
+    return tx.join(rules, tx["merchant_key"] == rules["merchant_match_key"]).select(
+        "tx_id", F.coalesce("rule_direction", "direction").alias("direction"), "rule_category",
+        F.coalesce("rule_merchant", "merchant_display").alias("merchant_display"))
+
+
+@query
+def category_seed_join(spark, sf_dir):
+    counts = _merchants(spark, sf_dir).groupBy(_category().alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    seed = store.seed_categories(spark)
+    return seed.join(counts, seed["category_id"] == counts["c"], "left").select("category_id", "name", "sort_order", F.coalesce("k", F.lit(0)).alias("n"))
+
+
+@query
+def category_seed_insert(spark, sf_dir):
+    stored = spark.createDataFrame([("other", 99)], "category_id string, sort_order int")
+    return store.inserted_or_ignored(stored, store.seed_categories(spark).select("category_id", "sort_order"), "category_id")
+
+
+# duplicates
+
+
+def _fingerprinted(spark, sf_dir):
+    return adapters.tx_events(spark, sf_dir).withColumn("fingerprint", dedupe.fingerprint())
+
+
+_of(lambda t: t.select("seq", "fingerprint"), _fingerprinted, "fingerprint")
+_of(lambda t: dedupe.first_of_each(t).select("seq", "ts_ms"), _fingerprinted, "dedupe_exact")
+_of(lambda t: dedupe.first_by_window(t).select("seq", "place"), _fingerprinted, "dedupe_rank")
+_of(lambda t: dedupe.near_matches(dedupe.first_of_each(t)), _fingerprinted, "dedupe_near")
+_of(lambda t: dedupe.decide(t).select("seq", "decision", "points_to"), adapters.tx_events, "dedupe_decision")
+_of(lambda t: dedupe.unstored(t.where("seq % 3 <> 0"), t.where("seq % 3 = 0")).select("seq"), _fingerprinted, "dedupe_unstored")
+
+
+@query
+def duplicate_pointer_join(spark, sf_dir):
+    kept = dedupe.first_of_each(_fingerprinted(spark, sf_dir))
+    near = dedupe.near_matches(kept)
+    target = kept.select(F.col("seq").alias("t_seq"), F.col("ts_ms").alias("near_ts_ms"))
+    return near.join(target, near["near_seq"] == target["t_seq"]).select("seq", "near_seq", "near_ts_ms")
+
+
+# recurrence
+
+
+def _payments(spark, sf_dir):
+    e = adapters.tx_events(spark, sf_dir).where("seq % 3 = 0").select(
+        F.col("seq").alias("tx_id"), "merchant_key", F.col("merchant_key").alias("merchant_display"), "ts_ms", "amount_minor", "currency")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    return e.unionByName(o.select(
+        F.col("o_orderkey").alias("tx_id"), key.alias("merchant_key"), key.alias("merchant_display"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), (F.col("o_orderkey") % 3 * 100 + 9900).cast("bigint").alias("amount_minor"),
+        F.lit("INR").alias("currency")))
+
+
+def _subscriptions(spark, sf_dir):
+    return recurrence.detect(_payments(spark, sf_dir), NOW)
+
+
+_of(lambda p: recurrence.intervals(p).select("tx_id", "merchant_key", F.round("interval_days", 9).alias("interval_days")), _payments, "recur_intervals")
+_of(lambda s: s.select("merchant_key", "frequency", "estimated_amount_minor", "currency", "last_payment_ms", "estimated_next_ms",
+                       F.round("confidence", 9).alias("confidence"), "status", F.size("evidence_ids").cast("bigint").alias("n_evidence")),
+    _subscriptions, "recur_detect")
+_of(lambda s: dashboard.subscription_totals(s, "INR"), _subscriptions, "sub_totals")
+_of(lambda s: dashboard.suspected(s).select("merchant_key", "status", F.round("confidence", 9).alias("confidence"), F.col("n_evidence").cast("bigint").alias("n_evidence")),
+    _subscriptions, "sub_list")
+_of(lambda s: s.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("merchant_key").alias("first_key")), _subscriptions, "status_partition")
+
+
+@query
+def recur_merge(spark, sf_dir):
+    found = _subscriptions(spark, sf_dir)
+    first, n = F.element_at("evidence_ids", 1), F.size("evidence_ids")
+    stored = found.where(first % 5 != 0).select(
+        F.col("merchant_key").alias("subscription_id"), "merchant_key", F.lit(1).alias("updated_at"),
+        _pick(("DISMISSED", "CONFIRMED", "SUSPECTED", "POSSIBLY_INACTIVE"), n % 4 + 1).alias("status"),
+        F.when(first % 2 == 0, F.col("evidence_ids")).otherwise(F.slice("evidence_ids", 2, n)).alias("evidence_ids"))
+    return recurrence.merge(found, stored).select("merchant_key", "status", "is_new")
+
+
+@query
+def sub_evidence(spark, sf_dir):
+    e = _subscriptions(spark, sf_dir).select("merchant_key", F.explode("evidence_ids").alias("tx_id"))
+    return e.join(_payments(spark, sf_dir), ["merchant_key", "tx_id"]).select("merchant_key", "tx_id", "amount_minor")
+
+
+# corrections and stores
+
+
+@query
+def corrections_materialise(spark, sf_dir):
+    return corrections.apply(adapters.tx_orders(spark, sf_dir), adapters.corrections(spark, sf_dir)).select(
+        "tx_id", "merchant_key", "merchant_display", "category_id", "direction", "duplicate_status", "transfer_status", "is_user_confirmed")
+
+
+_of(corrections.excluded_ids, adapters.corrections, "exclusion_join")
+
+
+@query
+def upsert_fingerprint(spark, sf_dir):
+    tx = adapters.tx_orders(spark, sf_dir).select("tx_id", "ts_ms", "amount_minor")
+    incoming = tx.where("tx_id % 3 = 0").select("tx_id", (F.col("ts_ms") + 1).alias("ts_ms"), (F.col("amount_minor") + 100).alias("amount_minor"))
+    return store.upserted(tx.where("tx_id % 2 = 0"), incoming, "tx_id", kept=("tx_id", "ts_ms"))
+
+
+@query
+def activate_bundle(spark, sf_dir):
+    bundles = BundleStore()
+    for n in range(40):
+        v = str(n)
+        bundles.bundles[v] = Bundle(v, "", "", ("ACTIVE", "INSTALLED", "ROLLBACK", "INVALID")[n % 4] if n == 0 or n % 4 else "INSTALLED")
+    bundles.bundles["11"] = Bundle("11", "", "")
+    bundles.activate("11")
+    return spark.createDataFrame([(b.parser_version, b.status) for b in bundles.bundles.values()], "version string, status string")
+
+
+@query
+def support_idempotency(spark, sf_dir):
+    return store.support_outcome(_events(spark, sf_dir).select(
+        F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("idempotency_key"), (F.col("event_id") % 2).cast("string").alias("payload")))
+
+
+@query
+def latest_completed(spark, sf_dir):
+    return _events(spark, sf_dir).where("event_type = 'purchase'").agg(
+        F.max_by("event_id", "ts").alias("scan_id"), F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("completed_ms"))
+
+
+@query
+def status_lookups(spark, sf_dir):
+    e = _events(spark, sf_dir).where(F.col("event_type").isin("click", "view"))
+    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id")
+    return e.withColumn("place", F.row_number().over(w)).where("place = 1").select("event_type", "event_id")
+
+
+@query
+def cached_recent_ids(spark, sf_dir):
+    cached = spark.createDataFrame([([5, 3, 999999999, 8, 1],)], "ids array<long>").select(F.posexplode("ids").alias("pos", "id"))
+    tx = adapters.tx_orders(spark, sf_dir)
+    return tx.join(F.broadcast(cached), tx["tx_id"] == cached["id"]).select("pos", "tx_id", "amount_minor")
+
+
+# privacy, telemetry
+
+
+@query
+def privacy_scan(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", privacy.looks_secret(F.col("text")).alias("looks_secret"))
+
+
+_of(lambda m: m.select("source_message_id", privacy.looks_secret(F.col("body")).alias("looks_secret")), adapters.messages, "privacy_messages")
+
+
+@query
+def prohibited_keys(spark, sf_dir):
+    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"a": [1, {"b": {"Sms_Body": '), "props", F.lit("}}]}"))).otherwise(F.col("props"))
+    return _events(spark, sf_dir).select("event_id", privacy.prohibited_key(body).alias("key"))
+
+
+@query
+def telemetry_validate(spark, sf_dir):
+    n = F.col("event_id")
+    e = _events(spark, sf_dir).select(
+        n.alias("n"), F.when(n % 10 == 3, "not-a-uuid").otherwise(F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(n.cast("string"), 12, "0"))).alias("event_id"),
+        _pick((*lexicon.TELEMETRY_EVENT_TYPES, "other"), n % 8 + 1).alias("event_type"),
+        F.when(n % 3 == 0, _pick((*lexicon.DURATION_BUCKETS, "LONG"), n % 8 + 1)).alias("duration_bucket"), F.lit(None).cast("string").alias("count_bucket"))
+    return e.select("n", telemetry.event_error().alias("error_code"))
+
+
+def _twice(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", "ts", "event_type", F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("app_version"))
+    return e.union(e.withColumn("ts", F.expr("ts + interval 1 hour")))
+
+
+_of(telemetry.daily_counts, _twice, "telemetry_dedupe_daily")
+_of(lambda e: e.groupBy("event_type", "event_id").agg(F.count(F.lit(1)).alias("c")).groupBy("event_type").agg(
+    F.sum("c").alias("received"), F.count(F.lit(1)).alias("accepted")).withColumn("duplicates", F.col("received") - F.col("accepted")),
+    _twice, "telemetry_accepted")
+_of(lambda e: telemetry.alive(e, 1_707_500_000_000).select("event_id"), _events, "ttl_alive")
