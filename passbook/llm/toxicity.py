@@ -15,7 +15,7 @@ Scoring streams over all rows: whole texts, word by word, no shuffle.
 
 Defined results: null or empty text scores like a text without known words; labels of
 null toxicity or null id teach nothing; rows that repeat an id are used as often as
-they occur.  Without any positive row, every score is the prior, or 0 without labels.
+they occur.  Without any positive row, every score is the prior (about 0 without labels).
 """
 
 from __future__ import annotations
