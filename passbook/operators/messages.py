@@ -74,6 +74,7 @@ def extractions(messages: DataFrame, rules: Rules) -> DataFrame:
     """
     body, sender = F.col("body"), F.col("sender")
     known = sender_known(sender, rules.senders())
+    none = F.lit(None).cast("string")
     found, number = [], 0
     for i in rules.institutions:
         own = sender_known(sender, i.senders)
@@ -82,7 +83,7 @@ def extractions(messages: DataFrame, rules: Rules) -> DataFrame:
 
             def part(group: str | None, p=p) -> Column:
                 n = p.index(group)
-                return F.lit(None).cast("string") if n is None else text.present(F.regexp_extract(body, "(?is)" + p.regex, n))
+                return none if n is None else text.present(F.regexp_extract(body, "(?is)" + p.regex, n))
 
             def record(x: Column) -> Column:
                 confidence = F.lit(0.50)
@@ -98,13 +99,14 @@ def extractions(messages: DataFrame, rules: Rules) -> DataFrame:
 
             parts = F.struct(
                 text.amount_minor(part(p.amount_group)).alias("amount"), part(p.merchant_group).alias("merchant"),
-                part(p.reference_group).alias("reference"), text.currency_code(part(p.currency_group)).alias("currency"),
-                text.date_millis(part(p.date_group)).alias("date"))
+                part(p.reference_group).alias("reference"),
+                (text.currency_code(part(p.currency_group)) if p.currency_group else none).alias("currency"),
+                (text.date_millis(part(p.date_group)) if p.date_group else none.cast("bigint")).alias("date"))
             # the pattern is searched for once before its groups are taken
             found.append(F.when((own | ~known) & body.rlike("(?is)" + p.regex), text.let(parts, record)))
-    rows = messages.select("source_message_id", "sender", "received_ms", "body", F.explode(F.filter(
-        F.array(*found), lambda x: x.isNotNull())).alias("x"))
-    return rows.select("source_message_id", "sender", "received_ms", "body", "x.*")
+    # outer, so that no filter repeats the array below the generator
+    rows = messages.select("source_message_id", "sender", "received_ms", "body", F.explode_outer(F.array(*found)).alias("x"))
+    return rows.where("x is not null").select("source_message_id", "sender", "received_ms", "body", "x.*")
 
 
 def distinct_extractions(found: DataFrame) -> DataFrame:
