@@ -69,12 +69,17 @@ def shingles(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
 
 def signature(shingle_set: np.ndarray, coordinates: int) -> np.ndarray:
     """The least value of each of ``coordinates`` hash functions over the set."""
-    out = np.empty(coordinates, np.uint64)
-    for k in range(coordinates):
-        odd = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF) | np.uint64(1)
-        x = shingle_set * odd
-        out[k] = (x ^ (x >> np.uint64(32))).min() if k % 2 == 0 else ((x ^ (x >> np.uint64(29))) * odd).min()
-    return out
+    seeds = mix64(np.arange(1, coordinates + 1, dtype=np.uint64))
+    odd = mix64(seeds) | np.uint64(1)
+    step = max(1, (1 << 18) // len(shingle_set))
+    out = []
+    for k in range(0, coordinates, step):
+        x = (shingle_set ^ seeds[k:k + step, None]) * odd[k:k + step, None]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        out.append(x.min(1))
+    return np.concatenate(out)
 
 
 def match_threshold(coordinates: int, similarity: float, miss: float = 1e-6) -> int:
@@ -171,13 +176,57 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
         compare, "a long, b long")
 
 
-def collisions(sig: np.ndarray, mask: np.ndarray, part: np.ndarray, size: np.ndarray, row: int, among: np.ndarray,
-               coordinate: int, threshold: int, percent: int) -> np.ndarray:
-    """Those of ``among`` that are candidates for ``row``, in another component, and first meet in this list."""
-    equal = sig[among] == sig[row]
-    shared = equal & mask[among] & mask[row]
-    fits = 100 * np.minimum(size[among], size[row]) >= percent * np.maximum(size[among], size[row])
-    return among[(part[among] != part[row]) & fits & (equal.sum(1) >= threshold) & (shared.argmax(1) == coordinate)]
+#: Lists of at most so many members are compared many at a time.
+SMALL = 64
+PAIRS = 1 << 17
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames that hold only whole groups of a partition that is sorted by ``keys``."""
+    held = None
+    for pdf in frames:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        last = np.logical_and.reduce([pdf[k].to_numpy() == pdf[k].iloc[-1] for k in keys])
+        first = int(last.argmax())
+        if first:
+            yield pdf.iloc[:first].reset_index(drop=True)
+        held = pdf.iloc[first:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def group_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (r, c), r before c, within each group of rows, in arrays of about ``PAIRS``."""
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        x, y = np.triu_indices(size, 1)
+        own = starts[sizes == size]
+        step = max(1, PAIRS // len(x))
+        for k in range(0, len(own), step):
+            yield (own[k:k + step, None] + x).reshape(-1), (own[k:k + step, None] + y).reshape(-1)
+    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        step = max(1, PAIRS // size)
+        for k in range(0, size, step):
+            r = np.repeat(np.arange(k, min(k + step, size)), size)
+            c = np.tile(np.arange(size), len(r) // size)
+            later = c > r
+            yield start + r[later], start + c[later]
+
+
+def candidate_pairs(pdf: pd.DataFrame, coordinates: int, threshold: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one list and pair of blocks that are candidates, lie in different components and first meet there."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, coordinates)
+    mask = (pdf["prefix"].to_numpy()[:, None] >> np.arange(coordinates)) & 1 == 1
+    token, i, j, part, own, count = (pdf[c].to_numpy() for c in ("token", "i", "j", "part", "own", "n_shingles"))
+    new = np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    starts = np.flatnonzero(new)
+    for r, c in group_pairs(starts, np.diff(np.r_[starts, len(pdf)])):
+        fits = (part[r] != part[c]) & ((i[r] == j[r]) | (own[r] != own[c]))
+        fits &= 100 * np.minimum(count[r], count[c]) >= percent * np.maximum(count[r], count[c])
+        r, c = r[fits], c[fits]
+        equal = sig[r] == sig[c]
+        fits = (equal.sum(1) >= threshold) & ((equal & mask[r] & mask[c]).argmax(1) == token[r] >> 32)
+        if fits.any():
+            yield r[fits], c[fits]
 
 
 def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, component: DataFrame, size: int, percent: int,
@@ -190,7 +239,7 @@ def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, component: Dat
     an edge from each linked class to the least it is linked with in the task, directly or not.
     """
     spark = docs.sparkSession
-    n = max(8, shuffle_partitions(spark))
+    n, keys = max(8, shuffle_partitions(spark)), ["token", "i", "j"]
     named = lists.join(component, lists["id"] == component["node"], "left").select(
         "token", "id", "prefix", F.coalesce("component", "id").alias("part"))
     tokens_open = named.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select(
@@ -206,28 +255,17 @@ def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, component: Dat
             "own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return spread.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition(
-            n, "token", "i", "j").groupBy("token", "i", "j")
-
-    def found(pdf: pd.DataFrame):
-        """(row, candidates) of one pair of blocks."""
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, coordinates)
-        mask = (pdf["prefix"].to_numpy()[:, None] >> np.arange(coordinates)) & 1 == 1
-        part, own, count = (pdf[c].to_numpy() for c in ("part", "own", "n_shingles"))
-        i, j, coordinate = pdf["i"].iloc[0], pdf["j"].iloc[0], int(pdf["token"].iloc[0]) >> 32
-        columns = np.flatnonzero(own == j)
-        for r in np.flatnonzero(own == i):
-            near = collisions(sig, mask, part, count, r, columns[columns > r] if i == j else columns, coordinate, threshold, percent)
-            if len(near):
-                yield r, near
-
-    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        has = np.zeros(len(pdf), bool)
-        for r, near in found(pdf):
-            has[r] = True
-            has[near] = True
-        return pdf.loc[has, ["token", "id"]]
-
-    some = cut(dealt(members).applyInPandas(candidates, "token long, id long").distinct())
+            n, *keys).sortWithinPartitions(*keys)
+
+    def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(frames, keys):
+            has = np.zeros(len(pdf), bool)
+            for r, c in candidate_pairs(pdf, coordinates, threshold, percent):
+                has[r] = True
+                has[c] = True
+            yield pdf.loc[has, ["token", "id"]]
+
+    some = cut(dealt(members).mapInPandas(candidates, "token long, id long").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -244,34 +282,31 @@ def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, component: Dat
     again = members.join(chosen, (members["token"] == chosen["o_token"]) & (members["id"] == chosen["o_id"]), "left_semi")
     with_sets = again.join(full, again["id"] == full["s_id"]).drop("s_id")
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        lengths = pdf["shingles"].map(len).to_numpy() // 8
-        starts = np.cumsum(lengths) - lengths
-        flat = np.unique(np.frombuffer(b"".join(pdf["shingles"]), np.uint64), return_inverse=True)[1]
-        flag = np.zeros(int(flat.max()) + 1, bool)
-        least = np.arange(len(ids))
-
-        def root(x: int) -> int:
-            while least[x] != x:
-                least[x] = least[least[x]]
-                x = least[x]
-            return x
-
-        for r, near in found(pdf):
-            own = flat[starts[r]:starts[r] + lengths[r]]
-            flag[own] = True
-            for c in near:
-                if (a := root(r)) != (b := root(c)):
-                    both = int(flag[flat[starts[c]:starts[c] + lengths[c]]].sum())
-                    if 100 * both >= percent * (lengths[r] + lengths[c] - both):
-                        least[max(a, b)] = min(a, b)
-            flag[own] = False
-        top = np.array([root(x) for x in range(len(ids))])
-        moved = np.flatnonzero(top != np.arange(len(ids)))
-        return pd.DataFrame({"src": ids[moved], "dst": ids[top[moved]]})
-
-    return dealt(with_sets).applyInPandas(confirm, "src long, dst long").distinct()
+    def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(frames, keys):
+            ids = pdf["id"].to_numpy()
+            full = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+            least = np.arange(len(ids))
+
+            def root(x: int, least=least) -> int:
+                while least[x] != x:
+                    least[x] = least[least[x]]
+                    x = least[x]
+                return x
+
+            for rows, columns in candidate_pairs(pdf, coordinates, threshold, percent):
+                for r, c in zip(rows.tolist(), columns.tolist(), strict=True):
+                    if (a := root(r)) != (b := root(c)):
+                        x, y = full[r], full[c]
+                        at = np.searchsorted(x, y)
+                        both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                        if 100 * both >= percent * (len(x) + len(y) - both):
+                            least[max(a, b)] = min(a, b)
+            top = np.array([root(x) for x in range(len(ids))], int)
+            moved = np.flatnonzero(top != np.arange(len(ids)))
+            yield pd.DataFrame({"src": ids[moved], "dst": ids[top[moved]]})
+
+    return dealt(with_sets).mapInPandas(confirm, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 32) -> DataFrame:
