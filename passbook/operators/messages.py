@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passbook.functions import lexicon, text
-from passbook.sources.rules import Rules
+from passbook.sources.rules import Institution, Pattern, Rules
 
 CONFIDENCE_MINIMUM = 0.60
 
@@ -72,41 +72,46 @@ def extractions(messages: DataFrame, rules: Rules) -> DataFrame:
     Rules of institutions whose sender pattern matches are tried, all if none does.  The
     rules are unrolled as literal patterns, which compile once per task.
     """
-    body, sender = F.col("body"), F.col("sender")
-    known = sender_known(sender, rules.senders())
     none = F.lit(None).cast("string")
-    found, number = [], 0
-    for i in rules.institutions:
-        own = sender_known(sender, i.senders)
-        for p in i.patterns:
-            number += 1
-
-            def part(group: str | None, p=p) -> Column:
-                n = p.index(group)
-                return none if n is None else text.present(F.regexp_extract(body, "(?is)" + p.regex, n))
-
-            def record(x: Column) -> Column:
-                confidence = F.lit(0.50)
-                for given, weight in ((own, 0.25), (x["merchant"].isNotNull(), 0.10), (x["reference"].isNotNull(), 0.08),
-                                      (x["currency"].isNotNull(), 0.04), (x["date"].isNotNull(), 0.03)):
-                    confidence = confidence + F.when(given, weight).otherwise(0.0)
-                return F.when(x["amount"].isNotNull(), F.struct(
-                    F.lit(number).alias("rule_seq"), F.lit(p.id).alias("rule_id"), F.lit(i.name).alias("institution"),
-                    own.alias("sender_known"), F.lit(p.direction).alias("direction"), x["amount"].alias("amount_minor"),
-                    F.coalesce(x["currency"], F.lit("INR")).alias("currency"), x["merchant"].alias("merchant"),
-                    F.when(x["reference"].isNotNull(), F.substring(F.sha2(x["reference"], 256), 1, 32)).alias("reference_hash"),
-                    F.coalesce(x["date"], F.col("received_ms")).alias("ts_ms"), F.least(F.lit(1.0), confidence).alias("confidence")))
-
-            parts = F.struct(
-                text.amount_minor(part(p.amount_group)).alias("amount"), part(p.merchant_group).alias("merchant"),
-                part(p.reference_group).alias("reference"),
-                (text.currency_code(part(p.currency_group)) if p.currency_group else none).alias("currency"),
-                (text.date_millis(part(p.date_group)) if p.date_group else none.cast("bigint")).alias("date"))
-            # the pattern is searched for once before its groups are taken
-            found.append(F.when((own | ~known) & body.rlike("(?is)" + p.regex), text.let(parts, record)))
+
+    def found(m: Column, own: Column, i: Institution, p: Pattern) -> Column:
+        """What a rule finds in the message m, or null."""
+
+        def part(group: str | None) -> Column:
+            n = p.index(group)
+            return none if n is None else text.present(F.regexp_extract(m["body"], "(?is)" + p.regex, n))
+
+        def record(x: Column) -> Column:
+            confidence = F.lit(0.50)
+            for given, weight in ((own, 0.25), (x["merchant"].isNotNull(), 0.10), (x["reference"].isNotNull(), 0.08),
+                                  (x["currency"].isNotNull(), 0.04), (x["date"].isNotNull(), 0.03)):
+                confidence = confidence + F.when(given, weight).otherwise(0.0)
+            return F.when(x["amount"].isNotNull(), F.struct(
+                F.lit(p.id).alias("rule_id"), F.lit(i.name).alias("institution"), own.alias("sender_known"),
+                F.lit(p.direction).alias("direction"), x["amount"].alias("amount_minor"),
+                F.coalesce(x["currency"], F.lit("INR")).alias("currency"), x["merchant"].alias("merchant"),
+                F.when(x["reference"].isNotNull(), F.substring(F.sha2(x["reference"], 256), 1, 32)).alias("reference_hash"),
+                x["date"].alias("date_ms"), F.least(F.lit(1.0), confidence).alias("confidence")))
+
+        parts = F.struct(
+            text.amount_minor(part(p.amount_group)).alias("amount"), part(p.merchant_group).alias("merchant"),
+            part(p.reference_group).alias("reference"),
+            (text.currency_code(part(p.currency_group)) if p.currency_group else none).alias("currency"),
+            (text.date_millis(part(p.date_group)) if p.date_group else none.cast("bigint")).alias("date"))
+        # the pattern is searched for once before its groups are taken
+        return F.when((own | ~m["known"]) & m["body"].rlike("(?is)" + p.regex), text.let(parts, record))
+
+    def tries(m: Column) -> Column:
+        return F.array(*[found(m, m[f"own_{k}"], i, p) for k, i in enumerate(rules.institutions) for p in i.patterns])
+
+    # bound once, so the rules are evaluated node by node: generated code for them all would be too large to be compiled
+    message = F.struct("body", sender_known(F.col("sender"), rules.senders()).alias("known"), *[
+        sender_known(F.col("sender"), i.senders).alias(f"own_{k}") for k, i in enumerate(rules.institutions)])
     # outer, so that no filter repeats the array below the generator
-    rows = messages.select("source_message_id", "sender", "received_ms", "body", F.explode_outer(F.array(*found)).alias("x"))
-    return rows.where("x is not null").select("source_message_id", "sender", "received_ms", "body", "x.*")
+    rows = messages.select("source_message_id", "sender", "received_ms", "body", F.posexplode_outer(
+        text.let(message, tries)).alias("rule_seq", "x"))
+    return rows.where("x is not null").select(
+        "source_message_id", "sender", "received_ms", "body", "rule_seq", "x.*", F.coalesce("x.date_ms", "received_ms").alias("ts_ms")).drop("date_ms")
 
 
 def distinct_extractions(found: DataFrame) -> DataFrame:

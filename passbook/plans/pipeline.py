@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passbook.operators import classify, dedupe, messages
+from passbook.session import checkpointed
 from passbook.sources.rules import Rules
 
 
@@ -13,6 +14,7 @@ def scan(batch: DataFrame, rules: Rules, corrections: DataFrame | None = None, s
     """New transactions of a batch of messages: filtered, parsed, classified, de-duplicated.
 
     ``stored`` needs source_hash and fingerprint.  A message id comes once per batch.
+    The de-duplicated rows are computed at once and checkpointed.
     """
     once = batch.dropDuplicates(["source_message_id", "sender", "received_ms"])
     overlay = classify.future_rules(corrections) if corrections is not None else None
@@ -20,7 +22,7 @@ def scan(batch: DataFrame, rules: Rules, corrections: DataFrame | None = None, s
     tx = tx.withColumn("fingerprint", dedupe.fingerprint())
     if stored is not None:
         tx = dedupe.unstored(tx, stored)
-    kept = dedupe.first_of_each(tx)
+    kept = checkpointed(dedupe.first_of_each(tx))  # the band join reads it three times
     near = dedupe.near_matches(kept).select(F.col("seq").alias("n_seq"), F.col("near_seq").alias("possible_duplicate_of"))
     return kept.join(near, kept["seq"] == near["n_seq"], "left").drop("n_seq").withColumn(
         "duplicate_status", F.when(F.col("possible_duplicate_of").isNotNull(), "SUSPECTED").otherwise("NONE"))

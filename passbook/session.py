@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -29,6 +29,17 @@ def session(app: str = "passbook", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, in the folder of ``spark.checkpoint.dir``.
+
+    Only where the session names none (local tests) a temporary folder is set.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="passbook-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, where PYTHONPATH or the working folder doesn't.
 
