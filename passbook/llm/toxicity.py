@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,9 @@ def word_sets(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["words"])
 
     chosen = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
-    return [np.array(x.as_py() or [], np.int64) for x in chosen.mapInArrow(sets, "words array<int>").toArrow()["words"]]
+    found = chosen.mapInArrow(sets, "words array<int>").toArrow()["words"]
+    # views of the Arrow buffers, so the sets are held once
+    return [part.values.to_numpy()[i:j] for part in found.chunks for i, j in pairwise(part.offsets.to_pylist())]
 
 
 def log_likelihood_ratio(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
@@ -110,14 +113,12 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         return np.concatenate(sets) if sets else np.zeros(0, np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
 
     (wp, rp), (wu, ru) = flat(positive), flat(unlabelled)
-    words, inv = np.unique(np.concatenate([wp, wu]), return_inverse=True)
-    cp = np.bincount(inv[:len(wp)], minlength=len(words)).astype(float)
-    cu = np.bincount(inv[len(wp):], minlength=len(words)).astype(float)
-    llr = log_likelihood_ratio(cp, len(positive), cu, len(unlabelled))
-    used = (llr >= min_llr) & (cp + cu >= 3)
-    column = np.where(used, np.cumsum(used) - 1, -1)
-    words = words[used]
-    ip, iu = column[inv[:len(wp)]], column[inv[len(wp):]]
+    cp, cu = (np.bincount(x, minlength=BUCKETS).astype(float) for x in (wp, wu))
+    words = np.flatnonzero(cp + cu >= 3)
+    words = words[log_likelihood_ratio(cp[words], len(positive), cu[words], len(unlabelled)) >= min_llr]
+    column = np.full(BUCKETS, -1, np.int32)
+    column[words] = np.arange(len(words))
+    ip, iu = column[wp], column[wu]
     rp, ip, ru, iu = rp[ip >= 0], ip[ip >= 0], ru[iu >= 0], iu[iu >= 0]
     w, b = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
