@@ -2,17 +2,19 @@
 
 A block is one row of a source.  With target weight w, block k of a source (from 0) is
 released at slot floor(k / w) and due by slot ceil((k + 1) / w); in every slot the
-released block with the earliest deadline goes (ties: the later next deadline last, then
-the source's number).  As the weights sum to 1 every block meets its window, so at any slot each
+released block with the earliest deadline goes (ties: by the source's number).  As the weights sum to 1 every block meets its window, so at any slot each
 source is less than one block off its share.
 
-Weights are rounded to multiples of 1 / ``period``, so the schedule repeats after
-``period`` slots, and one period is simulated: a table of ``period`` rows.  When a source
-runs out the phase ends and the rest is scheduled anew with their weights scaled to sum
-to 1; all rows are kept.  Phases and periods are bounded by the number of sources, which
-is checked against ``MAX_SOURCES``; a row's position follows from its rank within its
-source alone.  Ranks come from salted windows, so a source with a third of all rows is
-ranked by many tasks.
+Weights are taken as they are given, as the decimal numbers they are written as, so
+their shares are integers over a common total.  The schedule repeats after that many
+slots; one period is simulated, or, where a source runs out before its end, the slots up
+to there.  So no more slots are simulated than there are rows.  The driver simulates
+them in turn and writes them in chunks of ``CHUNK`` slots into the shared folder.  When
+a source runs out the phase ends and the rest is scheduled anew with their weights
+scaled to sum to 1; all rows are kept.  Phases are bounded by the number of sources,
+which is checked against ``MAX_SOURCES``; a row's position follows from its rank within
+its source alone.  Ranks come from salted windows, so a source with a third of all rows
+is ranked by many tasks.
 
 Default weights: proportional to the square root of a source's rows.
 
@@ -26,90 +28,127 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import need, rank_in_groups
+from .common import need, rank_in_groups, shared_dir
 
 MAX_SOURCES = 2000
-PERIOD = 1000
+CHUNK = 1 << 18
+SMALL = 1 << 16
 ADDED = ("block", "phase", "release", "deadline", "share", "position")
+SLOTS = ("s_phase", "s_no", "s_k", "slot", "s_release", "s_deadline")
 
 
-def rounded(weights: list[float], period: int) -> list[int]:
-    """Multiples of 1 / period that sum to 1 and are at least one each, by largest remainders."""
-    total = math.fsum(weights)
-    spare = period - len(weights)
-    exact = [w / total * spare for w in weights]
-    out = [1 + math.floor(x) for x in exact]
-    by_rest = sorted(range(len(out)), key=lambda i: (math.floor(exact[i]) - exact[i], i))
-    for i in by_rest[: period - sum(out)]:
-        out[i] += 1
-    return out
+def whole(weights: list[float]) -> list[int]:
+    """Integers in exactly the ratios of the weights, without a common divisor."""
+    exact = [Fraction(repr(float(w))) for w in weights]
+    scale = math.lcm(*[x.denominator for x in exact])
+    out = [int(x * scale) for x in exact]
+    common = math.gcd(*out)
+    return [x // common for x in out]
 
 
-def one_period(shares: list[int]) -> list[tuple[int, int]]:
-    """Slot -> (source, block within the period) by earliest deadline among the released."""
+def in_turn(shares: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, release, deadline) of slot 0, 1, ... by earliest deadline among the released, without end."""
     period = sum(shares)
-    released: list[tuple[int, int, int]] = []
-    waiting = [(0, i, 0) for i, a in enumerate(shares) if a]
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(period):
+    released: list[tuple[int, int, int, int]] = []
+    waiting = [(0, i, 0) for i in range(len(shares))]
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
-            _, i, k = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-(k + 1) * period // shares[i]), i, k))
-        _, i, k = heapq.heappop(released)
-        out.append((i, k))
-        if k + 1 < shares[i]:
-            heapq.heappush(waiting, ((k + 1) * period // shares[i], i, k + 1))
-    return out
+            release, i, k = heapq.heappop(waiting)
+            heapq.heappush(released, (-(-(k + 1) * period // shares[i]), i, k, release))
+        deadline, i, k, release = heapq.heappop(released)
+        yield i, k, release, deadline
+        heapq.heappush(waiting, ((k + 1) * period // shares[i], i, k + 1))
+        slot += 1
 
 
-def schedule(sizes: list[int], weights: list[float], period: int) -> tuple[list[tuple], list[tuple]]:
-    """Phases and slots of the whole mix.
+def schedule(sizes: list[int], weights: list[float], put: Callable[..., None]) -> list[tuple]:
+    """Phases of the whole mix; ``put`` gets its slots.
 
-    Phases: (source, phase, first block, end block, first position, share, period).
-    Slots: (phase, source, block within the period, slot).  A phase ends with the last
-    block of the first source that runs out.
+    Phases: (source, phase, first block, end block, first position, blocks in a period,
+    period, share).  Slots: (phase, source, block within the period, slot, release,
+    deadline).  A phase ends with the last block of the first source that runs out.
     """
-    phases, slots = [], []
-    done = [0] * len(sizes)
+    phases = []
+    left = list(sizes)
     active = [i for i, n in enumerate(sizes) if n]
     position = phase = 0
     while active:
-        shares = rounded([weights[i] for i in active], period) if len(active) > 1 else [1]
-        size = sum(shares)
-        order = one_period(shares)
-        places: list[list[int]] = [[] for _ in active]
-        for slot, (i, _) in enumerate(order):
-            places[i].append(slot)
-
-        def end(i: int) -> int:
-            k = sizes[active[i]] - done[active[i]] - 1
-            return k // shares[i] * size + places[i][k % shares[i]] + 1
-
-        length = min(end(i) for i in range(len(active)))
+        shares = whole([weights[i] for i in active])
+        total = sum(shares)
+        rest = [left[i] for i in active]
+        turns = min((n - 1) // a for n, a in zip(rest, shares, strict=True))
+        placed = [0] * len(active)
+        ends = []
+        for slot, (i, k, release, deadline) in enumerate(in_turn(shares)):
+            put(phase, active[i], k, slot, release, min(deadline, 1 << 62))  # beyond any row, but a long
+            placed[i] += 1
+            if turns and (rest[i] - 1) // shares[i] == turns and k == (rest[i] - 1) % shares[i]:
+                ends.append(slot + 1)
+            if slot + 1 == total or not turns and placed[i] == rest[i]:
+                break
+        period, per_period = slot + 1, placed
+        length = period
+        if turns:
+            length = turns * total + min(ends)
+            placed = [turns * a for a in shares]
+            for i, *_ in islice(in_turn(shares), min(ends)):
+                placed[i] += 1
         for i, source in enumerate(active):
-            whole, part = divmod(length, size)
-            n = whole * shares[i] + sum(1 for s in places[i] if s < part)
-            if n:
-                phases.append((source, phase, done[source], done[source] + n, position, shares[i], size))
-            done[source] += n
-        slots += [(phase, active[i], k, slot) for slot, (i, k) in enumerate(order)]
+            if placed[i]:
+                k0 = sizes[source] - left[source]
+                phases.append((source, phase, k0, k0 + placed[i], position, per_period[i], period, shares[i] / total))
+            left[source] -= placed[i]
         position += length
-        active = [i for i in active if done[i] < sizes[i]]
+        active = [i for i in active if left[i]]
         phase += 1
-    return phases, slots
+    return phases
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, period: int = PERIOD) -> DataFrame:
+class Slots:
+    """A table of slots: broadcast up to ``SMALL`` slots, else in files of the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.columns: list[list[int]] = [[] for _ in SLOTS]
+        self.folder = ""
+
+    def put(self, *row: int) -> None:
+        for column, x in zip(self.columns, row):
+            column.append(x)
+        if len(self.columns[0]) == CHUNK:
+            self._write()
+
+    def _frame(self) -> DataFrame:
+        return self.spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in self.columns], list(SLOTS)))
+
+    def _write(self) -> None:
+        self.folder = self.folder or f"{shared_dir(self.spark)}/mixing-{uuid.uuid4().hex}"
+        self._frame().write.mode("append").parquet(self.folder)
+        self.columns = [[] for _ in SLOTS]
+
+    def table(self) -> DataFrame:
+        if not self.folder and len(self.columns[0]) <= SMALL:
+            return F.broadcast(self._frame())
+        if self.columns[0]:
+            self._write()
+        return self.spark.read.parquet(self.folder)
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """``docs`` (doc_id, source, ...) plus block, phase, release, deadline, share and position (from 0, gapless).
 
     release and deadline are positions: the window in which the block is due; share is
-    the rounded weight of the source in its phase.
+    the weight of the source in its phase.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ADDED]
@@ -126,26 +165,24 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, peri
         w = [weights.get(x, min(weights.values())) for x in names]
     else:
         w = [math.sqrt(n) for n in sizes]
-    phases, slots = schedule(sizes, w, max(period, 4 * len(names)))
-    # the three tables are bounded by MAX_SOURCES and the period, whatever the number of rows
+    slots = Slots(spark)
+    phases = schedule(sizes, w, slots.put)
+    # these two tables are bounded by MAX_SOURCES, whatever the number of rows
     sources = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "m_source string, m_no int")
     phase_table = spark.createDataFrame(
-        phases, "p_no int, phase int, k0 long, k1 long, p0 long, p_share long, p_period long")
-    slot_table = spark.createDataFrame(slots, "s_phase int, s_no int, s_k long, slot long")
+        phases, "p_no int, phase int, k0 long, k1 long, p0 long, p_share long, p_period long, share double")
     named = docs.join(F.broadcast(sources), docs["source"].eqNullSafe(F.col("m_source")))
     ranked = rank_in_groups(named.drop("m_source"), ["m_no"], ["doc_id"], "block")
     placed = ranked.join(F.broadcast(phase_table), (F.col("m_no") == F.col("p_no")) &
                          (F.col("block") >= F.col("k0")) & (F.col("block") < F.col("k1")))
-    # windows count from the phase's start: block k of it is due within [k * period / share, (k + 1) * period / share]
+    # a slot's place and window count from the start of its period
     placed = placed.withColumns({
-        "in_period": F.expr("(block - k0) % p_share"), "turn": F.expr("(block - k0) div p_share"),
-        "release": F.expr("p0 + ((block - k0) * p_period) div p_share"),
-        "deadline": F.col("p0") + F.expr("((block - k0 + 1) * p_period + p_share - 1) div p_share"),
-        "share": F.col("p_share") / F.col("p_period")})
-    return placed.join(F.broadcast(slot_table), (F.col("phase") == F.col("s_phase")) & (F.col("m_no") == F.col("s_no")) &
+        "in_period": F.expr("(block - k0) % p_share"),
+        "start": F.expr("p0 + ((block - k0) div p_share) * p_period")})
+    return placed.join(slots.table(), (F.col("phase") == F.col("s_phase")) & (F.col("m_no") == F.col("s_no")) &
                        (F.col("in_period") == F.col("s_k"))).select(
-        "row.*", "block", "phase", "release", "deadline", "share",
-        (F.col("p0") + F.col("turn") * F.col("p_period") + F.col("slot")).alias("position"))
+        "row.*", "block", "phase", (F.col("start") + F.col("s_release")).alias("release"),
+        (F.col("start") + F.col("s_deadline")).alias("deadline"), "share", (F.col("start") + F.col("slot")).alias("position"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,28 @@ def test_mixing(spark, weights):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes,weights", [
+    ({"a": 4990, "b": 10}, {"a": 0.9995, "b": 0.0005}), ({"a": 2800, "b": 1000, "c": 600}, {"a": 0.7, "b": 0.2, "c": 0.1}),
+    ({"a": 3001, "b": 1777, "c": 50, "d": 2}, None)])
+def test_mixing_keeps_the_given_weights(spark, monkeypatch, sizes, weights):
+    monkeypatch.setattr(mixing, "CHUNK", 1000, raising=False)  # so that the slots go through files too
+    d = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    got = mixing.mix(d, weights).toPandas().sort_values("position")
+    assert got.position.tolist() == list(range(sum(sizes.values())))
+    assert got.groupby("source").size().to_dict() == sizes
+    assert ((got.position >= got.release) & (got.position < got.deadline)).all()
+    weights = weights or {s: n ** 0.5 for s, n in sizes.items()}
+    left = dict(sizes)
+    for _, phase in got.groupby("phase"):
+        total = sum(weights[s] for s in left)
+        for s in list(left):
+            there = (phase.source == s).to_numpy()
+            assert (abs(there.cumsum() - weights[s] / total * np.arange(1, len(phase) + 1)) < 1).all()
+            left[s] -= int(there.sum())
+        left = {s: n for s, n in left.items() if n}
+    assert not left
+
+
 # 7 and 8
 
 
