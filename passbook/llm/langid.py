@@ -1,16 +1,15 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Spark counts the character 4-grams of every training text per language; the counts
-(one row per language and 4-gram, with map-side partial sums per batch) are the only
-thing that leaves the executors.  From them the driver derives the continuation
+(one row per language and 4-gram, with map-side partial sums per batch) are all that the
+driver gathers.  All of them are kept, so the model grows with the different 4-grams.  From them the driver derives the continuation
 counts of the lower orders and keeps, per language, the interpolated probabilities in
 one sorted array of hashes.  A text gets the language of the lowest cross-entropy per
 character.  A text whose cross-entropy is above the training quantile
-``reject_quantile`` of its language (measured on at most ``CALIBRATION_ROWS``
-training rows) is flagged as rejected.
+``reject_quantile`` of its language (measured on all its training rows) is flagged as
+rejected.
 
-Normalisation: letters in lower case, everything else one space.  Bounds: at most
-``max_grams`` 4-grams, the most frequent, are kept in the model.
+Normalisation: letters in lower case, everything else one space.
 
 Defined results: null text or no letter gives ``und``, score 0 and no rejection; with
 nothing to learn from every text is ``und`` with score 0.  Ties go to the language
@@ -28,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, mix64, need
+from .common import cut, fold, mix64, need
 
 ORDER = 4
 SEGMENT = 1 << 19
-CALIBRATION_ROWS = 1000
+BLOCK = 1 << 20
+STEPS = 10_000
 SPACE = 32
 
 _table: list[np.ndarray] = []
@@ -190,7 +190,7 @@ class KneserNey:
 
 
 class LanguageModel:
-    """Log-probabilities of all kept 4-grams under every language, in one sorted hash array."""
+    """Log-probabilities of all 4-grams under every language, in one sorted hash array."""
 
     def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
@@ -201,8 +201,11 @@ class LanguageModel:
         hashes = mix64(every)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.logs = np.stack([np.log(m.probability(every[order])) for m in self.models], 1).astype(np.float32) \
-            if tables else np.zeros((0, 0), np.float32)
+        self.logs = np.empty((len(every), len(langs)), np.float32)
+        for at in range(0, len(every), BLOCK):
+            part = every[order[at:at + BLOCK]]
+            for i, m in enumerate(self.models):
+                self.logs[at:at + BLOCK, i] = np.log(m.probability(part))
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character under each language, and the number of characters."""
@@ -234,33 +237,65 @@ class LanguageModel:
                 np.where(known, score, 0.0), low, [bool(k and e > self.limits[b]) for b, k, e in zip(best, known, low, strict=True)])
 
 
-def train(training: DataFrame, max_grams: int = 2_000_000, reject_quantile: float = 0.999) -> LanguageModel:
-    """Fit on all rows of ``training`` (doc_id, text, lang); see the module for the bounds."""
-    counts = gram_counts(training)
-    # the model's size is bounded: the most frequent 4-grams, by count, language and gram
-    rows = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    langs = sorted(set(rows["lang"].to_pylist()))
-    lang = np.array(rows["lang"].to_pylist(), object)
-    gram = rows["gram"].to_numpy().view(np.uint64)
-    n = rows["n"].to_numpy()
-    model = LanguageModel(langs, [(gram[lang == x], n[lang == x]) for x in langs])
-    if langs:
-        usable = training.where("text is not null and lang is not null")
-        # ids alone are ordered, and texts stay on the executors: each returns one number
-        ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-        chosen = usable.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text", "lang")
-        shared = training.sparkSession.sparkContext.broadcast(model)
-
-        def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                entropy, _ = shared.value.cross_entropies(batch.column(0).to_pylist())
-                own = [e[langs.index(x)] if x in langs else None for e, x in zip(entropy, batch.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.float64())], ["lang", "entropy"])
-
-        measured = chosen.mapInArrow(entropies, "lang string, entropy double").where("entropy is not null").toArrow().to_pydict()
-        for i, x in enumerate(langs):
-            if own := [e for e, y in zip(measured["entropy"], measured["lang"], strict=True) if y == x]:
-                model.limits[i] = np.quantile(own, reject_quantile)
+def quantiles(measured: DataFrame, q: float) -> dict[str, float]:
+    """The exact quantile of ``entropy`` per ``lang``, linear between neighbours, without a sort of a language's rows.
+
+    Counts per step of 1 / ``STEPS`` tell the step of each neighbour; only the different
+    values of these steps are gathered.
+    """
+    stepped = measured.withColumn("step", F.floor(F.col("entropy") * STEPS))
+    counts = stepped.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["lang", "step"])
+    wanted, ranks = [], {}
+    for lang, rows in counts.groupby("lang"):
+        upto = rows["n"].cumsum().to_numpy()
+        at = q * (upto[-1] - 1)
+        ranks[lang] = at, []
+        for r in (int(at), min(int(at) + 1, upto[-1] - 1)):
+            k = int(np.searchsorted(upto, r, side="right"))
+            ranks[lang][1].append((int(rows["step"].iloc[k]), r - int(upto[k] - rows["n"].iloc[k])))
+        wanted += [(lang, step) for step in {step for step, _ in ranks[lang][1]}]
+    if not wanted:
+        return {}
+    chosen = measured.sparkSession.createDataFrame(wanted, "lang string, step long")
+    values = stepped.join(F.broadcast(chosen), ["lang", "step"]).groupBy("lang", "step", "entropy").agg(
+        F.count(F.lit(1)).alias("n")).toPandas().sort_values(["lang", "step", "entropy"])
+    groups = {key: (rows["entropy"].to_numpy(), rows["n"].cumsum().to_numpy()) for key, rows in values.groupby(["lang", "step"])}
+
+    def value(lang, step, r):
+        entropy, upto = groups[lang, step]
+        return entropy[np.searchsorted(upto, r, side="right")]
+
+    out = {}
+    for lang, (at, places) in ranks.items():
+        low, high = (value(lang, *p) for p in places)
+        out[lang] = float(low + (high - low) * (at - int(at)))
+    return out
+
+
+def train(training: DataFrame, reject_quantile: float = 0.999) -> LanguageModel:
+    """Fit on all rows of ``training`` (doc_id, text, lang)."""
+    counts = cut(gram_counts(training))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return LanguageModel([], [])
+    place = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang"))
+    rows = counts.select((place - 1).cast("int").alias("no"), "gram", "n").toArrow()
+    no, gram, n = rows["no"].to_numpy(), rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    model = LanguageModel(langs, [(gram[no == i], n[no == i]) for i in range(len(langs))])
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entropy, _ = shared.value.cross_entropies(batch.column(0).to_pylist())
+            own = [e[langs.index(x)] if x in langs else None for e, x in zip(entropy, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.float64())], ["lang", "entropy"])
+
+    usable = training.where("text is not null and lang is not null").select("text", "lang")
+    # texts stay on the executors: each row becomes one number
+    measured = cut(usable.mapInArrow(entropies, "lang string, entropy double").where("entropy is not null"))
+    shared.unpersist()
+    limits = quantiles(measured, reject_quantile)
+    model.limits = np.array([limits[x] for x in langs])
     return model
 
 

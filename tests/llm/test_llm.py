@@ -159,6 +159,19 @@ def test_language_id(spark):
     assert {(x.lang_pred, x.score) for x in langid.identify(d, none).collect()} == {("und", 0.0)}
 
 
+def test_language_id_keeps_all_grams_and_rows(spark):
+    r = np.random.default_rng(5)
+    hot = ["".join(map(chr, r.integers(0x4E00, 0x9F00, 100_000))) for _ in range(21)]
+    rows = [(i, t, "aa") for i, t in enumerate(hot)] + [(100 + i, "zażółć gęślą jaźń" + " ż" * i, "zz") for i in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "zz"] and len(model.hashes) > 2_000_000
+    rows = [(i, "lorem ipsum " + "dolor " * (i % 7), "aa") for i in range(3000)] + [(5000 + i, "gęś " * i, "bb") for i in range(1, 4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), reject_quantile=0.9)
+    for i, lang in enumerate(model.langs):
+        entropy, _ = model.cross_entropies([t for _, t, x in rows if x == lang])
+        assert model.limits[i] == pytest.approx(np.quantile(entropy[:, i], 0.9), abs=1e-12)
+
+
 def test_kneser_ney_sums_to_one():
     text = langid.normalised("the cat sat on the mat and the rat ran")
     g, n = np.unique(langid.grams(text), return_counts=True)
