@@ -47,22 +47,33 @@ def _compatible(a: Column, b: Column) -> Column:
     return blank(a) | blank(b) | (a == b)
 
 
-def near_matches(survivors: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
+def near_matches(survivors: DataFrame, window_ms: int = WINDOW_MS, stored: DataFrame | None = None) -> DataFrame:
     """``(seq, near_seq, distance_ms)``: each survivor's nearest earlier row within the window; ties by seq.
 
+    All ``stored`` rows are earlier than the survivors, whatever their seq.
+
     Rows meet by money, direction, merchant and time bucket of the window's width (an
     earlier row is posted in three buckets), so one hot key is spread over its buckets.
     """
     key = ["amount_minor", "currency", "direction"]
-    base = survivors.select("seq", "ts_ms", *key, F.coalesce("merchant_key", F.lit("")).alias("mk"),
-                            F.col("merchant_key").isNull().alias("no_m"), "reference_hash", F.lower("masked_account").alias("account"),
-                            F.expr(f"ts_ms div {window_ms}").alias("slot"))
+
+    def base_of(tx: DataFrame, is_stored: bool) -> DataFrame:
+        return tx.select("seq", "ts_ms", *key, F.coalesce("merchant_key", F.lit("")).alias("mk"),
+                         F.col("merchant_key").isNull().alias("no_m"), "reference_hash", F.lower("masked_account").alias("account"),
+                         F.expr(f"ts_ms div {window_ms}").alias("slot"), F.lit(is_stored).alias("stored"))
+
+    base = base_of(survivors, False)
+    earlier = base
+    if stored is not None:
+        span = survivors.agg((F.min("ts_ms") - window_ms).alias("since"), (F.max("ts_ms") + window_ms).alias("until"))
+        near_in_time = stored.join(F.broadcast(span), F.col("ts_ms").between(F.col("since"), F.col("until"))).drop("since", "until")
+        earlier = base.union(base_of(near_in_time, True))
     left = base.select(*[F.col(c).alias("a_" + c) for c in base.columns])
-    right = base.select(*[F.col(c).alias("b_" + c) for c in base.columns if c != "slot"], F.explode(
+    right = earlier.select(*[F.col(c).alias("b_" + c) for c in base.columns if c != "slot"], F.explode(
         F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("b_slot"))
     same = [F.col("a_" + c) == F.col("b_" + c) for c in (*key, "mk", "no_m", "slot")]
     near = left.join(right, same).where(
-        (F.col("b_seq") < F.col("a_seq")) & (F.abs(F.col("a_ts_ms") - F.col("b_ts_ms")) <= window_ms)
+        (F.col("b_stored") | (F.col("b_seq") < F.col("a_seq"))) & (F.abs(F.col("a_ts_ms") - F.col("b_ts_ms")) <= window_ms)
         & _compatible(F.col("a_reference_hash"), F.col("b_reference_hash")) & _compatible(F.col("a_account"), F.col("b_account")))
     distance = F.abs(F.col("a_ts_ms") - F.col("b_ts_ms"))
     return near.groupBy(F.col("a_seq").alias("seq")).agg(F.min(F.struct(distance.alias("d"), F.col("b_seq").alias("s"))).alias("x")).select(

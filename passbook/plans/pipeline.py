@@ -13,7 +13,7 @@ from passbook.sources.rules import Rules
 def scan(batch: DataFrame, rules: Rules, corrections: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """New transactions of a batch of messages: filtered, parsed, classified, de-duplicated.
 
-    ``stored`` needs source_hash and fingerprint.  A message id comes once per batch.
+    ``stored`` has rows of earlier scans: exact repeats of them are left out, near ones point to them.  A message id comes once per batch.
     The de-duplicated rows are computed at once and checkpointed.
     """
     once = batch.dropDuplicates(["source_message_id", "sender", "received_ms"])
@@ -23,7 +23,7 @@ def scan(batch: DataFrame, rules: Rules, corrections: DataFrame | None = None, s
     if stored is not None:
         tx = dedupe.unstored(tx, stored)
     kept = checkpointed(dedupe.first_of_each(tx))  # the band join reads it three times
-    near = dedupe.near_matches(kept).select(F.col("seq").alias("n_seq"), F.col("near_seq").alias("possible_duplicate_of"))
+    near = dedupe.near_matches(kept, stored=stored).select(F.col("seq").alias("n_seq"), F.col("near_seq").alias("possible_duplicate_of"))
     return kept.join(near, kept["seq"] == near["n_seq"], "left").drop("n_seq").withColumn(
         "duplicate_status", F.when(F.col("possible_duplicate_of").isNotNull(), "SUSPECTED").otherwise("NONE"))
 

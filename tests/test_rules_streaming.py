@@ -69,6 +69,16 @@ def test_ingest_resumes_and_repeats_nothing(spark, tmp_path):
     assert "body" not in store.read("transactions").columns
 
 
+@pytest.mark.parametrize("ids", [(1, 2), (2, 1)])
+def test_ingest_finds_near_copies_of_earlier_batches(spark, tmp_path, ids):
+    store = Store(spark, str(tmp_path / "store"))
+    for i, ms in zip(ids, (600_000, 2_000_000), strict=True):
+        spark.createDataFrame([(i, "EXBANK", ms, "Rs.7.00 credited")], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest(spark, str(tmp_path / "in"), store, rules.REGRESSION, str(tmp_path / "ck")).awaitTermination()
+    got = {r.seq: (r.duplicate_status, r.possible_duplicate_of) for r in store.read("transactions").collect()}
+    assert got == {ids[0]: ("NONE", None), ids[1]: ("SUSPECTED", ids[0])}
+
+
 def test_telemetry_stream_counts_each_event_once(spark, tmp_path):
     rows = spark.sql("""select * from values ('a', timestamp'2024-01-01 01:00:00', 'x', 'v1'), ('a', timestamp'2024-01-01 02:00:00', 'x', 'v1'),
         ('b', timestamp'2024-01-01 03:00:00', 'x', 'v1') as t(event_id, ts, event_type, app_version)""")
