@@ -1,8 +1,10 @@
 """The llm operators on small tables: brute force, round trips, and nulls, empties, ties and clashing columns."""
 
 import gzip
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -297,40 +299,69 @@ def test_packing(spark):
 
 @pytest.mark.parametrize("weights", [None, {"a": 0.7, "b": 0.2, None: 0.1}])
 def test_mixing(spark, weights):
-    rows = [(i, "a" if i % 3 else ("b" if i % 2 else None), "t") for i in range(500)] + [(1, "c", "t")] * 2
+    rows = [(i, "a" if i % 3 else ("b" if i % 2 else None), "t") for i in range(500)] + [(1, "c", "t")] * 2 + [(None, "a", "t")] * 3
     d = spark.createDataFrame(rows, "doc_id long, source string, position string")
     got = mixing.mix(d, weights).toPandas().sort_values("position")
-    assert got.position.tolist() == list(range(502)) and got.groupby("source", dropna=False).size().tolist() == [333, 83, 2, 84]
+    assert got.position.tolist() == list(range(505)) and got.groupby("source", dropna=False).size().tolist() == [336, 83, 2, 84]
     assert ((got.position >= got.release) & (got.position < got.deadline)).all()
-    for _, phase in got.groupby("phase"):
-        for _, s in phase.groupby("source", dropna=False):
-            there = np.isin(phase.index, s.index).cumsum()
-            assert (abs(there - s.share.iloc[0] * np.arange(1, len(phase) + 1)) < 1).all()
     assert mixing.mix(d.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("sizes,weights", [
+    with pytest.raises(ValueError):
+        mixing.mix(d, {"a": 0.0})
+
+
+def earliest_deadline_first(phases):
+    """(position, source, block), slot by slot over exact fractions."""
+    out = []
+    for x in phases:
+        w = [Fraction(a, sum(x.shares)) for a in x.shares]
+        done = [0] * len(w)
+        for t in range(x.length):
+            released = [(min(math.ceil((k + 1) / v), x.length), i, j) for j, (i, v, k, n) in enumerate(zip(x.sources, w, done, x.placed, strict=True))
+                        if k < n and math.floor(k / v) <= t]
+            deadline, i, j = min(released)
+            assert t < deadline
+            out.append((x.start + t, i, x.before[j] + done[j]))
+            done[j] += 1
+        assert done == x.placed
+    return out
+
+
+@pytest.mark.parametrize(("sizes", "weights"), [
     ({"a": 4990, "b": 10}, {"a": 0.9995, "b": 0.0005}), ({"a": 2800, "b": 1000, "c": 600}, {"a": 0.7, "b": 0.2, "c": 0.1}),
-    ({"a": 3001, "b": 1777, "c": 50, "d": 2}, None)])
-def test_mixing_keeps_the_given_weights(spark, monkeypatch, sizes, weights):
-    monkeypatch.setattr(mixing, "CHUNK", 1000, raising=False)  # so that the slots go through files too
+    ({"a": 3001, "b": 1777, "c": 50, "d": 2}, None), ({"a": 1, "b": 1, "c": 900, "d": 900}, {"a": 1e-5, "b": 0.3071, "c": 0.3333333333333333, "d": 0.2})])
+def test_mixing_is_earliest_deadline_first_on_the_given_weights(spark, monkeypatch, sizes, weights):
+    monkeypatch.setattr(mixing, "CHUNK", 64)  # so that many chunks have to agree
     d = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
     got = mixing.mix(d, weights).toPandas().sort_values("position")
-    assert got.position.tolist() == list(range(sum(sizes.values())))
-    assert got.groupby("source").size().to_dict() == sizes
-    assert ((got.position >= got.release) & (got.position < got.deadline)).all()
-    weights = weights or {s: n ** 0.5 for s, n in sizes.items()}
+    names = sorted(sizes)
+    targets = [weights[s] if weights else Fraction(math.isqrt(sizes[s])) for s in names]
+    phases = mixing.plan_phases([sizes[s] for s in names], targets)
+    assert list(zip(got.position.tolist(), map(names.index, got.source), got.block.tolist(), strict=True)) == earliest_deadline_first(phases)
     left = dict(sizes)
     for _, phase in got.groupby("phase"):
-        total = sum(weights[s] for s in left)
+        total = sum(targets[names.index(s)] for s in left)
         for s in list(left):
             there = (phase.source == s).to_numpy()
-            assert (abs(there.cumsum() - weights[s] / total * np.arange(1, len(phase) + 1)) < 1).all()
+            assert (abs(there.cumsum() - float(targets[names.index(s)] / total) * np.arange(1, len(phase) + 1)) < 1 + 1e-9).all()
             left[s] -= int(there.sum())
         left = {s: n for s, n in left.items() if n}
     assert not left
 
 
+def test_phases_hold_every_row_within_one_block_of_the_target():
+    sizes, weights = [100_000, 80_000, 50_000, 26_410], [0.43719, 0.31231, 0.150741, 1e-5]
+    phases = mixing.plan_phases(sizes, weights)
+    assert len(phases) <= 8 and sum(x.length for x in phases) == sum(sizes)
+    for x in phases:
+        total = sum(Fraction(repr(weights[i])) for i in x.sources)
+        for i, a, n in zip(x.sources, x.shares, x.placed, strict=True):
+            assert Fraction(a, sum(x.shares)) == Fraction(repr(weights[i])) / total and abs(n - Fraction(a, sum(x.shares)) * x.length) < 1
+    many = mixing.plan_phases([7] * 3000, [Fraction(1)] * 3000)
+    assert [x.length for x in many] == [21_000]
+    fine = mixing.plan_phases([10, 10], [0.1234567890123456789, 1e-30])
+    assert sum(x.length for x in fine) == 20
+
+
 # 7 and 8
 
 
