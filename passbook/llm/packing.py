@@ -14,6 +14,11 @@ capacity.  Pieces get a gapless rank within their length from salted windows (a
 that a third of all pieces share is ranked by many tasks) and find sequence and offset
 in the run that holds their rank.
 
+``pack_stream`` keeps the order of a stream of documents, as a mix of sources needs it: every
+window of documents that follow each other in the files is packed by a plan of its own, in
+a task of its own, and sequence numbers rise from window to window.  That costs at most
+about one sequence a window.
+
 Defined results: null or empty text is the end id alone, one piece of length 1.
 Repeated rows are packed each.  A null id is packed like any other.  An empty table
 gives no rows.  Other columns are ignored.
@@ -27,8 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, need, rank_in_groups
 from .tokens import WordIds
@@ -37,15 +44,20 @@ END_ID = b"\0\0\0\0"
 CAPACITY = 2048
 
 
+#: Documents of a window of ``pack_stream``.
+WINDOW = 4096
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)`` of all rows of ``docs`` (doc_id, text)."""
+    """``(doc_id, piece, start, length, ids_crc32, window)`` of all rows of ``docs`` (doc_id, text, window)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(tokenizer)
         step = 4 * capacity
         for batch in batches:
-            doc, piece, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            doc, piece, start, length, crc, of = [], [], [], [], [], []
+            for doc_id, text, window in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = ids_of((text or "").encode("utf-8", "surrogatepass")) + END_ID
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
@@ -54,12 +66,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+                    of.append(window)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                 pa.array(crc, pa.int64()), pa.array(of, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "window"])
 
-    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = need(docs, "doc_id", "text", "window").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "window")
+    return rows.mapInArrow(encode, f"{PIECES}, window long")
 
 
 class Stock:
@@ -206,7 +219,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of ``docs`` with sequence_id and offset; sequences hold ``capacity`` tokens at most."""
     spark = docs.sparkSession
-    cut_up = cut(pieces(docs, tokenizer, capacity))
+    cut_up = cut(pieces(need(docs, "doc_id", "text").withColumn("window", F.lit(0).cast("long")), tokenizer, capacity).drop("window"))
     # one row per length
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan(counts, capacity)
@@ -224,8 +237,49 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
                 [*batch.columns[:5], pa.array(t[at, 3] + rank - t[at, 1]), pa.array(t[at, 4])],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+
+
+def stream_windows(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` (doc_id, text) plus window: the place of each row in the files it is read from, divided by ``size``.
+
+    Files follow each other by the part number that Spark's writers give them, then by name;
+    a DataFrame that isn't a scan of files has its partitions for files.  Only one number per file is
+    gathered, in a table as long as the list of files that the driver holds for the scan, so it is broadcast.
+    """
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        row = F.monotonically_increasing_id()
+        placed = docs.select("doc_id", "text", F.lpad(F.shiftright(row, 33).cast("string"), 10, "0").alias("file"), (row % (1 << 33)).alias("row"))
+    part = F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long")
+    before = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("file").agg((F.max("row") + 1).alias("n")).select(
+        F.col("file").alias("of_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return placed.join(F.broadcast(starts), placed["file"] == starts["of_file"]).select(
+        "doc_id", "text", F.expr(f"(begin + row) div {size}").alias("window"))
+
+
+def pack_stream(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
+    """Like ``pack``, but each window of ``window`` documents by itself; sequence_id is the window (above bit 32) and a number in it.
+
+    A task holds the pieces of a window, without their ids.
+    """
+
+    def place(group: pa.Table) -> pa.Table:
+        length, piece = group["length"].to_numpy(), group["piece"].to_numpy()
+        order = np.lexsort((piece, group["doc_id"].fill_null(-1).to_numpy(), length))
+        kinds, first, counts = np.unique(length[order], return_index=True, return_counts=True)
+        runs, _ = plan(dict(zip(kinds.tolist(), counts.tolist(), strict=True)), capacity)
+        table = np.array(sorted(runs), np.int64).reshape(-1, 5)
+        length, rank = length[order], np.arange(len(order)) - np.repeat(first, counts)
+        at = np.searchsorted((table[:, 0] << 40) + table[:, 1], (length << 40) + rank, side="right") - 1
+        number = (group["window"].to_numpy() << 32) + table[at, 3] + rank - table[at, 1]
+        return group.drop_columns("window").take(order).append_column("sequence_id", pa.array(number)).append_column(
+            "offset", pa.array(table[at, 4]))
+
+    return pieces(stream_windows(docs, window), tokenizer, capacity).groupBy("window").applyInArrow(
+        place, f"{PIECES}, sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

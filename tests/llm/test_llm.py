@@ -430,14 +430,86 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
 
 # the pipeline
 
+LABELS = "doc_id long, quality int, toxic int"
+TABLE = "doc_id long, text string, lang string, source string, n_chars long, position long, extra map<string,int>"
 
-def test_stages_keep_columns_and_order(spark, tmp_path):
+
+def corpus(n=400):
+    """Texts of two sources in a ratio of 9 to 1, some toxic, some poor, some copies, some empty or null."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    rows, labels = [], []
+    for i in range(n):
+        text = " ".join(word() for _ in range(r.choice([30, 60, 90])))
+        toxic, poor = i % 8 == 3, i % 8 == 5
+        text = text + " vile filth" if toxic else text.replace(" ", "### ") if poor else text
+        rows.append((i, text, "en", "small" if i % 10 == 0 else "large", len(text), 1, {"a": 1}))
+        labels.append((i, int(not poor), int(toxic)))
+    rows += [(n + k, rows[k * 8][1], "en", "large", 1, 1, None) for k in range(10)]
+    return rows + [(None, None, None, None, None, None, None), (2000, "", "en", None, 0, 0, None), (2000, "", "en", None, 0, 0, None)], labels
+
+
+def written(spark, tmp_path, rows, labels):
+    spark.createDataFrame(rows, TABLE).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_run(spark, tmp_path):
     import corpus_pipeline as cp
 
     assert [n for n, _ in cp.STAGES] == ["toxicity", "quality", "near_duplicates", "mixing", "packing"]
-    rows = [(i, f"text number {i} of a small table", "en", "s" + str(i % 2), 10) for i in range(40)] + [(None, None, None, None, None)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    mixed = cp.mix_sources(spark, d, "")
-    assert mixed.columns == list(cp.COLUMNS) and mixed.count() == 41
-    assert cp.drop_near_duplicates(spark, d, "").columns == list(cp.COLUMNS)
-    assert cp.pack_sequences(spark, d, "").count() == 41
+    rows, labels = corpus()
+    sf_dir = written(spark, tmp_path, rows, labels)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == [c.split()[0] for c in TABLE.split(", ")], name
+    left = [r.doc_id for r in docs.select("doc_id").collect()]
+    kept = set(left)
+    clean = {i for i in range(400) if i % 8 not in (3, 5)}
+    assert clean <= kept and kept - clean - {None, 2000} == set()  # toxic, poor and copied texts are gone
+    got = cp.run(spark, sf_dir).toPandas()
+    assert sorted(got.doc_id[got.piece == 0].fillna(-1)) == sorted(-1 if i is None else i for i in left)
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.to_numpy() == s.length.cumsum().to_numpy() - s.length.to_numpy()).all() and s.length.sum() <= 2048
+
+
+def test_packing_keeps_the_mix(spark, tmp_path, monkeypatch):
+    """The sequences, in order, hold each source at its weight, which they don't if the mixing stage is left out."""
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(cp.packing.pack_stream, "__defaults__", (2048, 25))
+    rows = [(i, f"a text with number {i}", "en", "b" if i < 360 else "a", 0, 0, None) for i in range(400)]
+    sf_dir = written(spark, tmp_path, rows, [(0, 1, 0)])
+    monkeypatch.setattr(cp, "STAGES", cp.STAGES[3:])
+    # weights: isqrt(360) = 18 and isqrt(40) = 6, so a quarter of the first 160 rows is of source a
+    def share(got):
+        window = got.sequence_id // 2 ** 32
+        assert sorted(window.value_counts().tolist()) == [25] * 16
+        return [(got[window == w].doc_id >= 360).sum() for w in range(16)]
+
+    mixed = share(cp.run(spark, sf_dir).toPandas())
+    assert all(5 <= n <= 8 for n in mixed[:6]) and sum(mixed) == 40 and mixed[7:] == [0] * 9
+    unmixed = share(cp.pack_sequences(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).toPandas())
+    assert not all(5 <= n <= 8 for n in unmixed[:6])
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    sf_dir = written(spark, tmp_path, [], [])
+    assert cp.run(spark, sf_dir).count() == 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_windows_follow_the_files(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.range(0, 1000, 1, 7).selectExpr("id as doc_id", "'x' as text", "1 as window").write.parquet(path)
+    got = packing.stream_windows(spark.read.parquet(path), 100).toPandas()
+    assert (got.window == got.doc_id // 100).all() and len(got) == 1000
+    got = packing.stream_windows(spark.range(0, 1000, 1, 7).selectExpr("id as doc_id", "'x' as text"), 100).toPandas()
+    assert (got.window == got.doc_id // 100).all()
