@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from passbook.functions import lexicon, privacy, text
-from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence
-from passbook.oracles import END, NOW, ORACLES, START
+from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence, scans
+from passbook.oracles import COPY_ID, COPY_MS, END, NOW, ORACLES, SCAN_RULES, START
 from passbook.plans import pipeline
 from passbook.plans.query import TransactionQuery
-from passbook.sources import adapters, store
-from passbook.sources.rules import REGRESSION, Bundle, BundleStore
-from passbook.streaming import telemetry
+from passbook.session import checkpointed
+from passbook.sources import adapters, rules, store
+from passbook.sources.rules import REGRESSION
+from passbook.streaming import ingest, payloads, telemetry
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -101,14 +101,18 @@ _of(lambda p: p.select("source_message_id", "sender"), _page, "msg_keyset_page")
 _of(lambda p: messages.page_state(p, 100), _page, "msg_page_state")
 
 
-@query
-def msg_malformed(spark, sf_dir):
+def _raw(spark, sf_dir):
+    """Messages of which some lack a sender, a time or a body."""
     m = adapters.messages(spark, sf_dir)
     n = F.col("source_message_id")
-    raw = m.select(n, F.when(n % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "sender")).alias("sender"),
-                   F.when(n % 6 == 0, -1).otherwise(F.col("received_ms")).alias("received_ms"),
-                   F.when(n % 7 == 0, "").otherwise(F.col("body")).alias("body"))
-    return messages.mapped(raw).select("source_message_id", "sender", "received_ms")
+    return m.select(n, F.when(n % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "sender")).alias("sender"),
+                    F.when(n % 6 == 0, -1).otherwise(F.col("received_ms")).alias("received_ms"),
+                    F.when(n % 7 == 0, "").when(n % 35 != 1, F.col("body")).alias("body"))
+
+
+_of(lambda m: messages.mapped(m).select("source_message_id", "sender", "received_ms"), _raw, "msg_malformed")
+_of(lambda m: messages.page_state(messages.keyset_page(m, -1, 1_800_000_000_000, 100, 101), 101), _raw, "msg_page_malformed")
+_of(lambda m: messages.filtered(m, REGRESSION).select("source_message_id", "reject_reason"), _raw, "msg_filter_malformed")
 
 
 def _filtered(spark, sf_dir):
@@ -132,15 +136,45 @@ _of(lambda m: messages.outcomes(m, REGRESSION).select(
     _accepted, "msg_outcome")
 _of(lambda m: m.select("source_message_id", text.payment_method(F.col("body")).alias("payment_method")), adapters.messages, "msg_payment_method")
 _of(lambda m: m.select("source_message_id", messages.source_hash().alias("source_hash")), adapters.messages, "msg_source_hash")
-_of(lambda m: pipeline.counters(m, REGRESSION), adapters.messages, "scan_counters")
+_of(lambda m: pipeline.counters(m, REGRESSION), _raw, "scan_counters")
+
+SCANNED = ("seq", "source_hash", "fingerprint", "amount_minor", "direction", "merchant_key", "merchant_display", "category_id", "transfer_status",
+           "role", "duplicate_status", "possible_duplicate_of")
+
+
+def _scan_rules(spark):
+    return spark.createDataFrame([(i, i, f, v, True, k, t) for i, (f, v, k, t) in enumerate(SCAN_RULES)], (
+        "correction_id long, tx_id long, field_name string, new_value string, apply_to_future boolean, merchant_match_key string, updated_at long"))
+
+
+def _copies(m):
+    """Every third message once more, ten minutes later: exact repeats and near ones."""
+    return m.where("source_message_id % 3 = 0").withColumns({
+        "source_message_id": F.col("source_message_id") + COPY_ID, "received_ms": F.col("received_ms") + COPY_MS})
 
 
 @query
 def scan_pipeline(spark, sf_dir):
-    """The whole scan over synthesised messages; no single SQL statement stands for it."""
-    return pipeline.scan(adapters.messages(spark, sf_dir), REGRESSION, adapters.corrections(spark, sf_dir)).select(
-        "seq", "source_hash", "fingerprint", "amount_minor", "direction", "merchant_key", "category_id", "role",
-        "duplicate_status", "possible_duplicate_of")
+    """The whole scan in one batch."""
+    m = adapters.messages(spark, sf_dir)
+    return pipeline.scan(m.unionByName(_copies(m)), REGRESSION, _scan_rules(spark)).select(*SCANNED)
+
+
+@query
+def scan_two_batches(spark, sf_dir):
+    """The same in two batches, the second against what the first has stored."""
+    m = adapters.messages(spark, sf_dir)
+    first = checkpointed(pipeline.scan(m, REGRESSION, _scan_rules(spark)))
+    return first.unionByName(pipeline.scan(_copies(m), REGRESSION, _scan_rules(spark), stored=first)).select(*SCANNED)
+
+
+@query
+def tx_violations(spark, sf_dir):
+    n = F.col("tx_id")
+    tx = adapters.tx_orders(spark, sf_dir).withColumns({
+        "amount_minor": F.when(n % 11 != 0, F.col("amount_minor")).otherwise(-n), "possible_duplicate_of": F.when(n % 5 == 0, n - 1),
+        "confidence": F.when(n % 9 == 0, 1.5).otherwise(0.5), "created_at": F.col("ts_ms"), "updated_at": F.col("ts_ms") + n % 4 - 1})
+    return tx.select("tx_id", store.violation().alias("violation"))
 
 
 # scalar functions
@@ -177,6 +211,21 @@ def version_order(spark, sf_dir):
     return _events(spark, sf_dir).select(n, text.version_compare(a, b).alias("ordering"))
 
 
+@query
+def version_order_long(spark, sf_dir):
+    """Versions that differ in their 18th part, if at all."""
+    n, u = F.col("event_id"), F.col("user_id")
+    head = F.concat(F.lit("1"), F.repeat(F.lit(".0"), 16), F.lit("."))
+    return _events(spark, sf_dir).select(n, text.version_compare(F.concat(head, (n % 4).cast("string")), F.concat(head, (u % 3).cast("string"))).alias("ordering"))
+
+
+@query
+def app_version_check(spark, sf_dir):
+    n, u = F.col("event_id"), F.col("user_id")
+    current = F.concat((n % 3).cast("string"), F.lit("."), (u % 4).cast("string"), F.when(n % 5 == 0, "-beta.1").when(n % 7 == 0, ".x").otherwise("+7"))
+    return _events(spark, sf_dir).select(n, text.app_version_fits(current, F.lit("1.2.0")).alias("fits"))
+
+
 # classification
 
 
@@ -206,10 +255,10 @@ _of(lambda m: m.select("event_id", _category().alias("category_id")), _merchants
 
 @query
 def merchant_resolve(spark, sf_dir):
-    m = _merchants(spark, sf_dir).where("merchant_key is not null")
+    m = _merchants(spark, sf_dir)
     shown = F.concat("merchant_display", F.lit(" ("), F.col("event_id").cast("string"), F.lit(")"))
-    latest = m.where("event_id % 2 = 0").groupBy(F.col("merchant_key").alias("k")).agg(F.max_by(shown, "event_id").alias("stored"))
-    return m.join(latest, m["merchant_key"] == latest["k"], "left").select("event_id", F.coalesce("stored", "merchant_display").alias("display"))
+    stored = m.where("event_id % 2 = 0").select("merchant_key", shown.alias("merchant_display"), F.col("event_id").alias("tx_id"), F.lit(0).alias("ts_ms"))
+    return classify.resolved_merchants(m, stored).select("event_id", F.col("resolved_display").alias("display"))
 
 
 @query
@@ -224,7 +273,8 @@ def future_rule_overlay(spark, sf_dir):
 def category_seed_join(spark, sf_dir):
     counts = _merchants(spark, sf_dir).groupBy(_category().alias("c")).agg(F.count(F.lit(1)).alias("k"))
     seed = store.seed_categories(spark)
-    return seed.join(counts, seed["category_id"] == counts["c"], "left").select("category_id", "name", "sort_order", F.coalesce("k", F.lit(0)).alias("n"))
+    return store.categories_in_order(seed.join(counts, seed["category_id"] == counts["c"], "left").select(
+        "category_id", "name", "sort_order", F.coalesce("k", F.lit(0)).alias("n")))
 
 
 @query
@@ -244,7 +294,18 @@ _of(lambda t: t.select("seq", "fingerprint"), _fingerprinted, "fingerprint")
 _of(lambda t: dedupe.first_of_each(t).select("seq", "ts_ms"), _fingerprinted, "dedupe_exact")
 _of(lambda t: dedupe.first_by_window(t).select("seq", "place"), _fingerprinted, "dedupe_rank")
 _of(lambda t: dedupe.near_matches(dedupe.first_of_each(t)), _fingerprinted, "dedupe_near")
-_of(lambda t: dedupe.decide(t).select("seq", "decision", "points_to"), adapters.tx_events, "dedupe_decision")
+_of(lambda t: dedupe.decide(t).select("seq", "decision", "duplicate_status", "points_to"), adapters.tx_events, "dedupe_decision")
+
+
+@query
+def dedupe_decision_stored(spark, sf_dir):
+    """Against stored rows and with the user's say on near duplicates."""
+    t = _fingerprinted(spark, sf_dir)
+    override = F.when(F.col("seq") % 5 == 0, "NONE").when(F.col("seq") % 5 == 1, "CONFIRMED")
+    incoming = t.where("seq % 3 <> 0").withColumn("duplicate_override", override)
+    return dedupe.decide(incoming, stored=t.where("seq % 3 = 0")).select("seq", "decision", "duplicate_status", "points_to")
+
+
 _of(lambda t: dedupe.unstored(t.where("seq % 3 <> 0"), t.where("seq % 3 = 0")).select("seq"), _fingerprinted, "dedupe_unstored")
 
 
@@ -260,8 +321,9 @@ def duplicate_pointer_join(spark, sf_dir):
 
 
 def _payments(spark, sf_dir):
-    e = adapters.tx_events(spark, sf_dir).where("seq % 3 = 0").select(
-        F.col("seq").alias("tx_id"), "merchant_key", F.col("merchant_key").alias("merchant_display"), "ts_ms", "amount_minor", "currency")
+    name = F.concat_ws(" ", "merchant_key", (F.col("seq") % 3).cast("string"))  # three series of each, weeks apart
+    e = adapters.tx_events(spark, sf_dir).select(
+        F.col("seq").alias("tx_id"), name.alias("merchant_key"), name.alias("merchant_display"), "ts_ms", "amount_minor", "currency")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     return e.unionByName(o.select(
@@ -282,6 +344,30 @@ _of(lambda s: dashboard.subscription_totals(s, "INR"), _subscriptions, "sub_tota
 _of(lambda s: dashboard.suspected(s).select("merchant_key", "status", F.round("confidence", 9).alias("confidence"), F.col("n_evidence").cast("bigint").alias("n_evidence")),
     _subscriptions, "sub_list")
 _of(lambda s: s.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("merchant_key").alias("first_key")), _subscriptions, "status_partition")
+_of(lambda s: recurrence.by_status(s).select("status", "merchant_key", F.round("confidence", 9).alias("confidence")), _subscriptions, "status_lists")
+
+
+@query
+def recur_eligible(spark, sf_dir):
+    excluded = corrections.excluded_ids(adapters.corrections(spark, sf_dir))
+    return recurrence.eligible(adapters.tx_orders(spark, sf_dir), excluded).select("tx_id", "merchant_key", "amount_minor")
+
+
+@query
+def dash_top_lists(spark, sf_dir):
+    lists = dashboard.top_lists(_period(spark, sf_dir), _subscriptions(spark, sf_dir), "INR")
+    return lists.select("list", "place", "member", F.round("measure", 6).alias("measure"))
+
+
+@query
+def dash_cache(spark, sf_dir):
+    """What is read back from the cached JSON of a period: its scalars, and how long its lists are."""
+    cache = dashboard.cache_row(_period(spark, sf_dir), START, END, "INR", NOW)
+    both = cache.union(cache.withColumn("cache_key", F.lit("other")))
+    return dashboard.cached(both, START, END).select(
+        "gross_minor", "credits_minor", "refunds_minor", "transaction_count", "net_minor", F.aggregate(
+            "categories", F.lit(0).cast("long"), lambda a, x: a + x["total_minor"]).alias("in_categories"),
+        F.size("months").cast("long").alias("n_months"), F.get("recent_ids", F.lit(0)).alias("latest_id"))
 
 
 @query
@@ -292,13 +378,26 @@ def recur_merge(spark, sf_dir):
         F.col("merchant_key").alias("subscription_id"), "merchant_key", F.lit(1).alias("updated_at"),
         _pick(("DISMISSED", "CONFIRMED", "SUSPECTED", "POSSIBLY_INACTIVE"), n % 4 + 1).alias("status"),
         F.when(first % 2 == 0, F.col("evidence_ids")).otherwise(F.slice("evidence_ids", 2, n)).alias("evidence_ids"))
-    return recurrence.merge(found, stored).select("merchant_key", "status", "is_new")
+    stored = stored.join(found.drop("status", "evidence_ids").withColumn("estimated_amount_minor", F.lit(1).cast("long")), "merchant_key").withColumn(
+        "created_at", F.lit(7).cast("long"))
+    return recurrence.merge(found, stored, NOW).select(
+        F.when(F.col("is_new"), None).otherwise(F.col("subscription_id")).alias("old_id"), "merchant_key", "status", "is_new", "estimated_amount_minor",
+        "created_at", "updated_at", F.size("evidence_ids").cast("bigint").alias("n_evidence"))
 
 
 @query
 def sub_evidence(spark, sf_dir):
-    e = _subscriptions(spark, sf_dir).select("merchant_key", F.explode("evidence_ids").alias("tx_id"))
-    return e.join(_payments(spark, sf_dir), ["merchant_key", "tx_id"]).select("merchant_key", "tx_id", "amount_minor")
+    return recurrence.evidence(_subscriptions(spark, sf_dir), _payments(spark, sf_dir)).select("merchant_key", "tx_id", "amount_minor")
+
+
+@query
+def sub_corrections(spark, sf_dir):
+    n = F.col("tx_id")
+    given = _payments(spark, sf_dir).where("tx_id % 4 = 0").select(
+        n.alias("correction_id"), n, F.when(n % 8 == 0, "SUBSCRIPTION_STATUS").otherwise("CATEGORY").alias("field_name"),
+        _pick((" dismissed ", "CONFIRMED", "no such"), n % 3 + 1).alias("new_value"), F.col("ts_ms").alias("updated_at"))
+    subs = _subscriptions(spark, sf_dir)
+    return corrections.apply_to_subscriptions(subs, _payments(spark, sf_dir), given).select("merchant_key", "status", "estimated_amount_minor")
 
 
 # corrections and stores
@@ -306,8 +405,45 @@ def sub_evidence(spark, sf_dir):
 
 @query
 def corrections_materialise(spark, sf_dir):
-    return corrections.apply(adapters.tx_orders(spark, sf_dir), adapters.corrections(spark, sf_dir)).select(
-        "tx_id", "merchant_key", "merchant_display", "category_id", "direction", "duplicate_status", "transfer_status", "is_user_confirmed")
+    tx = _pointing(spark, sf_dir)
+    return corrections.apply(tx, adapters.corrections(spark, sf_dir)).select(
+        "tx_id", "merchant_key", "merchant_display", "category_id", "direction", "duplicate_status", "possible_duplicate_of", "transfer_status", "is_user_confirmed")
+
+
+def _pointing(spark, sf_dir):
+    """Orders of which those that may be duplicates point to the order before."""
+    return adapters.tx_orders(spark, sf_dir).withColumn(
+        "possible_duplicate_of", F.when(F.col("duplicate_status") != "NONE", F.col("tx_id") - 1))
+
+
+@query
+def corrections_outcome(spark, sf_dir):
+    n = F.col("correction_id")
+    given = adapters.corrections(spark, sf_dir).withColumns({
+        "tx_id": F.when(n % 90 == 0, -1).otherwise(n), "merchant_match_key": F.when(n % 4 != 0, F.col("merchant_match_key"))})
+    return corrections.outcomes(given, adapters.tx_orders(spark, sf_dir))
+
+
+def _deleted(spark, sf_dir):
+    tx = _pointing(spark, sf_dir)
+    return store.without_transactions({"transactions": tx, "user_corrections": adapters.corrections(spark, sf_dir)}, tx.where("tx_id % 7 = 0"))
+
+
+@query
+def fk_set_null(spark, sf_dir):
+    return _deleted(spark, sf_dir)["transactions"].select("tx_id", "possible_duplicate_of")
+
+
+@query
+def fk_cascade(spark, sf_dir):
+    return _deleted(spark, sf_dir)["user_corrections"].select("correction_id", "tx_id")
+
+
+@query
+def fk_restrict(spark, sf_dir):
+    seed = store.seed_categories(spark)
+    tx = _merchants(spark, sf_dir).select(_category().alias("category_id"))
+    return store.deletable_categories(seed, tx).select("category_id", "sort_order")
 
 
 _of(corrections.excluded_ids, adapters.corrections, "exclusion_join")
@@ -316,19 +452,19 @@ _of(corrections.excluded_ids, adapters.corrections, "exclusion_join")
 @query
 def upsert_fingerprint(spark, sf_dir):
     tx = adapters.tx_orders(spark, sf_dir).select("tx_id", "ts_ms", "amount_minor")
-    incoming = tx.where("tx_id % 3 = 0").select("tx_id", (F.col("ts_ms") + 1).alias("ts_ms"), (F.col("amount_minor") + 100).alias("amount_minor"))
+    incoming = tx.where("tx_id % 3 = 0 or tx_id % 2 = 1").select("tx_id", (F.col("ts_ms") + 1).alias("ts_ms"), (F.col("amount_minor") + 100).alias("amount_minor"))
     return store.upserted(tx.where("tx_id % 2 = 0"), incoming, "tx_id", kept=("tx_id", "ts_ms"))
 
 
-@query
-def activate_bundle(spark, sf_dir):
-    bundles = BundleStore()
-    for n in range(40):
-        v = str(n)
-        bundles.bundles[v] = Bundle(v, "", "", ("ACTIVE", "INSTALLED", "ROLLBACK", "INVALID")[n % 4] if n == 0 or n % 4 else "INSTALLED")
-    bundles.bundles["11"] = Bundle("11", "", "")
-    bundles.activate("11")
-    return spark.createDataFrame([(b.parser_version, b.status) for b in bundles.bundles.values()], "version string, status string")
+def _metadata(spark, sf_dir):
+    n = F.col("event_id")
+    return _events(spark, sf_dir).select(
+        n.cast("string").alias("parser_version"), _pick(("ACTIVE", "INSTALLED", "ROLLBACK", "INVALID"), n % 4 + 1).alias("status"),
+        F.when(n % 4 == 0, n).alias("activated_at"))
+
+
+_of(lambda m: rules.activated(m, "13", NOW), _metadata, "activate_bundle")
+_of(lambda m: rules.marked(rules.marked(m, "4", "INVALID"), "8", "ROLLBACK"), _metadata, "mark_bundle")
 
 
 @query
@@ -338,23 +474,33 @@ def support_idempotency(spark, sf_dir):
 
 
 @query
-def latest_completed(spark, sf_dir):
-    return _events(spark, sf_dir).where("event_type = 'purchase'").agg(
-        F.max_by("event_id", "ts").alias("scan_id"), F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("completed_ms"))
+def support_idempotency_stored(spark, sf_dir):
+    s = _events(spark, sf_dir).select(
+        F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("idempotency_key"), (F.col("event_id") % 2).cast("string").alias("payload"))
+    old = s.where("seq % 10 = 0").groupBy("idempotency_key").agg(F.sha2(F.min_by("payload", "seq"), 256).alias("payload_hash"))
+    return store.support_outcome(s.where("seq % 10 <> 0"), old)
 
 
-@query
-def status_lookups(spark, sf_dir):
-    e = _events(spark, sf_dir).where(F.col("event_type").isin("click", "view"))
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id")
-    return e.withColumn("place", F.row_number().over(w)).where("place = 1").select("event_type", "event_id")
+def _scans(spark, sf_dir):
+    """Scan states: one per event, the status by its number."""
+    n, ms = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    return _events(spark, sf_dir).select(
+        n.alias("scan_id"), _pick(lexicon.SCAN_STATUSES, n % 6 + 1).alias("status"), (ms - 1000).alias("started_at"),
+        F.when(n % 5 != 0, ms).alias("completed_at"), ms.alias("updated_at"), (n % 40).alias("processed"), (n % 30).alias("accepted"))
+
+
+_of(lambda s: scans.latest_completed(s).select("scan_id", "completed_at"), _scans, "latest_completed")
+_of(lambda s: scans.active(s).select(F.lit("active").alias("lookup"), "scan_id").union(
+    scans.resumable(s).select(F.lit("resumable"), "scan_id")), _scans, "status_lookups")
+_of(scans.newest_by_status, _scans, "scan_newest_by_status")
+_of(lambda s: s.select("scan_id", scans.violation().alias("violation")), _scans, "scan_violations")
+_of(lambda e: e.select("event_id", ingest.after(_pick((*ingest.AFTER, "no such"), F.col("event_id") % 11 + 1)).alias("outcome")), _events, "retry_mapping")
 
 
 @query
 def cached_recent_ids(spark, sf_dir):
     cached = spark.createDataFrame([([5, 3, 999999999, 8, 1],)], "ids array<long>").select(F.posexplode("ids").alias("pos", "id"))
-    tx = adapters.tx_orders(spark, sf_dir)
-    return tx.join(F.broadcast(cached), tx["tx_id"] == cached["id"]).select("pos", "tx_id", "amount_minor")
+    return dashboard.by_ids(adapters.tx_orders(spark, sf_dir), cached).select("pos", "tx_id", "amount_minor")
 
 
 # privacy, telemetry
@@ -371,7 +517,7 @@ _of(lambda m: m.select("source_message_id", privacy.looks_secret(F.col("body")).
 @query
 def prohibited_keys(spark, sf_dir):
     body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"a": [1, {"b": {"Sms_Body": '), "props", F.lit("}}]}"))).otherwise(F.col("props"))
-    return _events(spark, sf_dir).select("event_id", privacy.prohibited_key(body).alias("key"))
+    return _events(spark, sf_dir).select("event_id", privacy.prohibited_key(body).alias("key"), privacy.prohibited_path(body).alias("path"))
 
 
 @query
@@ -390,7 +536,55 @@ def _twice(spark, sf_dir):
 
 
 _of(telemetry.daily_counts, _twice, "telemetry_dedupe_daily")
-_of(lambda e: e.groupBy("event_type", "event_id").agg(F.count(F.lit(1)).alias("c")).groupBy("event_type").agg(
-    F.sum("c").alias("received"), F.count(F.lit(1)).alias("accepted")).withColumn("duplicates", F.col("received") - F.col("accepted")),
-    _twice, "telemetry_accepted")
+_of(telemetry.accepted_and_duplicates, _twice, "telemetry_accepted")
+_of(lambda e: telemetry.accepted_and_duplicates(e, e.where("event_id % 4 = 0")), _twice, "telemetry_accepted_stored")
+_of(lambda e: telemetry.added_counts(telemetry.daily_counts(e.where("event_id % 4 = 0")), telemetry.unstored(e, e.where("event_id % 4 = 0"))),
+    _twice, "telemetry_added_counts")
+
+
+def _uuid(n):
+    return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(n.cast("string"), 12, "0"))
+
+
+def _requests(spark, sf_dir):
+    """Batches of one or two events as JSON, most with a fault by their number."""
+    n = F.col("event_id")
+    event = F.concat(
+        F.lit('{"eventId": "'), F.when(n % 13 == 1, "x").otherwise(_uuid(n)), F.lit('", "occurredAt": '), F.when(n % 13 == 2, '" "').otherwise('"2024"'),
+        F.lit(', "eventType": "'), _pick((*lexicon.TELEMETRY_EVENT_TYPES, "other"), n % 8 + 1), F.lit('"'),
+        F.when(n % 13 == 3, ', "durationBucket": "LONG"').when(n % 13 == 4, ', "countBucket": null').when(n % 13 == 5, ', "errorCode": "ab"')
+        .when(n % 13 == 6, ', "zeta": 1, "eta": 2').when(n % 13 == 7, ', "errorCode": "E_42"').otherwise(""), F.lit("}"))
+    events = F.when(n % 17 == 1, "[]").when(n % 17 == 2, "7").when(n % 17 == 3, F.concat(F.lit("["), event, F.lit(", 3]"))).otherwise(
+        F.concat(F.lit("["), event, F.lit("]")))
+    body = F.concat(
+        F.lit('{"schemaVersion": '), F.when(n % 19 == 1, '"1"').when(n % 19 == 2, "2").otherwise("1"), F.lit(', "batchId": "'),
+        F.when(n % 19 == 3, "none").otherwise(_uuid(n)), F.lit('", "events": '), events,
+        F.when(n % 19 == 4, ', "other": {"a": [{"SMS": 1}]}').when(n % 19 == 5, ', "more": 1').otherwise(""), F.when(n % 19 == 6, "").otherwise("}"))
+    return _events(spark, sf_dir).select(n.alias("n"), body.alias("body"))
+
+
+_of(lambda r: payloads.telemetry_checked(r).select("n", "problem.*"), _requests, "telemetry_payloads")
+_of(lambda r: payloads.telemetry_events(payloads.telemetry_checked(r)).select("n", "event_id", "event_type"), _requests, "telemetry_payload_events")
+
+
+@query
+def support_payloads(spark, sf_dir):
+    n = F.col("event_id")
+    body = F.concat(
+        F.lit('{"schemaVersion": 1, "submissionId": "'), F.when(n % 11 == 1, "x").otherwise(_uuid(n)), F.lit('", "consentedAt": '),
+        F.when(n % 11 == 2, "5").otherwise('"2024"'), F.lit(', "previewConfirmed": '), F.when(n % 11 == 3, '"true"').otherwise("true"),
+        F.lit(', "redactionVersion": "'), F.when(n % 11 == 4, F.repeat(F.lit("r"), 33)).otherwise("r1"), F.lit('", "reason": "'),
+        _pick((*lexicon.SUPPORT_REASONS, "why"), n % 5 + 1), F.lit('", "redactedTemplate": "'), F.when(n % 11 == 5, "").otherwise("<amt>"),
+        F.when(n % 11 == 6, '", "x": 1, "body": 2}').when(n % 11 == 7, '", "x": 1}').otherwise('"}'))
+    r = _events(spark, sf_dir).select(n.alias("n"), body.alias("body"), F.when(n % 7 != 0, _uuid(n)).alias("idempotency_key"))
+    return payloads.support_checked(r).select("n", "problem.*")
+
+
+@query
+def header_check(spark, sf_dir):
+    n = F.col("event_id")
+    h = _events(spark, sf_dir).select(
+        n.alias("n"), F.when(n % 5 != 0, "1.0").alias("app_version"), _pick(("android", "ios", ""), n % 3 + 1).alias("platform"),
+        F.when(n % 7 != 0, "14").otherwise(" ").alias("os_version"), F.when(n % 11 != 0, _uuid(n)).otherwise("x").alias("install_id"))
+    return h.select("n", payloads.header_problem().alias("p")).select("n", "p.*")
 _of(lambda e: telemetry.alive(e, 1_707_500_000_000).select("event_id"), _events, "ttl_alive")

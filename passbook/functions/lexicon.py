@@ -121,5 +121,8 @@ DURATION_BUCKETS = ("LT_1S", "1S_5S", "5S_15S", "15S_30S", "30S_60S", "1M_5M", "
 COUNT_BUCKETS = ("0", "1_10", "11_50", "51_200", "201_1000", "1001_PLUS")
 SUPPORT_REASONS = ("no_rule_match", "parse_failed", "incorrect_extraction", "other")
 
+# Closed sets of the ledger's columns.
 DIRECTIONS = ("DEBIT", "CREDIT", "REFUND", "REVERSAL", "TRANSFER")
 STATUSES = ("NONE", "SUSPECTED", "CONFIRMED")
+SUBSCRIPTION_STATUSES = ("SUSPECTED", "CONFIRMED", "DISMISSED", "POSSIBLY_INACTIVE")
+SCAN_STATUSES = ("PENDING", "RUNNING", "COMPLETED", "INTERRUPTED", "CANCELLED", "FAILED")

@@ -98,16 +98,31 @@ def sha256(*parts: Column) -> Column:
 
 
 def version_parts(c: Column) -> Column:
-    """The first dotted number as padded integers, or null; arrays compare in order."""
+    """The first dotted number as integers, or null."""
     core = F.nullif(F.regexp_extract(c, r"\d+(?:\.\d+)+", 0), F.lit(""))
-    parts = F.transform(F.split(core, r"\."), lambda x: x.try_cast("int"))
-    padded = F.slice(F.concat(parts, F.array_repeat(F.lit(0), 16)), 1, 16)
-    return F.when(~F.exists(parts, lambda x: x.isNull()), padded)
+    return let(F.transform(F.split(core, r"\."), lambda x: x.try_cast("int")), lambda p: F.when(~F.exists(p, lambda x: x.isNull()), p))
+
+
+def _compare_parts(x: Column, y: Column) -> Column:
+    """-1, 0 or 1 for two arrays of numbers, the shorter filled with zeros to any length."""
+    zeros = lambda n: F.array_repeat(F.lit(0), F.greatest(n, F.lit(0)))
+    longer = F.concat(x, zeros(F.size(y) - F.size(x)))
+    return let(longer, lambda a: let(F.concat(y, zeros(F.size(x) - F.size(y))), lambda b: F.when(a < b, -1).when(a > b, 1).otherwise(0)))
+
+
+def app_version_fits(current: Column, minimum: Column) -> Column:
+    """Whether an app version is at least ``minimum``; suffixes after - or + don't count, a part that is no number never fits."""
+
+    def parts(c: Column) -> Column:
+        core = F.regexp_replace(squeeze(c), r"[-+].*$", "")
+        return F.when(core.rlike(r"^\d+(\.\d+)*$"), F.transform(F.split(core, r"\."), lambda x: x.try_cast("int")))
+
+    return F.coalesce(let(parts(current), lambda x: let(parts(minimum), lambda y: F.when(
+        ~F.exists(x, lambda v: v.isNull()) & ~F.exists(y, lambda v: v.isNull()), _compare_parts(x, y) >= 0))), F.lit(False))
 
 
 def version_compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1: by dotted numbers if both have one, else by text."""
-    x, y = version_parts(a), version_parts(b)
-    by_number = F.when(x < y, -1).when(x > y, 1).otherwise(0)
     by_text = F.when(a < b, -1).when(a > b, 1).otherwise(0)
-    return F.when(x.isNotNull() & y.isNotNull(), by_number).otherwise(by_text)
+    return let(version_parts(a), lambda x: let(version_parts(b), lambda y: F.when(
+        x.isNotNull() & y.isNotNull(), _compare_parts(x, y)).otherwise(by_text)))

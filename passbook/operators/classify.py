@@ -81,26 +81,44 @@ def future_rules(corrections: DataFrame) -> DataFrame:
         F.when(F.col("field_name") == field, F.struct("updated_at", "correction_id")))
     return rules.groupBy("merchant_match_key").agg(
         *[newest(f).alias("rule_" + f.lower()) for f in
-          ("MERCHANT", "CATEGORY", "DIRECTION", "TRANSFER_STATUS", "NOT_A_TRANSACTION")])
+          ("MERCHANT", "CATEGORY", "DIRECTION", "TRANSFER_STATUS", "DUPLICATE_STATUS", "NOT_A_TRANSACTION")])
+
+
+def one_of(value: Column, allowed) -> Column:
+    """The value, trimmed and in capitals, if it is allowed; else null."""
+    return text.let(F.upper(text.squeeze(value)), lambda v: F.when(v.isin(*allowed), v))
+
+
+def resolved_merchants(tx: DataFrame, stored: DataFrame) -> DataFrame:
+    """``tx`` plus resolved_display: the display of the latest stored row (merchant_key, merchant_display, ts_ms, tx_id) of its key, else its own.
+
+    Rows without a merchant key drop out.
+    """
+    latest = stored.where("merchant_key is not null").groupBy(F.col("merchant_key").alias("r_key")).agg(
+        F.max_by("merchant_display", F.struct("ts_ms", "tx_id")).alias("r_display"))
+    known = tx.where("merchant_key is not null")
+    return known.join(latest, known["merchant_key"] == latest["r_key"], "left").select(
+        *[known[c] for c in tx.columns], F.coalesce("r_display", "merchant_display").alias("resolved_display"))
 
 
 def classified(candidates: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Candidates plus merchant, role and category, under the future rules of their merchant."""
+    """Candidates plus merchant, role, category and duplicate_override, under the future rules of their merchant."""
     c = candidates.withColumn("m", merchant_struct(F.col("merchant"))).select(
         *candidates.columns, F.col("m.key").alias("merchant_key"), F.col("m.display").alias("merchant_display"),
         F.col("m.raw_normalized").alias("merchant_raw"))
     none = F.lit(None).cast("string")
-    user = {k: none for k in ("merchant", "category", "direction", "transfer_status", "not_a_transaction")}
+    user = {k: none for k in ("merchant", "category", "direction", "transfer_status", "duplicate_status", "not_a_transaction")}
     if rules is not None:
         c = c.join(rules, c["merchant_key"] == rules["merchant_match_key"], "left")
         user = {k: F.col("rule_" + k) for k in user}
-    direction = F.coalesce(F.when(user["direction"].isin(*lexicon.DIRECTIONS), user["direction"]), F.col("direction"))
+    direction = F.coalesce(one_of(user["direction"], lexicon.DIRECTIONS), F.col("direction"))
     display = F.coalesce(user["merchant"], F.col("merchant_display"))
     words = haystack(F.col("merchant_key"), display, F.col("merchant_raw"))
-    status = transfer_status(direction, words, F.when(user["transfer_status"].isin(*lexicon.STATUSES), user["transfer_status"]))
-    excluded = F.coalesce(user["not_a_transaction"] == "true", F.lit(False))
+    status = transfer_status(direction, words, one_of(user["transfer_status"], lexicon.STATUSES))
+    excluded = F.coalesce(F.lower(text.squeeze(user["not_a_transaction"])) == "true", F.lit(False))
     keep = [x for x in candidates.columns if x not in ("direction", "merchant")]
     return c.select(
         *keep, direction.alias("direction"), "merchant_key", display.alias("merchant_display"), "merchant_raw",
         status.alias("transfer_status"), spending_role(direction, status, excluded).alias("role"),
-        category(direction, F.col("payment_method"), status, F.col("merchant_key"), words, user["category"]).alias("category_id"))
+        category(direction, F.col("payment_method"), status, F.col("merchant_key"), words, user["category"]).alias("category_id"),
+        one_of(user["duplicate_status"], lexicon.STATUSES).alias("duplicate_override"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from passbook.operators.classify import spending_role
 
@@ -89,5 +90,54 @@ def subscription_totals(subscriptions: DataFrame, currency: str) -> DataFrame:
 
 
 def suspected(subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions that aren't dismissed, the most confident first."""
     return subscriptions.where("status in ('SUSPECTED', 'CONFIRMED', 'POSSIBLY_INACTIVE')").select(
-        "merchant_key", "status", "confidence", F.size("evidence_ids").alias("n_evidence"))
+        "merchant_key", "status", "confidence", F.size("evidence_ids").alias("n_evidence")).orderBy(F.desc("confidence"), "merchant_key")
+
+
+#: Places of the short lists.
+TOP_CATEGORIES, TOP_MERCHANTS, TOP_SUBSCRIPTIONS = 6, 5, 3
+
+
+def _top(rows: DataFrame, name: str, member: str, measure: str, k: int) -> DataFrame:
+    """The k rows with the greatest measure, ties by member: (list, place, member, measure)."""
+    chosen = rows.orderBy(F.desc(measure), member).limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc(measure), member))  # over k rows
+    return chosen.select(F.lit(name).alias("list"), place.alias("place"), F.col(member).alias("member"), F.col(measure).cast("double").alias("measure"))
+
+
+def top_lists(tx: DataFrame, subscriptions: DataFrame, currency: str) -> DataFrame:
+    """The leading categories and merchants by money spent, and subscriptions by confidence."""
+    return (_top(by_category(tx, currency), "categories", "category_id", "total_minor", TOP_CATEGORIES)
+            .union(_top(by_merchant(tx, currency), "merchants", "merchant_key", "total_minor", TOP_MERCHANTS))
+            .union(_top(suspected(subscriptions), "subscriptions", "merchant_key", "confidence", TOP_SUBSCRIPTIONS)))
+
+
+CACHED = ("gross_minor long, credits_minor long, refunds_minor long, transaction_count long, net_minor long, "
+          "categories array<struct<category_id: string, total_minor: long, n: long>>, months array<struct<month: string, total_minor: long, n: long>>, "
+          "recent_ids array<long>")
+
+
+def cache_row(tx: DataFrame, start: int, end: int, currency: str, now_ms: int) -> DataFrame:
+    """One row (cache_key, payload, updated_at) with the dashboard of a period as JSON: scalars, categories, months, recent ids.
+
+    All lists are bounded: by the categories, by the months of the period, by ten.
+    """
+    ordered = lambda df, *c: df.agg(F.sort_array(F.collect_list(F.struct(*c))).alias("x"))
+    parts = scalars(tx, currency)
+    for name, df in (("categories", ordered(by_category(tx, currency), "category_id", "total_minor", "n")),
+                     ("months", ordered(by_month(tx, currency), "month", "total_minor", "n")),
+                     ("recent_ids", recent(tx).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("ts_ms")).alias("t"), "tx_id"))), lambda x: x["tx_id"]).alias("x")))):
+        parts = parts.join(df.withColumnRenamed("x", name))  # one row each
+    return parts.select(F.lit(f"{start}:{end}").alias("cache_key"), F.to_json(F.struct(*parts.columns)).alias("payload"), F.lit(now_ms).alias("updated_at"))
+
+
+def cached(cache: DataFrame, start: int, end: int) -> DataFrame:
+    """The dashboard stored for exactly this period; no row if there is none or its payload can't be read."""
+    d = cache.where(F.col("cache_key") == f"{start}:{end}").select(F.from_json("payload", CACHED).alias("d"))
+    return d.where("d.transaction_count is not null").select("d.*")
+
+
+def by_ids(tx: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``tx`` named in the short list ``ids`` (pos, id), with their place in it; ids that are gone drop out."""
+    return tx.join(F.broadcast(ids), tx["tx_id"] == ids["id"]).drop("id").orderBy("pos")

@@ -59,7 +59,7 @@ def near_matches(survivors: DataFrame, window_ms: int = WINDOW_MS, stored: DataF
 
     def base_of(tx: DataFrame, is_stored: bool) -> DataFrame:
         return tx.select("seq", "ts_ms", *key, F.coalesce("merchant_key", F.lit("")).alias("mk"),
-                         F.col("merchant_key").isNull().alias("no_m"), "reference_hash", F.lower("masked_account").alias("account"),
+                         F.col("merchant_key").isNull().alias("no_m"), "reference_hash", text.fold(F.col("masked_account")).alias("account"),
                          F.expr(f"ts_ms div {window_ms}").alias("slot"), F.lit(is_stored).alias("stored"))
 
     base = base_of(survivors, False)
@@ -80,16 +80,37 @@ def near_matches(survivors: DataFrame, window_ms: int = WINDOW_MS, stored: DataF
         "seq", F.col("x.s").alias("near_seq"), F.col("x.d").alias("distance_ms"))
 
 
-def decide(tx: DataFrame) -> DataFrame:
-    """Per incoming row: REUSED, SUSPECTED or UNIQUE, and the row it points to."""
-    marked = tx.withColumn("fingerprint", fingerprint())
-    kept = first_of_each(marked)
-    near = near_matches(kept).select(F.col("seq").alias("n_seq"), "near_seq")
+def status_of(near: Column, override: Column) -> Column:
+    """duplicate_status of a new row: NONE without a near match or if the user says so, else the user's status or SUSPECTED."""
+    return F.when(near.isNull() | F.coalesce(override == "NONE", F.lit(False)), "NONE").otherwise(F.coalesce(override, F.lit("SUSPECTED")))
+
+
+def decide(tx: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Per incoming row: REUSED, SUSPECTED or UNIQUE, its duplicate_status, and the row it points to.
+
+    A row that is stored already, by source hash or else by fingerprint, is reused, as is one whose fingerprint came before.  ``tx`` may
+    have the user's duplicate_override per row: NONE makes a new row unique, another status stands for SUSPECTED.
+    """
+    marked = tx.withColumn("fingerprint", fingerprint()).withColumn("old_seq", F.lit(None).cast("long"))
+    if "duplicate_override" not in tx.columns:
+        marked = marked.withColumn("duplicate_override", F.lit(None).cast("string"))
+    new = marked
+    if stored is not None:
+        new = marked.drop("old_seq")
+        for key in [k for k in ("source_hash", "fingerprint") if k in tx.columns or k == "fingerprint"]:
+            old = stored.groupBy(F.col(key).alias("o_" + key)).agg(F.min("seq").alias("seq_" + key))
+            new = new.join(old, new[key] == old["o_" + key], "left").drop("o_" + key)
+        marked = new.withColumn("old_seq", F.coalesce(*[c for c in new.columns if c.startswith("seq_")])).drop("seq_source_hash", "seq_fingerprint")
+        new = marked.where("old_seq is null")
+    kept = first_of_each(new)
+    near = near_matches(kept, stored=stored).select(F.col("seq").alias("n_seq"), "near_seq")
     first = kept.select(F.col("fingerprint").alias("f"), F.col("seq").alias("first_seq"))
-    joined = marked.join(first, marked["fingerprint"] == first["f"]).join(near, marked["seq"] == near["n_seq"], "left")
-    reused = F.col("seq") != F.col("first_seq")
-    return joined.select("seq", "fingerprint", F.when(reused, "REUSED").when(F.col("near_seq").isNotNull(), "SUSPECTED").otherwise("UNIQUE").alias("decision"),
-                         F.when(reused, F.col("first_seq")).otherwise(F.col("near_seq")).alias("points_to"))
+    joined = marked.join(first, marked["fingerprint"] == first["f"], "left").join(near, marked["seq"] == near["n_seq"], "left")
+    target = F.coalesce("old_seq", F.when(F.col("seq") != F.col("first_seq"), F.col("first_seq")))
+    status = status_of(F.col("near_seq"), F.col("duplicate_override"))
+    return joined.select(
+        "seq", "fingerprint", F.when(target.isNotNull(), "REUSED").when(status != "NONE", "SUSPECTED").otherwise("UNIQUE").alias("decision"),
+        F.when(target.isNull(), status).alias("duplicate_status"), F.coalesce(target, F.when(status != "NONE", F.col("near_seq"))).alias("points_to"))
 
 
 def first_by_window(tx: DataFrame) -> DataFrame:

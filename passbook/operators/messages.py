@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import StringType
 
 from passbook.functions import lexicon, text
 from passbook.sources.rules import Institution, Pattern, Rules
@@ -17,11 +17,18 @@ from passbook.sources.rules import Institution, Pattern, Rules
 CONFIDENCE_MINIMUM = 0.60
 
 
+def well_formed() -> Column:
+    """Id, sender and time are there, the body isn't empty, the time isn't negative."""
+    return F.coalesce(text.present(F.col("source_message_id").cast("string")).isNotNull() & text.present(F.col("sender")).isNotNull()
+                      & (F.col("received_ms") >= 0) & (F.length("body") > 0), F.lit(False))
+
+
 def mapped(raw: DataFrame) -> DataFrame:
-    """Trimmed id and sender; rows with a missing field, an empty body or a negative time drop out."""
-    r = raw.select(text.present(F.col("source_message_id").cast("string")).alias("source_message_id"),
-                   text.present(F.col("sender")).alias("sender"), "received_ms", "body")
-    return r.where("source_message_id is not null and sender is not null and received_ms >= 0 and length(body) > 0")
+    """The rows that are well formed, with sender trimmed; an id that is text is trimmed too, a number stays one."""
+    sent = F.col("source_message_id")
+    if isinstance(raw.schema["source_message_id"].dataType, StringType):
+        sent = text.present(sent)
+    return raw.where(well_formed()).select(sent.alias("source_message_id"), text.present(F.col("sender")).alias("sender"), "received_ms", "body")
 
 
 def keyset_page(messages: DataFrame, start: int, end: int, after: int | None, limit: int) -> DataFrame:
@@ -33,9 +40,12 @@ def keyset_page(messages: DataFrame, start: int, end: int, after: int | None, li
 
 
 def page_state(page: DataFrame, limit: int) -> DataFrame:
-    """The cursor after a page, its rows, and whether the source is exhausted."""
-    return page.agg(F.max("source_message_id").alias("next_id"), F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "exhausted", F.col("n_rows") < limit)
+    """The cursor after a page of raw rows, their number, and whether the source is exhausted.
+
+    The cursor is the last well-formed row, or the last row if none is; malformed rows count as read.
+    """
+    return page.agg(F.coalesce(F.max(F.when(well_formed(), F.col("source_message_id"))), F.max("source_message_id")).alias("next_id"),
+                    F.count(F.lit(1)).alias("n_rows")).withColumn("exhausted", F.col("n_rows") < limit)
 
 
 def sender_known(sender: Column, patterns: Sequence[str]) -> Column:
@@ -48,26 +58,28 @@ def sender_known(sender: Column, patterns: Sequence[str]) -> Column:
 
 
 def reject_reason(patterns: Sequence[str]) -> Column:
-    """Why a message is not worth parsing; null for those that are."""
+    """Why a message is not worth parsing; null for those that are.  What cannot be judged is rejected."""
     body = F.col("body")
     trimmed = text.squeeze(body)
     known = sender_known(F.col("sender"), patterns)
     financial = text.any_match(body, lexicon.FINANCIAL_POSITIVE)
     personal = (F.length(trimmed) <= 160) & ~trimmed.rlike(lexicon.AMOUNT_HINT)
-    return (F.when(trimmed == "", "BLANK")
+    return (F.when(F.col("sender").isNull() | body.isNull(), "MALFORMED")
+            .when(trimmed == "", "BLANK")
             .when(text.any_match(body, lexicon.STRONG_REJECT), "SECRET_CODE")
             .when(text.any_match(body, lexicon.DELIVERY_REJECT), "DELIVERY")
             .when(text.any_match(body, lexicon.MARKETING_REJECT) & ~financial, "MARKETING")
             .when(~known & ~financial & personal, "PERSONAL")
-            .when(~(known | financial), "NOT_FINANCIAL"))
+            .when(known | financial, None)
+            .otherwise("NOT_FINANCIAL"))
 
 
 def filtered(messages: DataFrame, rules: Rules) -> DataFrame:
     return messages.withColumn("reject_reason", reject_reason(rules.senders()))
 
 
-def extractions(messages: DataFrame, rules: Rules) -> DataFrame:
-    """One row per message and rule that matches with a valid amount, in a narrow plan.
+def _tries(rules: Rules) -> Column:
+    """An array with what each rule finds in a message (sender, body), null where it finds nothing.
 
     Rules of institutions whose sender pattern matches are tried, all if none does.  The
     rules are unrolled as literal patterns, which compile once per task.
@@ -107,36 +119,51 @@ def extractions(messages: DataFrame, rules: Rules) -> DataFrame:
     # bound once, so the rules are evaluated node by node: generated code for them all would be too large to be compiled
     message = F.struct("body", sender_known(F.col("sender"), rules.senders()).alias("known"), *[
         sender_known(F.col("sender"), i.senders).alias(f"own_{k}") for k, i in enumerate(rules.institutions)])
+    return text.let(message, tries)
+
+
+def extractions(messages: DataFrame, rules: Rules) -> DataFrame:
+    """One row per message and rule that matches with a valid amount, in a narrow plan."""
     # outer, so that no filter repeats the array below the generator
-    rows = messages.select("source_message_id", "sender", "received_ms", "body", F.posexplode_outer(
-        text.let(message, tries)).alias("rule_seq", "x"))
+    rows = messages.select("source_message_id", "sender", "received_ms", "body", F.posexplode_outer(_tries(rules)).alias("rule_seq", "x"))
     return rows.where("x is not null").select(
         "source_message_id", "sender", "received_ms", "body", "rule_seq", "x.*", F.coalesce("x.date_ms", "received_ms").alias("ts_ms")).drop("date_ms")
 
 
-def distinct_extractions(found: DataFrame) -> DataFrame:
-    """Of equivalent extractions of a message the most confident, of these the first rule's."""
-    key = ["source_message_id", "amount_minor", "currency", "direction", "merchant_fold", "ts_ms"]
-    w = Window.partitionBy(*key).orderBy(F.desc("confidence"), "rule_seq")
-    return found.withColumn("merchant_fold", F.lower(F.coalesce("merchant", F.lit("")))).withColumn(
-        "place", F.row_number().over(w)).where("place = 1").drop("place", "merchant_fold")
+RECORD = ("rule_id", "institution", "direction", "amount_minor", "currency", "merchant", "reference_hash", "ts_ms", "confidence")
+
+
+def outcome(rules: Rules) -> Column:
+    """{parse_status, parse_reason, x} of a message: the record of the most confident extraction, of these the first rule's.
+
+    Extractions with the same money, direction, merchant and time are one; several different ones are
+    ambiguous.  All of a message's extractions are in its own row, so nothing is shuffled.
+    """
+
+    def entry(x: Column, i: Column) -> Column:
+        ts = F.coalesce(x["date_ms"], F.col("received_ms"))
+        return F.when(x.isNotNull(), F.struct(
+            (-x["confidence"]).alias("rank"), i.alias("seq"),
+            F.struct(x["amount_minor"], x["currency"], x["direction"], F.lower(F.coalesce(x["merchant"], F.lit(""))), ts).alias("key"),
+            F.struct(*[(ts if c == "ts_ms" else x[c]).alias(c) for c in RECORD]).alias("x")))
+
+    def decided(found: Column) -> Column:
+        n, best = F.size(F.array_distinct(F.transform(found, lambda x: x["key"]))), F.get(found, F.lit(0))["x"]
+        weak = best["confidence"] < CONFIDENCE_MINIMUM
+        known = sender_known(F.col("sender"), rules.senders())
+        status = F.when(n == 0, "UNSUPPORTED").when(n > 1, "AMBIGUOUS").when(weak, "UNSUPPORTED").otherwise("SUCCESS")
+        reason = (F.when((n == 0) & known, "UNSUPPORTED_TEMPLATE").when(n == 0, "NO_SENDER_OR_PATTERN_MATCH")
+                  .when((n == 1) & weak, "LOW_CONFIDENCE"))
+        return F.struct(status.alias("parse_status"), reason.alias("parse_reason"), best.alias("x"))
+
+    return text.let(F.sort_array(F.filter(F.transform(_tries(rules), entry), lambda x: x.isNotNull())), decided)
 
 
 def outcomes(accepted: DataFrame, rules: Rules) -> DataFrame:
-    """parse_status and parse_reason per accepted message, with the record of those that succeed."""
-    best = distinct_extractions(extractions(accepted, rules)).groupBy("source_message_id").agg(
-        F.count(F.lit(1)).alias("n_found"), F.max_by(F.struct(
-            "rule_id", "institution", "direction", "amount_minor", "currency", "merchant", "reference_hash", "ts_ms", "confidence"),
-            F.struct("confidence", -F.col("rule_seq"))).alias("x")).withColumnRenamed("source_message_id", "found_id")
-    joined = accepted.join(best, accepted["source_message_id"] == best["found_id"], "left")
-    known = sender_known(F.col("sender"), rules.senders())
-    n = F.coalesce("n_found", F.lit(0))
-    status = (F.when(n == 0, "UNSUPPORTED").when(n > 1, "AMBIGUOUS")
-              .when(F.col("x.confidence") < CONFIDENCE_MINIMUM, "UNSUPPORTED").otherwise("SUCCESS"))
-    reason = (F.when((n == 0) & known, "UNSUPPORTED_TEMPLATE").when(n == 0, "NO_SENDER_OR_PATTERN_MATCH")
-              .when((n == 1) & (F.col("x.confidence") < CONFIDENCE_MINIMUM), "LOW_CONFIDENCE"))
-    return joined.select("source_message_id", "sender", "received_ms", "body", status.alias("parse_status"),
-                         reason.alias("parse_reason"), "x.*")
+    """parse_status and parse_reason per accepted message, with the record of its best extraction."""
+    # generated, so that no filter on the outcome works it out a second time
+    rows = accepted.select("source_message_id", "sender", "received_ms", "body", F.explode_outer(F.array(outcome(rules))).alias("o"))
+    return rows.select("source_message_id", "sender", "received_ms", "body", "o.parse_status", "o.parse_reason", "o.x.*")
 
 
 def source_hash() -> Column:

@@ -11,28 +11,32 @@ from passbook.sources.rules import Rules
 
 
 def scan(batch: DataFrame, rules: Rules, corrections: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
-    """New transactions of a batch of messages: filtered, parsed, classified, de-duplicated.
+    """New transactions of a batch of messages: mapped, filtered, parsed, classified, de-duplicated.
 
-    ``stored`` has rows of earlier scans: exact repeats of them are left out, near ones point to them.  A message id comes once per batch.
+    ``stored`` has rows of earlier scans: exact repeats of them are left out, near ones point to them.  The user's
+    future rules, in ``corrections``, decide on merchants, categories and near duplicates.  A message id comes once per batch.
     The de-duplicated rows are computed at once and checkpointed.
     """
-    once = batch.dropDuplicates(["source_message_id", "sender", "received_ms"])
+    once = messages.mapped(batch).dropDuplicates(["source_message_id", "sender", "received_ms"])
     overlay = classify.future_rules(corrections) if corrections is not None else None
     tx = classify.classified(messages.candidates(once, rules), overlay).withColumnRenamed("source_message_id", "seq")
     tx = tx.withColumn("fingerprint", dedupe.fingerprint())
     if stored is not None:
         tx = dedupe.unstored(tx, stored)
     kept = checkpointed(dedupe.first_of_each(tx))  # the band join reads it three times
-    near = dedupe.near_matches(kept, stored=stored).select(F.col("seq").alias("n_seq"), F.col("near_seq").alias("possible_duplicate_of"))
-    return kept.join(near, kept["seq"] == near["n_seq"], "left").drop("n_seq").withColumn(
-        "duplicate_status", F.when(F.col("possible_duplicate_of").isNotNull(), "SUSPECTED").otherwise("NONE"))
+    near = dedupe.near_matches(kept, stored=stored).select(F.col("seq").alias("n_seq"), "near_seq")
+    status = dedupe.status_of(F.col("near_seq"), F.col("duplicate_override"))
+    return kept.join(near, kept["seq"] == near["n_seq"], "left").withColumns({
+        "possible_duplicate_of": F.when(status != "NONE", F.col("near_seq")), "duplicate_status": status}).drop(
+        "n_seq", "near_seq", "duplicate_override")
 
 
 def counters(batch: DataFrame, rules: Rules) -> DataFrame:
-    """Processed, accepted and parsed messages of a batch."""
-    f = messages.filtered(batch, rules)
-    parsed = messages.outcomes(f.where("reject_reason is null"), rules).select(
-        F.col("source_message_id").alias("p_id"), "parse_status")
-    return f.join(parsed, f["source_message_id"] == parsed["p_id"], "left").agg(
-        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("reject_reason").isNull()).alias("accepted"),
-        F.count_if(F.col("parse_status") == "SUCCESS").alias("parsed"))
+    """Processed, malformed, accepted and parsed messages of a batch, in one pass without a join."""
+    fine = messages.well_formed()
+    judged = batch.select("*", fine.alias("fine"), F.when(fine, messages.reject_reason(rules.senders())).alias("reject_reason"))
+    accepted = F.col("fine") & F.col("reject_reason").isNull()
+    rows = judged.select("fine", accepted.alias("accepted"), F.explode_outer(
+        F.array(F.when(accepted, messages.outcome(rules)["parse_status"]))).alias("parse_status"))
+    return rows.agg(F.count(F.lit(1)).alias("processed"), F.count_if(~F.col("fine")).alias("malformed"),
+                    F.count_if("accepted").alias("accepted"), F.count_if(F.col("parse_status") == "SUCCESS").alias("parsed"))

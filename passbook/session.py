@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,14 +33,23 @@ def session(app: str = "passbook", master: str | None = None, **conf: str) -> Sp
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage, in the folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and runs on one machine (local tests) a temporary folder is set.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="passbook-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on a cluster the session must name it."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="passbook-"))
+    return context.getCheckpointDir()
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, where PYTHONPATH or the working folder doesn't.
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from passbook.functions import lexicon
 
 
+ANALYSED = ("transactions", "user_corrections", "subscriptions", "scan_state", "dashboard_cache")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -23,13 +26,19 @@ class Store:
             return None
         return self.spark.read.schema("version long").parquet(f"{self.root}/{table}/_versions").agg(F.max("version")).first()[0]
 
-    def read(self, table: str) -> DataFrame | None:
+    def read(self, table: str, without: str | None = None) -> DataFrame | None:
+        """The newest version, but for the part named ``without``."""
         v = self.version(table)
-        return None if v is None else self.spark.read.parquet(f"{self.root}/{table}/v{v}")
+        if v is None:
+            return None
+        rows = self.spark.read.parquet(f"{self.root}/{table}/v{v}")
+        if without is not None:
+            rows = rows.where(F.col("_part").cast("string") != without)
+        return rows.drop("_part")
 
     def write(self, table: str, rows: DataFrame) -> None:
         v = (self.version(table) or 0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{v}")
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{v}/_part=whole")
         self.spark.range(1).select(F.lit(v).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(
             f"{self.root}/{table}/_versions")
 
@@ -43,12 +52,45 @@ class Store:
         if stored is not None:
             self.write(table, stored.join(keys.select(key).distinct(), key, "left_anti"))
 
+    def append(self, table: str, rows: DataFrame, part: str) -> None:
+        """Add rows in a part of their own, in the table's newest version; a part that is written again replaces itself.
+
+        What is stored already isn't rewritten, so a stream of small batches costs what the batches cost.
+        """
+        v = self.version(table)
+        if v is None:
+            self.write(table, rows.limit(0))
+            v = self.version(table)
+        # replaced as a whole, so a batch that failed half-way and is repeated leaves no row twice
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{v}/_part={part}")
+
     def wipe(self, *tables: str) -> None:
         for t in tables:
             stored = self.read(t)
             if stored is not None:
                 self.write(t, stored.limit(0))
 
+    def wipe_analysed(self) -> None:
+        """Empty the tables that analysis fills; categories and the metadata of rules stay."""
+        self.wipe(*ANALYSED)
+
+    def vacuum(self, table: str, keep: int = 2) -> None:
+        """Delete all but the newest ``keep`` versions; readers of older ones fail from then on."""
+        newest = self.version(table) or 0
+        for v in range(max(1, newest - keep - 50), newest - keep + 1):
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v{v}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def delete_transactions(self, ids: DataFrame) -> None:
+        """Delete transactions (tx_id) and what hangs on them: see ``without_transactions``."""
+        tables = {t: df for t in ("transactions", "user_corrections", "subscriptions") if (df := self.read(t)) is not None}
+        for t, rows in without_transactions(tables, ids).items():
+            self.write(t, rows)
+
+    def save_subscriptions(self, merged: DataFrame) -> None:
+        """Replace stored subscriptions, and the evidence in their rows, by those of the same id."""
+        self.upsert("subscriptions", merged, "subscription_id", kept=("subscription_id", "created_at"))
+
 
 def upserted(stored: DataFrame, incoming: DataFrame, key: str, kept: tuple[str, ...] = ()) -> DataFrame:
     """The merge of two keyed tables of equal columns in one full outer join."""
@@ -61,6 +103,51 @@ def upserted(stored: DataFrame, incoming: DataFrame, key: str, kept: tuple[str,
         F.when(new & ~(old & F.lit(c in kept)), F.col("i_" + c)).otherwise(F.col("s_" + c)).alias(c) for c in stored.columns])
 
 
+def without_transactions(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables after a deletion of transactions ``ids`` (tx_id): their corrections go, pointers to them and evidence of them are cleared."""
+    gone = ids.select(F.col("tx_id").alias("gone")).distinct()
+    out = {}
+    if (tx := tables.get("transactions")) is not None:
+        left = tx.join(gone, tx["tx_id"] == gone["gone"], "left_anti")
+        j = left.join(gone, left["possible_duplicate_of"] == gone["gone"], "left")
+        out["transactions"] = j.select(*[
+            F.when(F.col("gone").isNull(), left[c]).alias(c) if c == "possible_duplicate_of" else left[c] for c in tx.columns])
+    if (corrections := tables.get("user_corrections")) is not None:
+        out["user_corrections"] = corrections.join(gone, corrections["tx_id"] == gone["gone"], "left_anti")
+    if (subs := tables.get("subscriptions")) is not None:
+        e = subs.select("subscription_id", F.explode("evidence_ids").alias("e"))
+        stays = e.join(gone, e["e"] == gone["gone"], "left_anti").groupBy(F.col("subscription_id").alias("s_id")).agg(F.sort_array(F.collect_list("e")).alias("es"))
+        j = subs.join(stays, subs["subscription_id"] == stays["s_id"], "left")
+        out["subscriptions"] = j.select(*[
+            F.coalesce("es", F.array().cast(subs.schema[c].dataType)).alias(c) if c == "evidence_ids" else subs[c] for c in subs.columns])
+    return out
+
+
+def deletable_categories(categories: DataFrame, tx: DataFrame) -> DataFrame:
+    """The categories that no transaction names; the others must not be deleted."""
+    return categories.join(tx.select("category_id").distinct(), "category_id", "left_anti")
+
+
+def transaction_rows(scanned: DataFrame, parser_version: str, now_ms: int) -> DataFrame:
+    """Rows of the transactions table from those of a scan: confirmed by no user, created and updated now."""
+    return scanned.withColumns({
+        "parser_version": F.lit(parser_version), "is_user_confirmed": F.lit(False), "created_at": F.lit(now_ms), "updated_at": F.lit(now_ms)})
+
+
+def violation() -> F.Column:
+    """What is wrong with a row of the transactions table; null if nothing is."""
+    whole = lambda c, allowed: F.coalesce(F.col(c).isin(*allowed), F.lit(False))
+    return (F.when(F.coalesce(F.col("amount_minor") < 0, F.lit(True)), "AMOUNT")
+            .when(~F.coalesce(F.col("currency").rlike("^[A-Z]{3}$"), F.lit(False)), "CURRENCY")
+            .when(F.coalesce(F.col("ts_ms") < 0, F.lit(True)), "TIMESTAMP")
+            .when(~whole("direction", lexicon.DIRECTIONS), "DIRECTION")
+            .when(~whole("duplicate_status", lexicon.STATUSES) | ~whole("transfer_status", lexicon.STATUSES), "STATUS")
+            .when(F.col("merchant_key").isNull() != F.col("merchant_display").isNull(), "MERCHANT")
+            .when((F.col("duplicate_status") == "NONE") & F.col("possible_duplicate_of").isNotNull(), "DUPLICATE_POINTER")
+            .when(F.coalesce(~F.col("confidence").between(0.0, 1.0) | F.isnan("confidence"), F.lit(True)), "CONFIDENCE")
+            .when(F.coalesce(F.col("updated_at") < F.col("created_at"), F.lit(True)), "TIMES"))
+
+
 def seed_categories(spark: SparkSession, created_ms: int = 0) -> DataFrame:
     return spark.createDataFrame(
         [(k, n, True, i, created_ms) for i, (k, n) in enumerate(lexicon.CATEGORIES)],
@@ -72,10 +159,29 @@ def inserted_or_ignored(stored: DataFrame, incoming: DataFrame, key: str) -> Dat
     return stored.unionByName(incoming.join(stored.select(key), key, "left_anti").select(*stored.columns))
 
 
-def support_outcome(submissions: DataFrame) -> DataFrame:
-    """HTTP status per submission (seq, idempotency_key, payload): the first of a key 201, equal ones 201, others 409."""
+def categories_in_order(categories: DataFrame) -> DataFrame:
+    return categories.orderBy("sort_order", "category_id")
+
+
+def support_outcome(submissions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """HTTP status per submission (seq, idempotency_key, payload): the first of a key 201, equal ones 201, others 409.
+
+    A key in ``stored`` (idempotency_key, payload_hash) has its first payload there.  ``stored`` in the result marks what to store.
+    """
     first = submissions.groupBy("idempotency_key").agg(F.min_by(F.sha2("payload", 256), "seq").alias("h"), F.min("seq").alias("s")).select(
         F.col("idempotency_key").alias("k"), "h", "s")
     j = submissions.join(first, submissions["idempotency_key"] == first["k"])
-    return j.select("seq", "idempotency_key", F.when(F.sha2("payload", 256) == F.col("h"), 201).otherwise(409).alias("status"),
-                    (F.col("seq") == F.col("s")).alias("stored"))
+    if stored is None:
+        j = j.withColumn("old", F.lit(None).cast("string"))
+    else:
+        kept = stored.groupBy(F.col("idempotency_key").alias("old_key")).agg(F.min("payload_hash").alias("old"))
+        j = j.join(kept, j["idempotency_key"] == kept["old_key"], "left")
+    return j.select("seq", "idempotency_key", F.when(F.sha2("payload", 256) == F.coalesce("old", "h"), 201).otherwise(409).alias("status"),
+                    ((F.col("seq") == F.col("s")) & F.col("old").isNull()).alias("stored"))
+
+
+def support_rows(submissions: DataFrame, outcome: DataFrame, now_ms: int, days: int = 14) -> DataFrame:
+    """The submissions that ``support_outcome`` says to store, with their hash and the time they are to be deleted."""
+    new = outcome.where("stored").select(F.col("seq").alias("o_seq"))
+    j = submissions.join(new, submissions["seq"] == new["o_seq"], "left_semi")
+    return j.select(*submissions.columns, F.sha2("payload", 256).alias("payload_hash"), F.lit(now_ms + days * 86_400_000).alias("delete_at_ms"))

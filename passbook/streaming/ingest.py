@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passbook.plans.pipeline import scan
+from passbook.session import checkpointed
 from passbook.sources.rules import Rules
 from passbook.sources.store import Store
 
 SCHEMA = "source_message_id long, sender string, received_ms long, body string"
 
 
-def ingest(spark: SparkSession, folder: str, store: Store, rules: Rules, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Read what is new in ``folder``, stop when done.  A batch that is repeated after a failure changes nothing,
+def ingest(spark: SparkSession, folder: str, store: Store, rules: Rules, checkpoint: str, files_per_batch: int | None = None,
+           bytes_per_batch: int = 256 << 20, corrections: DataFrame | None = None) -> StreamingQuery:
+    """Read what is new in ``folder``, stop when done; bounded batches by bytes, or by files if given.  ``stop()`` of the query cancels it
 
-    as stored source hashes and fingerprints are left out.  Bodies are never written.
+    after its batch, and the next call goes on from there.  A batch that is repeated after a failure replaces its own rows,
+    and stored source hashes and fingerprints are left out.  Each batch adds a part to the table of transactions and
+    rewrites nothing that is stored.  Bodies are never written.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        new = scan(batch, rules, stored=store.read("transactions"))
-        stored = store.read("transactions")
-        store.write("transactions", new if stored is None else stored.unionByName(new, allowMissingColumns=True))
-        batch.unpersist()
+    def merge(batch: DataFrame, number: int) -> None:
+        part = f"{run}-{number}"
+        stored = store.read("transactions", without=part)
+        # the rows are computed before anything is replaced
+        store.append("transactions", checkpointed(scan(batch, rules, corrections, stored=stored)), part)
+
+    # batches are numbered within a checkpoint, so its name tells runs of different ones apart
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    source = spark.readStream.schema(SCHEMA)
+    source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source.option("maxBytesPerTrigger", bytes_per_batch)
+    return source.parquet(folder).writeStream.queryName(f"ingest-{run}").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
+
+
+#: What a run does after each way a scan can end.
+AFTER = {
+    "COMPLETED": "SUCCESS", "CANCELLED": "SUCCESS", "PERMISSION_REVOKED": "FAILURE", "PROVIDER_ERROR": "RETRY", "COROUTINE_CANCELLED": "RETRY",
+    "PERMISSION_DENIED": "FAILURE", "PARSER_UNAVAILABLE": "FAILURE", "SCAN_ALREADY_ACTIVE": "RETRY", "NOT_RESUMABLE": "FAILURE", "UNEXPECTED": "RETRY",
+}
+
 
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def after(reason: Column) -> Column:
+    """SUCCESS, RETRY or FAILURE for the status or reason a scan ended with; RETRY for one that isn't known."""
+    known = F.create_map(*[F.lit(x) for pair in AFTER.items() for x in pair])
+    return F.coalesce(known[F.coalesce(reason, F.lit(""))], F.lit("RETRY"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from passbook.functions import lexicon
+from passbook.session import checkpointed
+from passbook.sources.store import Store
 
 TTL_DAYS = 30
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
@@ -33,5 +38,53 @@ def daily_counts_stream(events: DataFrame) -> DataFrame:
             .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "app_version", "n"))
 
 
+def accepted_and_duplicates(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Received, accepted and duplicate events per type: the first of an id is accepted unless the id is stored."""
+    each = events.groupBy("event_type", "event_id").agg(F.count(F.lit(1)).alias("c"))
+    fresh = F.lit(1)
+    if stored is not None:
+        old = stored.select(F.col("event_id").alias("old_id")).distinct()
+        each = each.join(old, each["event_id"] == old["old_id"], "left")
+        fresh = F.when(F.col("old_id").isNull(), 1).otherwise(0)
+    return each.groupBy("event_type").agg(F.sum("c").alias("received"), F.sum(fresh).cast("long").alias("accepted")).withColumn(
+        "duplicates", F.col("received") - F.col("accepted"))
+
+
+def unstored(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """The first of each id among ``events`` (event_id, ts, ...) that isn't among ``stored`` (event_id)."""
+    first = events.groupBy("event_id").agg(F.min_by(F.struct(*events.columns), "ts").alias("x")).select("x.*")
+    return first.join(stored.select("event_id"), "event_id", "left_anti").select(*events.columns)
+
+
+def added_counts(counts: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored daily counts plus those of new events, by day, type and version."""
+    key = ["day", "event_type", "app_version"]
+    return counts.select(*key, "n").unionByName(daily_counts(new)).groupBy(*key).agg(F.sum("n").alias("n"))
+
+
+def sink(store: Store, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Store each event once and add it to the daily counts, batch by batch, until the source is read; ids alive are never counted twice.
+
+    Events and counts of a batch are parts of their tables, so a batch that is repeated after a failure replaces its own.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        part = f"{run}-{number}"
+        old = store.read("telemetry_events", without=part)
+        new = batch.select("event_id", "ts", "event_type", "app_version")
+        new = checkpointed(unstored(new, old) if old is not None else new.groupBy("event_id").agg(
+            F.min_by(F.struct("ts", "event_type", "app_version"), "ts").alias("x")).select("event_id", "x.*"))
+        store.append("telemetry_events", new, part)
+        store.append("telemetry_counts", daily_counts(new), part)
+
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    return stream.writeStream.queryName(f"telemetry-{run}").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_counts(store: Store) -> DataFrame:
+    """The daily counts of what ``sink`` has stored."""
+    return store.read("telemetry_counts").groupBy("day", "event_type", "app_version").agg(F.sum("n").alias("n"))
+
+
 def alive(rows: DataFrame, now_ms: int, days: int = TTL_DAYS) -> DataFrame:
     return rows.where(F.unix_millis(F.col("ts").cast("timestamp")) + days * 86_400_000 > now_ms)

@@ -55,6 +55,9 @@ def test_outcomes(spark, sender, body, status, reason):
     ("EX-BANK", "  \n", "BLANK"),
     ("UNKNOWN", "INR 50 spent on UPI to merchant@ybl", None),
     ("NOBODY", "x" * 200, "NOT_FINANCIAL"),
+    (None, "hello", "MALFORMED"),
+    (None, "Rs.5.00 debited", "MALFORMED"),
+    ("EX-BANK", None, "MALFORMED"),
 ])
 def test_filter(spark, sender, body, reason):
     assert messages.filtered(rows(spark, (sender, body)), REGRESSION).first().reject_reason == reason
@@ -92,6 +95,27 @@ def test_versions(spark):
     assert [r[0] for r in d.select(text.version_compare(F.col("a"), F.col("b"))).collect()] == [0, 1, -1, 1]
 
 
+def test_long_versions_and_app_versions(spark):
+    d = spark.createDataFrame([("1" + ".0" * 20 + ".1", "1" + ".0" * 20, 1), ("1" + ".0" * 30, "1.0", 0)], "a string, b string, w int")
+    assert all(r.x == r.w for r in d.select("w", text.version_compare(F.col("a"), F.col("b")).alias("x")).collect())
+    v = spark.createDataFrame([("1.2.3-beta", "1.2.3", True), ("1.2", "1.2.1", False), ("1.10", "1.9", True), ("x", "1", False), (None, "1", False)], "a string, b string, w boolean")
+    assert all(r.x == r.w for r in v.select("w", text.app_version_fits(F.col("a"), F.col("b")).alias("x")).collect())
+
+
+def test_outcomes_are_narrow(spark):
+    plan = messages.outcomes(rows(spark, ("EXBANK", "Rs.5.00 credited")), REGRESSION).where("parse_status = 'SUCCESS'")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_mapping_keeps_numbers_and_trims_text(spark):
+    raw = spark.createDataFrame([(" 7 ", " A ", 1, " b "), ("8", " ", 1, "b"), ("9", "A", -1, "b"), (None, "A", 1, "b"), ("5", "A", 1, "")],
+                                "source_message_id string, sender string, received_ms long, body string")
+    assert messages.mapped(raw).collect() == [("7", "A", 1, " b ")]
+    assert messages.mapped(rows(spark, (" A", "b"))).collect() == [(0, "A", 5000, "b")]
+    assert messages.page_state(raw, 5).first().asDict() == {"next_id": " 7 ", "n_rows": 5, "exhausted": False}
+    assert messages.page_state(raw.where("sender = ' '"), 5).first().asDict() == {"next_id": "8", "n_rows": 1, "exhausted": True}
+
+
 def test_keyset_page_pushes_both_filters_to_the_scan(spark, tmp_path):
     rows(spark, *[("EXBANK", "x")] * 20).write.parquet(str(tmp_path / "m"))
     page = messages.keyset_page(spark.read.parquet(str(tmp_path / "m")), 0, 10_000, 4, 5)
