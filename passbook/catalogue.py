@@ -338,13 +338,13 @@ def _subscriptions(spark, sf_dir):
 
 _of(lambda p: recurrence.intervals(p).select("tx_id", "merchant_key", F.round("interval_days", 9).alias("interval_days")), _payments, "recur_intervals")
 _of(lambda s: s.select("merchant_key", "frequency", "estimated_amount_minor", "currency", "last_payment_ms", "estimated_next_ms",
-                       F.round("confidence", 9).alias("confidence"), "status", F.size("evidence_ids").cast("bigint").alias("n_evidence")),
+                       F.round("confidence", 6).alias("confidence"), "status", F.size("evidence_ids").cast("bigint").alias("n_evidence")),
     _subscriptions, "recur_detect")
 _of(lambda s: dashboard.subscription_totals(s, "INR"), _subscriptions, "sub_totals")
-_of(lambda s: dashboard.suspected(s).select("merchant_key", "status", F.round("confidence", 9).alias("confidence"), F.col("n_evidence").cast("bigint").alias("n_evidence")),
+_of(lambda s: dashboard.suspected(s).select("merchant_key", "status", F.round("confidence", 6).alias("confidence"), F.col("n_evidence").cast("bigint").alias("n_evidence")),
     _subscriptions, "sub_list")
 _of(lambda s: s.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("merchant_key").alias("first_key")), _subscriptions, "status_partition")
-_of(lambda s: recurrence.by_status(s).select("status", "merchant_key", F.round("confidence", 9).alias("confidence")), _subscriptions, "status_lists")
+_of(lambda s: recurrence.by_status(s).select("status", "merchant_key", F.round("confidence", 6).alias("confidence")), _subscriptions, "status_lists")
 
 
 @query

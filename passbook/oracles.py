@@ -444,7 +444,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN target IS NULL THEN status END AS duplicate_status, coalesce(target, CASE WHEN status <> 'NONE' THEN near_seq END) AS points_to FROM j""",
     "dedupe_unstored": f"""{W}{TXE} SELECT seq FROM fp WHERE seq % 3 <> 0 AND fingerprint NOT IN (SELECT fingerprint FROM fp WHERE seq % 3 = 0)""",
     "recur_intervals": f"{W}{PAY} SELECT tx_id, merchant_key, round(interval_days, 9) AS interval_days FROM iv",
-    "recur_detect": f"{W}{PAY} SELECT merchant_key, frequency, estimated_amount_minor, currency, last_payment_ms, estimated_next_ms, round(confidence, 9) AS confidence, status, n_evidence FROM sub",
+    "recur_detect": f"{W}{PAY} SELECT merchant_key, frequency, estimated_amount_minor, currency, last_payment_ms, estimated_next_ms, round(confidence, 6) AS confidence, status, n_evidence FROM sub",
     "recur_eligible": f"""{W}{TX}, {CORR} SELECT tx_id, merchant_key, amount_minor FROM tx WHERE direction = 'DEBIT' AND transfer_status = 'NONE' AND merchant_key IS NOT NULL
       AND duplicate_status <> 'CONFIRMED' AND tx_id NOT IN (SELECT tx_id FROM corr WHERE field_name = 'NOT_A_TRANSACTION')""",
     "recur_merge": f"""{W}{PAY}, m AS (SELECT s.*, was, old_ids, coalesce(was = 'DISMISSED' AND len(old_ids) = len(evidence_ids), false) AS stays FROM sub s LEFT JOIN old USING (merchant_key))
@@ -454,7 +454,7 @@ ORACLES: dict[str, str] = {
     "sub_corrections": f"""{W}{PAY}, c AS (SELECT merchant_key, max_by(v, (ts_ms, tx_id)) AS v FROM (
         SELECT *, CASE tx_id % 3 WHEN 0 THEN 'DISMISSED' WHEN 1 THEN 'CONFIRMED' END AS v FROM pay WHERE tx_id % 8 = 0) WHERE v IS NOT NULL GROUP BY 1)
       SELECT merchant_key, coalesce(v, status) AS status, estimated_amount_minor FROM sub LEFT JOIN c USING (merchant_key)""",
-    "status_lists": f"{W}{PAY} SELECT status, merchant_key, round(confidence, 9) AS confidence FROM sub",
+    "status_lists": f"{W}{PAY} SELECT status, merchant_key, round(confidence, 6) AS confidence FROM sub",
     "dash_top_lists": f"""{W}{PERIOD}, {PAY.strip()}, lists AS (
       SELECT 'categories' AS list, category_id AS member, CAST(sum(amount_minor) AS DOUBLE) AS measure, 6 AS k FROM spent GROUP BY 2
       UNION ALL SELECT 'merchants', merchant_key, CAST(sum(amount_minor) AS DOUBLE), 5 FROM spent WHERE merchant_key IS NOT NULL GROUP BY 2
@@ -469,7 +469,7 @@ ORACLES: dict[str, str] = {
         (SELECT count(DISTINCT month) FROM spent) AS n_months, (SELECT tx_id FROM p ORDER BY ts_ms DESC, tx_id LIMIT 1) AS latest_id FROM s""",
     "sub_totals": f"""{W}{PAY}, a AS (SELECT CASE frequency WHEN 'WEEKLY' THEN estimated_amount_minor * 52 // 12 WHEN 'YEARLY' THEN estimated_amount_minor // 12 ELSE estimated_amount_minor END AS m
       FROM sub WHERE status IN ('SUSPECTED', 'CONFIRMED')) SELECT CAST(coalesce(sum(m), 0) AS BIGINT) AS monthly_minor, count(*) AS n_active, CAST(coalesce(sum(m), 0) * 12 AS BIGINT) AS annual_minor FROM a""",
-    "sub_list": f"{W}{PAY} SELECT merchant_key, status, round(confidence, 9) AS confidence, n_evidence FROM sub",
+    "sub_list": f"{W}{PAY} SELECT merchant_key, status, round(confidence, 6) AS confidence, n_evidence FROM sub",
     "status_partition": f"{W}{PAY} SELECT status, count(*) AS n, list_sort(list(merchant_key))[1] AS first_key FROM sub GROUP BY 1",
     "sub_evidence": f"{W}{PAY} SELECT merchant_key, tx_id, amount_minor FROM (SELECT merchant_key, unnest(evidence_ids) AS tx_id FROM sub) JOIN pay USING (merchant_key, tx_id)",
     "corrections_materialise": f"""{W}{TX}, {CORR}, src AS (SELECT DISTINCT new_value AS raw FROM corr WHERE field_name = 'MERCHANT'), {_merchant('raw').strip()},
