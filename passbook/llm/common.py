@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from passbook.session import checkpoint_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+#: Rows of an Arrow batch that are turned into Python values at a time.
+SLICE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``SLICE`` at most, without a copy; whole texts are Python values only slice by slice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
-    Only where the session names none (local tests) a temporary folder is set.
-    """
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="passbook-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return spark.sparkContext.getCheckpointDir()
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, which a cluster's session must name."""
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,16 +53,27 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash values of this type: all but maps and variants, at any depth."""
+    if isinstance(kind, T.StructType):
+        return all(hashable(x.dataType) for x in kind)
+    if isinstance(kind, T.ArrayType):
+        return hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def rank_in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Add ``out``: 0-based gapless rank within each group, without one task per group.
 
     A group's rows are dealt over salts by the hash of the order columns; ranks
     inside a salt come from a window, and the counts of the earlier salts of the
     group (a small table) are added.  The order between salts is that of the salt.
-    Equal order keys get different ranks, in any order.
+    Equal order keys get different ranks, in any order; rows without the first of them are dealt by all their columns.
     """
     n = max(8, shuffle_partitions(df.sparkSession))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    rest = [x.name for x in df.schema if x.name not in order and hashable(x.dataType)]
+    deal = F.when(F.col(order[0]).isNotNull(), F.xxhash64(*order)).otherwise(F.xxhash64(*order, *rest))
+    salted = df.withColumn("_salt", F.pmod(deal, F.lit(n)).cast("int"))
     keys = [*group, "_salt"]
     sizes = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,18 +87,18 @@ def rank_in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], ou
     return joined
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``; component: least node reachable.
 
     Alternating large-star and small-star steps, each a minimum per node joined
     back, so a hub with very many links is never gathered in one task.  Self
     loops and repeated edges are harmless; edges with a null end are dropped.
-    An empty input gives an empty result.
+    An empty input gives an empty result.  The rounds go on until nothing changes: about the logarithm of the longest path.
     """
     e = cut(edges.where("src is not null and dst is not null").select(
         F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.where("a <> b").select("a", "b").union(e.where("a <> b").select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("u"), F.least("a", "m").alias("m"))

@@ -1,6 +1,6 @@
 """Near duplicates by a signature-coordinate inverted join over MinHash signatures.
 
-1. Texts with equal shingle sets form a class; only its least id goes on.
+1. Texts with equal shingle sets form a class, which goes on once under a number of its own.
 2. Every class has a signature of ``coordinates`` minima.  It is posted under its
    (coordinate, value) pairs.  A pair of classes counts as a candidate if at least
    ``threshold`` coordinates collide, a number chosen so that a pair at the similarity
@@ -16,11 +16,13 @@
    leave a list in several components, the pairs across components are counted block by
    block inside tasks, and the candidates among them confirmed there on full sets.
    Pairs inside one component cannot change the result and are not formed.
+   Sets are compared as sorted hashes, made once per class; a class with very many
+   candidates is compared by several tasks.
 5. Connected components by minima give each text the least id reachable.
 
 Defined results.  Null or empty text, or no word: empty set, linked with nothing, its
 own component.  Fewer words than ``size``: the whole sequence is the one shingle.
-Repeated rows are copies of each other.  A null id: n_shingles as counted, linked with
+Repeated rows are copies of each other; rows with the same id and different texts are different documents.  A null id: n_shingles as counted, linked with
 nothing, component_id null, kept true.  An empty table gives no rows.  Whole texts of
 any length are used.  Shingles are compared by 64-bit hash, classes by 128 bits.
 """
@@ -37,11 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, mix64, need, shuffle_partitions
+from .common import connected_components, cut, mix64, need, shuffle_partitions, sliced
 
 MEMO = 300_000
-#: Members of a list that one task compares with as many others.
-BLOCK = 1000
+#: Members of a list that one task compares with as many others, and candidates of a class that one task compares.
+BLOCK, SPREAD = 250, 250
 
 
 class WordHashes(dict):
@@ -82,6 +84,20 @@ def signature(shingle_set: np.ndarray, coordinates: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def class_of(shingle_set: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingle_set.tobytes())
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def match_threshold(coordinates: int, similarity: float, miss: float = 1e-6) -> int:
     """The greatest t such that fewer than t of the coordinates collide with probability <= miss."""
     cumulative, t = 0.0, 0
@@ -98,12 +114,12 @@ def shingle_sets(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             n, cls, sig = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size, hashes)
                 n.append(len(s))
-                cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                cls.append(class_of(s) if len(s) else None)
                 sig.append(signature(s, coordinates).astype(np.uint32).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
@@ -140,6 +156,24 @@ def postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
         "x.token", "id", "prefix")
 
 
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``(s_id, shingles)`` of the classes in ``ids`` (id): the sorted hashes, made from the text of the document that stands for the class."""
+    wanted = ids.select(F.col("id").alias("w_id")).distinct()
+    chosen = classes.join(wanted, classes["id"] == wanted["w_id"], "left_semi").select("id", "class", F.col("doc_id").alias("of"))
+    texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = texts.join(chosen, texts["doc_id"] == chosen["of"]).select("id", "class", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in sliced(batches):
+            found = [shingles(t, size, hashes) for t in batch.column(2).to_pylist()]
+            # an id may have several texts, of which this class has one
+            own = [class_of(s) == c for s, c in zip(found, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["s_id", "shingles"]).filter(pa.array(own, pa.bool_()))
+
+    return named.mapInArrow(sets, "s_id long, shingles binary").dropDuplicates(["s_id"])
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, threshold: int,
               coordinates: int) -> DataFrame:
     """The pairs (a, b) with enough collisions and 100 * intersection >= percent * union on the full sets."""
@@ -154,25 +188,23 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= threshold))
 
     candidates = cut(joined.select("a", "b", "a_sig", "b_sig").mapInArrow(collide, "a long, b long"))
+    sets = cut(full_sets(candidates.select(F.explode(F.array("a", "b")).alias("id")), classes, docs, size))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0))
-        for batch in batches:
-            keep = []
-            for a, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if last[0] != a:
-                    last = (a, shingles(text_a, size, hashes))
-                x, y = last[1], shingles(text_b, size, hashes)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        for batch in sliced(batches):
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    texts = need(docs, "doc_id", "text").where("doc_id is not null")
-    of_b = texts.select(F.col("doc_id").cast("long").alias("b_id"), F.col("text").alias("b_text"))
-    of_a = texts.select(F.col("doc_id").cast("long").alias("a_id"), F.col("text").alias("a_text"))
-    with_b = candidates.join(of_b, candidates["b"] == of_b["b_id"])
-    return with_b.join(of_a, with_b["a"] == of_a["a_id"]).select("a", "b", "a_text", "b_text").mapInArrow(
+    # a hub's candidates are dealt over parts of SPREAD, each with its set
+    parts = candidates.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts")).withColumnRenamed("a", "p_id")
+    of_a = sets.join(parts, sets["s_id"] == parts["p_id"]).select(
+        "p_id", F.col("shingles").alias("a_set"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = candidates.join(parts, candidates["a"] == parts["p_id"]).select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("b_part"))
+    of_b = sets.select(F.col("s_id").alias("b_id"), F.col("shingles").alias("b_set"))
+    with_b = dealt.join(of_b, dealt["b"] == of_b["b_id"])
+    return with_b.join(of_a, (with_b["a"] == of_a["p_id"]) & (with_b["b_part"] == of_a["part"])).select("a", "b", "a_set", "b_set").mapInArrow(
         compare, "a long, b long")
 
 
@@ -267,17 +299,7 @@ def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, component: Dat
 
     some = cut(dealt(members).mapInPandas(candidates, "token long, id long").distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingles(t, size, hashes).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
-                ["s_id", "shingles"])
-
-    ids = some.select(F.col("id").alias("w_id")).distinct()
-    texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    full = texts.join(ids, texts["doc_id"] == ids["w_id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
-        sets, "s_id long, shingles binary")
+    full = full_sets(some.select("id"), classes, docs, size)
     chosen = some.select(F.col("token").alias("o_token"), F.col("id").alias("o_id"))
     again = members.join(chosen, (members["token"] == chosen["o_token"]) & (members["id"] == chosen["o_id"]), "left_semi")
     with_sets = again.join(full, again["id"] == full["s_id"]).drop("s_id")
@@ -296,12 +318,8 @@ def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, component: Dat
 
             for rows, columns in candidate_pairs(pdf, coordinates, threshold, percent):
                 for r, c in zip(rows.tolist(), columns.tolist(), strict=True):
-                    if (a := root(r)) != (b := root(c)):
-                        x, y = full[r], full[c]
-                        at = np.searchsorted(x, y)
-                        both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            least[max(a, b)] = min(a, b)
+                    if (a := root(r)) != (b := root(c)) and similar(full[r], full[c], percent):
+                        least[max(a, b)] = min(a, b)
             top = np.array([root(x) for x in range(len(ids))], int)
             moved = np.flatnonzero(top != np.arange(len(ids)))
             yield pd.DataFrame({"src": ids[moved], "dst": ids[top[moved]]})
@@ -314,32 +332,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     threshold = match_threshold(coordinates, percent / 100)
     rows = cut(shingle_sets(docs, size, coordinates))
     with_set = rows.where("class is not null and doc_id is not null")
+    # numbered as they are written, so a number stays with its class
     classes = cut(with_set.groupBy("class").agg(
-        F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
+        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).withColumn(
+        "id", F.monotonically_increasing_id()))
     lists = cut(postings(classes, coordinates, threshold))
     ends = lists.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").withColumnRenamed("token", "t")
     hubs = lists.join(ends, lists["token"] == ends["t"]).select(
         F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")),
-                          F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("x")).select(
-        "x.a", "x.b").where("a < b").distinct()
+                          F.struct(F.col("hi").alias("a"), F.col("id").alias("b")))).alias("x")).select(
+        F.col("x.a").alias("a"), F.col("x.b").alias("b")).where("a <> b").distinct()
     links = confirmed(hubs, classes, docs, size, percent, threshold, coordinates)
     component = cut(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     more = cut(across(lists, classes, docs, component, size, percent, threshold, coordinates))
     if not more.isEmpty():
         component = cut(connected_components(more.union(
             component.select(F.col("node").alias("src"), F.col("component").alias("dst")))))
-    ids = classes.select("class", "id").join(component, F.col("id") == F.col("node"), "left").select(
-        F.col("class").alias("c"), F.coalesce("component", "id").alias("of_class"))
-    return rows.join(ids, rows["class"] == ids["c"], "left").select(
+    # of each component the least id of a document
+    joined = component.join(classes.select("id", "class", "doc_id"), F.col("id") == F.col("node"))
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("least")).withColumnRenamed("component", "l_component")
+    ids = joined.join(least, F.col("component") == F.col("l_component")).select(F.col("class").alias("l_class"), "least")
+    of_class = classes.join(ids, classes["class"] == ids["l_class"], "left").select(
+        F.col("class").alias("c"), F.coalesce("least", "doc_id").alias("of_class"))
+    return rows.join(of_class, rows["class"] == of_class["c"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their component; a row with a null id always stays."""
-    dropped = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """The rows of ``docs`` whose id stands for their component; a row with a null id always stays.
+
+    Rows of one id with different texts, of which one stands for its component, all stay.
+    """
+    found = near_duplicates(docs, size, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("_dropped")).agg(
+        F.bool_or("kept").alias("_kept")).where("not _kept")
+    return docs.join(found, docs["doc_id"] == found["_dropped"], "left_anti")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from .common import need, rank_in_groups
 #: Slots of a chunk, and of a stride within it, at least.
 CHUNK, STRIDE = 4096, 64
 #: Rows up to which the tables of phases and of slots are broadcast; larger ones are joined by shuffle.
-SMALL = 1 << 16
+SMALL = 1 << 18
 LIMIT = 1 << 60
 ADDED = ("block", "phase", "release", "deadline", "share", "position")
 

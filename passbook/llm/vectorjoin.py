@@ -1,21 +1,23 @@
 """Near-duplicate vectors by an exact metric range join over pivot cells.
 
 Vectors are scaled to unit length, where cosine >= c is chord distance <=
-sqrt(2 - 2 c).  Equal vectors form a class first, counted once.  Pivots, a bounded
-sample of classes spread by farthest-first choice, partition the classes: each goes to
-the cell of its nearest pivot, its home.  A class y at home in cell j is replicated to a
+sqrt(2 - 2 c).  Equal vectors form a class first, counted once.  Pivots, spread by
+farthest-first choice over a sample of the classes, partition the classes: each goes to
+the cell of its nearest pivot, its home.  There is one pivot for every ``BLOCK`` classes, up to
+``MAX_PIVOTS``, so cells keep their size as the table grows.  A class y at home in cell j is replicated to a
 lower cell i only if the triangle inequality cannot exclude a partner there: its distance
 to pivot i is at most both radius(i) + eps and its distance to its own pivot + 2 eps.  So each pair meets in
 exactly one cell, the lower of the two homes, and cells join independently.
 
 A cell of many members is dealt over blocks; a task compares two blocks by matrix
-product in double precision.  No pair leaves a task: it returns the number of links per
+product in double precision.  Vectors travel as they are stored and are scaled in the task.  No pair leaves a task: it returns the number of links per
 class and one edge from each linked class to the least of its group in the task, which
 keeps every connection.
 
 Defined results.  Null, zero-length, zero or non-finite vectors and those with null
 components: no links, their own component, kept.  Vectors of different lengths are
-never linked.  Repeated rows are linked with each other; a null id links nothing, has a null
+never linked.  Repeated rows are linked with each other; rows of one id with different
+vectors are different vectors; a null id links nothing, has a null
 component and is kept.  An empty table gives no rows.  Without clusters in
 many dimensions the inequality excludes little and cells see most of the lower cells' range: the
 cost then tends to all pairs, as for any exact method.
@@ -27,12 +29,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, cut, need, shuffle_partitions
 
-BLOCK = 2048
-#: Rows that the pivots are chosen from, and pivots.
-SAMPLE, PIVOTS = 4000, 48
+#: Classes of a cell, and of a side of a task, about.
+BLOCK = 8192
+#: Rows that the pivots are chosen from, and the least and greatest number of pivots.
+SAMPLE, MIN_PIVOTS, MAX_PIVOTS = 16_384, 8, 4096
+#: Products of a matrix product that are held at a time.
+PRODUCTS = 1 << 22
 SLACK = 1e-9
 
 
@@ -60,21 +66,32 @@ def choose_pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
     return sample[chosen]
 
 
-def to_rows(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def to_rows(column: pd.Series, kind: str) -> np.ndarray:
+    """Unit vectors, in double precision, of binary ones whose components are of ``kind``."""
+    return unit(np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64))
 
 
-def cells(classes: DataFrame, pivots: dict[int, np.ndarray], eps: float) -> DataFrame:
+def close(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of x and y have at least this cosine."""
+    out = np.empty((len(x), len(y)), bool)
+    step = max(1, PRODUCTS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        np.greater_equal(x[at:at + step] @ y.T, cosine, out=out[at:at + step])
+    return out
+
+
+def cells(classes: DataFrame, pivots: dict[int, np.ndarray], eps: float, kind: str) -> DataFrame:
     """``(dim, cell, home, id, copies, v)``: every class at home, and where it must be replicated.
 
-    ``pivots``: by vector length; at most ``PIVOTS`` each.
+    ``pivots``: by vector length; at most ``MAX_PIVOTS`` each.
     """
+    size = np.dtype(kind).itemsize
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def homes(it):
         for pdf in it:
-            for dim, part in pdf.groupby(pdf["v"].map(len) // 8):
-                x = to_rows(part["v"])
+            for dim, part in pdf.groupby(pdf["v"].map(len) // size):
+                x = to_rows(part["v"], kind)
                 p = shared.value[dim]
                 d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
                 home = d.argmin(1)
@@ -83,7 +100,7 @@ def cells(classes: DataFrame, pivots: dict[int, np.ndarray], eps: float) -> Data
 
     at_home = cut(classes.select("id", "copies", "v").mapInPandas(
         homes, "dim int, home int, radius double, id long, copies long, v binary"))
-    # a radius per pivot: PIVOTS rows per vector length
+    # a radius per pivot
     radii = {(r["dim"], r["home"]): r["radius"] for r in at_home.groupBy("dim", "home").agg(F.max("radius").alias("radius")).collect()}
     limits = at_home.sparkSession.sparkContext.broadcast(radii)
 
@@ -91,7 +108,7 @@ def cells(classes: DataFrame, pivots: dict[int, np.ndarray], eps: float) -> Data
         for pdf in it:
             yield pdf.assign(cell=pdf["home"], is_home=True)[["dim", "cell", "is_home", "id", "copies", "v"]]
             for dim, part in pdf.groupby("dim"):
-                x, p = to_rows(part["v"]), shared.value[dim]
+                x, p = to_rows(part["v"], kind), shared.value[dim]
                 d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
                 reach = np.array([limits.value.get((dim, i), -2.0) for i in range(len(p))]) + eps + SLACK
                 there = (d <= reach) & (d <= part["radius"].to_numpy()[:, None] + 2 * eps + SLACK)
@@ -104,12 +121,22 @@ def cells(classes: DataFrame, pivots: dict[int, np.ndarray], eps: float) -> Data
     return at_home.mapInPandas(replicas, "dim int, cell int, is_home boolean, id long, copies long, v binary")
 
 
+def products(near: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """near @ copies, for the few rows that have a partner."""
+    out = np.zeros(len(near), np.int64)
+    for i in np.flatnonzero(near.any(1)):
+        out[i] = copies[near[i]].sum()
+    return out
+
+
 def local_groups(near: np.ndarray) -> np.ndarray:
     """The least row of the component of each row of a symmetric boolean matrix."""
     label = np.arange(len(near))
+    rows = np.flatnonzero(near.any(1))
     while True:
-        new = np.where(near, label, len(near)).min(1, initial=len(near))
-        new = np.minimum(label, new)
+        new = label.copy()
+        for i in rows:
+            new[i] = min(label[i], label[near[i]].min())
         new = new[new]
         if (new == label).all():
             return label
@@ -118,53 +145,58 @@ def local_groups(near: np.ndarray) -> np.ndarray:
 
 def local_edges(ids_a: np.ndarray, ids_b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the bipartite links ``near`` (a by b) connect: each row to the least label it sees."""
-    label_a = np.arange(len(ids_a))
+    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    label_a, label_b = np.arange(len(ids_a)), np.full(len(ids_b), len(ids_a))
     while True:
-        label_b = np.where(near, label_a[:, None], len(ids_a)).min(0, initial=len(ids_a))
-        new = np.minimum(label_a, np.where(near, label_b, len(ids_a)).min(1, initial=len(ids_a)))
+        for j in columns:
+            label_b[j] = label_a[near[:, j]].min()
+        new = label_a.copy()
+        for i in rows:
+            new[i] = min(label_a[i], label_b[near[i]].min())
         if (new == label_a).all():
             break
         label_a = new
-    linked_a, linked_b = near.any(1), label_b < len(ids_a)
-    return (np.concatenate([ids_a[linked_a], ids_b[linked_b]]),
-            np.concatenate([ids_a[label_a[linked_a]], ids_a[label_b[linked_b]]]))
+    return np.concatenate([ids_a[rows], ids_b[columns]]), np.concatenate([ids_a[label_a[rows]], ids_a[label_b[columns]]])
 
 
 def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     eps = float(np.sqrt(2 - 2 * cosine))
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind, size = ("<f4", 4) if single else ("<f8", 8)
     rows = need(vectors, "vec_id", "embedding").select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("e"))
     rows = rows.withColumn("fine", usable(F.col("e")) & F.col("vec_id").isNotNull())
     # equal vectors meet by a 128-bit hash of their components
     text = F.array_join(F.transform("e", lambda x: (x + F.lit(0.0)).cast("string")), ",")
     keyed = rows.select("vec_id", "e", F.when(F.col("fine"), F.md5(text.cast("binary"))).alias("key"))
     grouped = keyed.where("key is not null").groupBy("key").agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("e").alias("e"))
+        F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("e").alias("e"))
 
-    def scaled(it):
+    def packed(it):
         for pdf in it:
-            v = [unit(np.asarray(x, np.float64)[None, :])[0].tobytes() for x in pdf["e"]]
-            yield pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "copies": pdf["copies"], "v": v})
+            yield pd.DataFrame({"key": pdf["key"], "least_id": pdf["least_id"], "copies": pdf["copies"],
+                                "v": [np.asarray(x, kind).tobytes() for x in pdf["e"]]})
 
-    classes = cut(grouped.mapInPandas(scaled, "key string, id long, copies long, v binary"))
-    sample = classes.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    dims = [r[0] for r in classes.select((F.octet_length("v") / 8).cast("int")).distinct().collect()]
+    # numbered as they are written, so a number stays with its class
+    classes = cut(grouped.mapInPandas(packed, "key string, least_id long, copies long, v binary").withColumn("id", F.monotonically_increasing_id()))
+    sample = classes.select("id", "v").orderBy(F.xxhash64("key"), "id").limit(SAMPLE).toPandas()
     pivots = {}
-    for dim in dims:
-        own = sample.loc[sample["v"].map(len) == 8 * dim, "v"]
-        if not len(own):  # a rare length that the sample missed: any one of its rows
-            own = pd.Series([bytes(classes.where(F.octet_length("v") == 8 * dim).select("v").first()[0])])
-        pivots[dim] = choose_pivots(to_rows(own), PIVOTS)
-    placed = cut(cells(classes, pivots, eps))
+    # one row per vector length
+    for r in classes.groupBy((F.octet_length("v") / size).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).collect():
+        own = sample.loc[sample["v"].map(len) == size * r["dim"], "v"]
+        if not len(own):  # a rare length that the sample missed
+            own = pd.Series([bytes(r["v"])])
+        pivots[r["dim"]] = choose_pivots(to_rows(own, kind), min(MAX_PIVOTS, max(MIN_PIVOTS, -(-r["n"] // BLOCK))))
+    placed = cut(cells(classes, pivots, eps, kind))
 
     sizes = placed.groupBy("dim", "cell").agg(
         F.sum(F.col("is_home").cast("long")).alias("n_home"), F.sum((~F.col("is_home")).cast("long")).alias("n_away"))
     sizes = sizes.select(
         F.col("dim").alias("s_dim"), F.col("cell").alias("s_cell"),
         F.ceil(F.col("n_home") / BLOCK).cast("int").alias("home_blocks"), F.ceil(F.col("n_away") / BLOCK).cast("int").alias("away_blocks"))
-    # blocks: PIVOTS rows per vector length at most, so broadcast
+    # blocks: MAX_PIVOTS rows per vector length at most, so broadcast
     dealt = placed.join(F.broadcast(sizes), (F.col("dim") == F.col("s_dim")) & (F.col("cell") == F.col("s_cell")))
     own = F.when(F.col("is_home"), F.pmod(F.xxhash64("id"), F.col("home_blocks"))).otherwise(
         F.pmod(F.xxhash64("id"), F.col("away_blocks"))).cast("int")
@@ -179,21 +211,21 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         "dim", "cell", "is_home", "id", "copies", "v", "own", "t.kind", "t.i", "t.j")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, i, j = (pdf[c].iloc[0] for c in ("kind", "i", "j"))
-        ids, copies, x = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), to_rows(pdf["v"])
+        side, i, j = (pdf[c].iloc[0] for c in ("kind", "i", "j"))
+        ids, copies, x = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), to_rows(pdf["v"], kind)
         own, at_home = pdf["own"].to_numpy(), pdf["is_home"].to_numpy()
-        if kind == "home" and i == j:
+        if side == "home" and i == j:
             order = np.argsort(ids)
             ids, copies, x = ids[order], copies[order], x[order]
-            near = x @ x.T >= cosine
+            near = close(x, x, cosine)
             np.fill_diagonal(near, False)
-            n, label = near @ copies, local_groups(near)
+            n, label = products(near, copies), local_groups(near)
             return pd.DataFrame({"id": ids, "n": n, "to": ids[label]})[n > 0]
         left = (own == i) & at_home
-        right = (own == j) & at_home if kind == "home" else ~at_home
-        near = x[left] @ x[right].T >= cosine
+        right = (own == j) & at_home if side == "home" else ~at_home
+        near = close(x[left], x[right], cosine)
         a, b = ids[left], ids[right]
-        n_a, n_b = near @ copies[right], near.T @ copies[left]
+        n_a, n_b = products(near, copies[right]), products(near.T, copies[left])
         src, dst = local_edges(a, b, near)
         count = pd.DataFrame({"id": np.concatenate([a, b]), "n": np.concatenate([n_a, n_b])})
         return count[count["n"] > 0].merge(pd.DataFrame({"id": src, "to": dst}), on="id")
@@ -202,12 +234,15 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     n = max(8, shuffle_partitions(spark))
     found = cut(spread.repartition(n, *keys).groupBy(*keys).applyInPandas(compare, "id long, n long, to long"))
     component = connected_components(found.select(F.col("id").alias("src"), F.col("to").alias("dst")).where("src <> dst"))
-    links = found.groupBy("id").agg(F.sum("n").alias("others"))
-    c = classes.select("key", "id", "copies")
-    c = c.join(links.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"), "left").join(
-        component, F.col("id") == F.col("node"), "left").select(
+    # of each component the least id of a vector
+    named = component.join(classes.select("id", "least_id"), F.col("id") == F.col("node"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("of_class")).withColumnRenamed("component", "l_component")
+    member = named.join(least, F.col("component") == F.col("l_component")).select("node", "of_class")
+    links = found.groupBy(F.col("id").alias("l_id")).agg(F.sum("n").alias("others"))
+    c = classes.select("key", "id", "copies", "least_id")
+    c = c.join(links, F.col("id") == F.col("l_id"), "left").join(member, F.col("id") == F.col("node"), "left").select(
         F.col("key").alias("c_key"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("others"),
-        F.coalesce("component", "id").alias("of_class"))
+        F.coalesce("of_class", "least_id").alias("of_class"))
     return keyed.select("vec_id", "key").join(c, F.col("key") == F.col("c_key"), "left").select(
         "vec_id", F.coalesce("others", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("of_class", "vec_id").alias("component_id")).withColumn(
@@ -216,4 +251,3 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
-

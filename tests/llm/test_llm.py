@@ -408,6 +408,7 @@ def test_token_counts(spark):
 
 def test_vector_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectorjoin, "BLOCK", 16)
+    monkeypatch.setattr(vectorjoin, "PRODUCTS", 100)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(6, 8))
     x = np.concatenate([c + rng.normal(size=(k, 8)) * s for c, k, s in zip(centres, (60, 20, 5, 1, 30, 1), (0.1, 0.2, 0.3, 0, 0.25, 0), strict=True)])
@@ -424,6 +425,11 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert got.component_id.tolist() == vectorjoin.local_groups(near).tolist() + [1000 + i for i in range(len(odd))]
     assert (got.kept == (got.vec_id == got.component_id)).all()
     assert vectorjoin.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    # single precision, clashing columns, repeated rows, one id with two vectors
+    f = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.1]), (3, [0.1, 2.0]), (2, [2.0, 0.1])]
+    d = spark.createDataFrame(f, "vec_id long, embedding array<float>").selectExpr("*", "'x' as key", "1 as e", "2 as id", "3 as fine", "4 as cell", "5 as copies")
+    got = sorted(map(tuple, vectorjoin.linked(d).collect()))
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False)]
     null = vectorjoin.linked(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")).toPandas()
     assert null.n_links.tolist() == [0, 0] and null.kept.all()
 
@@ -513,3 +519,13 @@ def test_windows_follow_the_files(spark, tmp_path):
     assert (got.window == got.doc_id // 100).all() and len(got) == 1000
     got = packing.stream_windows(spark.range(0, 1000, 1, 7).selectExpr("id as doc_id", "'x' as text"), 100).toPandas()
     assert (got.window == got.doc_id // 100).all()
+
+
+def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
+    d = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (4, "k l m n o p"), (4, "a b c d e f")], DOC)
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 4)]
+    d = spark.createDataFrame([(5, "a b c d e f"), (2, "a b c d e f"), (5, "u v w x y z"), (3, "u v w x y z"), (2, "k l m n o p")], DOC)
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect())
+    assert got == [(2, 2), (2, 2), (3, 3), (5, 2), (5, 3)]
+    assert {r.doc_id for r in minhash.keep_one_each(d).collect()} == {2, 3}
