@@ -2,12 +2,13 @@
 
 Spark counts the character 4-grams of every training text per language; the counts
 (one row per language and 4-gram, with map-side partial sums per batch) are all that the
-driver gathers.  All of them are kept, so the model grows with the different 4-grams.  From them the driver derives the continuation
+driver gathers.  All of them are kept, so the model grows with the different 4-grams.  One
+training row in ``KEPT_OUT`` is kept out of the counts, for calibration; of a language that has fewer
+than ``FEW`` such rows, all rows serve for both.  From the counts the driver derives the continuation
 counts of the lower orders and keeps, per language, the interpolated probabilities in
 one sorted array of hashes.  A text gets the language of the lowest cross-entropy per
-character.  A text whose cross-entropy is above the training quantile
-``reject_quantile`` of its language (measured on all its training rows) is flagged as
-rejected.
+character.  A text whose cross-entropy is above the quantile ``reject_quantile`` of the
+rows of its language that were kept out is flagged as rejected.
 
 Normalisation: letters in lower case, everything else one space.
 
@@ -24,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, mix64, need
+from .common import cut, fold, mix64, need, sliced
 
 ORDER = 4
 SEGMENT = 1 << 19
 BLOCK = 1 << 20
 STEPS = 10_000
+KEPT_OUT, FEW = 8, 50
 SPACE = 32
 
 _table: list[np.ndarray] = []
@@ -272,9 +274,18 @@ def quantiles(measured: DataFrame, q: float) -> dict[str, float]:
     return out
 
 
+def kept_out() -> Column:
+    """Whether a training row calibrates instead of being counted: equal texts go the same way."""
+    return F.pmod(F.xxhash64("text"), F.lit(KEPT_OUT)) == 0
+
+
 def train(training: DataFrame, reject_quantile: float = 0.999) -> LanguageModel:
-    """Fit on all rows of ``training`` (doc_id, text, lang)."""
-    counts = cut(gram_counts(training))
+    """Fit on all rows of ``training`` (doc_id, text, lang), but for those kept out for the rejection limits."""
+    usable = training.where("text is not null and lang is not null").select("text", "lang")
+    # one row per language
+    few = [r["lang"] for r in usable.groupBy("lang").agg(F.count_if(kept_out()).alias("n")).where(F.col("n") < FEW).collect()]
+    both, out = F.col("lang").isin(few), kept_out()
+    counts = cut(gram_counts(usable.where(both | ~out)))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return LanguageModel([], [])
@@ -285,17 +296,16 @@ def train(training: DataFrame, reject_quantile: float = 0.999) -> LanguageModel:
     shared = training.sparkSession.sparkContext.broadcast(model)
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             entropy, _ = shared.value.cross_entropies(batch.column(0).to_pylist())
             own = [e[langs.index(x)] if x in langs else None for e, x in zip(entropy, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.float64())], ["lang", "entropy"])
 
-    usable = training.where("text is not null and lang is not null").select("text", "lang")
     # texts stay on the executors: each row becomes one number
-    measured = cut(usable.mapInArrow(entropies, "lang string, entropy double").where("entropy is not null"))
+    measured = cut(usable.where(both | out).mapInArrow(entropies, "lang string, entropy double").where("entropy is not null"))
     shared.unpersist()
     limits = quantiles(measured, reject_quantile)
-    model.limits = np.array([limits[x] for x in langs])
+    model.limits = np.array([limits.get(x, np.inf) for x in langs])
     return model
 
 
@@ -304,7 +314,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lang, p, entropy, rejected = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(p), pa.array(entropy), pa.array(rejected, pa.bool_())],

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, need, rank_in_groups
+from .common import cut, need, rank_in_groups, sliced
 from .tokens import WordIds
 
 END_ID = b"\0\0\0\0"
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(tokenizer)
         step = 4 * capacity
-        for batch in batches:
+        for batch in sliced(batches):
             doc, piece, start, length, crc, of = [], [], [], [], [], []
             for doc_id, text, window in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = ids_of((text or "").encode("utf-8", "surrogatepass")) + END_ID

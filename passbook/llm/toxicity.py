@@ -1,26 +1,32 @@
 """Toxicity scores by non-negative positive-unlabelled (nnPU) learning.
 
-Training data are confirmed toxic rows (positives) and a sample of all training
-documents, whatever their labels (unlabelled).  Both are bounded: the rows of least
-id hash, at most ``max_positive`` and ``max_unlabelled``; only their hashed word sets
-reach the driver.  The class prior is the share of label 1 over all labelled training
-rows.  A numpy logistic model on word presence minimises the non-negative risk
+Positives are confirmed toxic training rows, at most ``max_positive`` of them (those of least
+id hash); texts whose word sets agree in three min-hashes are near copies and count once.
+Unlabelled are all training documents, whatever their labels.  Words that at least ``MIN_POSITIVE``
+positives hold are candidates; Spark counts in how many of all training documents each
+occurs, and the ``max_words`` candidates of the greatest log-likelihood ratio between the two
+(``min_llr`` at least) become the model's words.  A text matters to the model by which of these
+it holds, so Spark counts the different sets over all training documents, and the risk of
+the unlabelled is an exact sum over all of them:
 
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)),
 
-with the ascent step of the method whenever the second part is negative.  Words enter
-the model if their log-likelihood ratio between the two samples is at least ``min_llr``.
+minimised by a numpy logistic model on word presence, with the ascent step of the method
+whenever the second part is negative.  The class prior is the share of label 1 over all labelled training rows.
+What the driver gathers is bounded by the positives and by the different sets of
+``max_words`` words that texts hold, most of them no word at all.
 
 Scoring streams over all rows: whole texts, word by word, no shuffle.
 
 Defined results: null or empty text scores like a text without known words; labels of
-null toxicity or null id teach nothing; rows that repeat an id are used as often as
-they occur.  Without any positive row, every score is the prior (about 0 without labels).
+null toxicity or null id teach nothing; an id that repeats among the labels counts once as a positive, and each of its texts.
+Without any positive row, every score is the prior (about 0 without labels).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -31,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, need
+from .common import fold, mix64, need, sliced
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 22
 MEMO = 300_000
+#: Positives that must hold a word of the model.
+MIN_POSITIVE = 3
 
 
 class WordBuckets(dict):
@@ -72,25 +80,69 @@ class Toxicity:
 
 
 def least_hashed(ids: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows of ``ids`` (doc_id), those of least id hash."""
-    return ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    """At most ``limit`` different ids of ``ids`` (doc_id), those of least hash."""
+    return ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def word_sets(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """The word sets of the documents whose id is in ``ids``, a bounded table, so it is broadcast."""
+def distinct_sets(docs: DataFrame, ids: DataFrame, limit: int) -> list[np.ndarray]:
+    """At most ``limit`` word sets of the documents in ``ids`` (a bounded table, so it is broadcast), one for each triple of min-hashes."""
+    seeds = mix64(np.arange(1, 4, dtype=np.uint64))[:, None]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = WordBuckets()
-        for batch in batches:
-            out = [word_set(t, buckets) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["words"])
-
-    chosen = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
-    found = chosen.mapInArrow(sets, "words array<int>").toArrow()["words"]
-    # views of the Arrow buffers, so the sets are held once
+        for batch in sliced(batches):
+            out = [sorted(word_set(t, buckets)) for t in batch.column(0).to_pylist()]
+            least = [mix64(np.array(x, np.uint64) ^ seeds).min(1).tobytes() if x else None for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.binary()), pa.array(out, pa.list_(pa.int32()))], ["least", "words"])
+
+    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    found = chosen.mapInArrow(sets, "least binary, words array<int>").where("least is not null").groupBy("least").agg(
+        F.min("words").alias("words")).orderBy("least").limit(limit).toArrow()["words"]
     return [part.values.to_numpy()[i:j] for part in found.chunks for i, j in pairwise(part.offsets.to_pylist())]
 
 
+def presence(docs: DataFrame, candidates: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` (text) each of the candidate buckets (sorted) occurs, and the number of rows."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, place = WordBuckets(), {b: k for k, b in enumerate(candidates.tolist())}
+        n, rows = np.zeros(len(candidates), np.int64), 0
+        for batch in sliced(batches):
+            for text in batch.column(0).to_pylist():
+                n[[k for b in word_set(text, buckets) if (k := place.get(b)) is not None]] += 1
+            rows += batch.num_rows
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, found]), pa.array(np.r_[rows, n[found]])], ["k", "n"])
+
+    out, rows = np.zeros(len(candidates)), 0
+    for r in docs.select("text").mapInArrow(counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        if r["k"] < 0:
+            rows = r["n"]
+        else:
+            out[r["k"]] = r["n"]
+    return out, rows
+
+
+def patterns(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different sets of ``words`` (62 buckets at most) that rows of ``docs`` (text) hold, as bit masks, and how many rows hold each."""
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, bit = WordBuckets(), {b: 1 << k for k, b in enumerate(words.tolist())}
+        held: Counter[int] = Counter()
+        for batch in sliced(batches):
+            held.update(sum(bit.get(b, 0) for b in word_set(t, buckets)) for t in batch.column(0).to_pylist())
+            if len(held) > 1 << 20:
+                yield table(held)
+                held.clear()
+        yield table(held)
+
+    def table(held: Counter[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["mask", "n"])
+
+    found = docs.select("text").mapInArrow(masks, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).toArrow()
+    return found["mask"].to_numpy(), found["n"].to_numpy()
+
+
 def log_likelihood_ratio(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
     """G statistic of presence counts a of n_a against b of n_b, per word."""
 
@@ -102,41 +154,37 @@ def log_likelihood_ratio(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np
     return 2 * (part(a, n_a, pa_) + part(b, n_b, pb) - part(a, n_a, p) - part(b, n_b, p))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_llr: float = 16.0,
-             epochs: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Toxicity:
-    """Fit the logistic model with the non-negative risk estimator by full-batch Adam steps."""
+def no_words(prior: float) -> Toxicity:
+    """The model that gives every text the prior."""
     prior = float(np.clip(prior, 1e-6, 1 - 1e-6))
-    if not positive or not unlabelled:
-        return Toxicity(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-
-    def flat(sets):
-        return np.concatenate(sets) if sets else np.zeros(0, np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-
-    (wp, rp), (wu, ru) = flat(positive), flat(unlabelled)
-    cp, cu = (np.bincount(x, minlength=BUCKETS).astype(float) for x in (wp, wu))
-    words = np.flatnonzero(cp + cu >= 3)
-    words = words[log_likelihood_ratio(cp[words], len(positive), cu[words], len(unlabelled)) >= min_llr]
-    column = np.full(BUCKETS, -1, np.int32)
-    column[words] = np.arange(len(words))
-    ip, iu = column[wp], column[wu]
-    rp, ip, ru, iu = rp[ip >= 0], ip[ip >= 0], ru[iu >= 0], iu[iu >= 0]
-    w, b = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
+    return Toxicity(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
+
+
+def fit_nnpu(words: np.ndarray, positive: np.ndarray, masks: np.ndarray, counts: np.ndarray, prior: float,
+             epochs: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Toxicity:
+    """Fit the logistic model with the non-negative risk estimator by full-batch Adam steps.
+
+    ``positive`` and ``masks``: sets of ``words`` as bit masks, one per positive and one per different set among the
+    unlabelled, of which ``counts`` rows have it.
+    """
+    model = no_words(prior)
+    prior = 1 / (1 + np.exp(-model.bias))
+    bits = np.arange(len(words))
+    xp, xu = (((m[:, None] >> bits) & 1).astype(float) for m in (positive, masks))
+    share = counts / counts.sum()
+    w, b = np.zeros(len(words)), model.bias
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    softplus = lambda z: np.logaddexp(0, z)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for t in range(1, epochs + 1):
-        zp = b + np.bincount(rp, w[ip], len(positive))
-        zu = b + np.bincount(ru, w[iu], len(unlabelled))
-        softplus = lambda z: np.logaddexp(0, z)
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        negative = softplus(zu).mean() - prior * softplus(zp).mean()
-        gp_plus = -prior * sigmoid(-zp) / len(zp)
-        gp_minus = -prior * sigmoid(zp) / len(zp)
-        gu = sigmoid(zu) / len(zu)
+        zp, zu = b + xp @ w, b + xu @ w
+        negative = (softplus(zu) * share).sum() - prior * softplus(zp).mean()
+        gp_plus, gp_minus, gu = -prior * sigmoid(-zp) / len(zp), -prior * sigmoid(zp) / len(zp), sigmoid(zu) * share
         if negative >= 0:
             dp, du = gp_plus + gp_minus, gu
         else:  # the estimate fell below zero: step back from the overfit part
             dp, du = -gp_minus, -gu
-        g = np.bincount(ip, dp[rp], len(w)) + np.bincount(iu, du[ru], len(w)) + decay * w
-        gb = dp.sum() + du.sum()
+        g, gb = dp @ xp + du @ xu + decay * w, dp.sum() + du.sum()
         mw, vw = 0.9 * mw + 0.1 * g, 0.999 * vw + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9 ** t, 1 - 0.999 ** t
@@ -145,15 +193,26 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return Toxicity(words, w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_words: int = 62, min_llr: float = 16.0) -> Toxicity:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both already cut to the training fold."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    if not n:
-        return fit_nnpu([], [], 0.0)
-    positive = word_sets(docs, least_hashed(known.where("toxic = 1"), max_positive))
-    unlabelled = word_sets(docs, least_hashed(docs.where("doc_id is not null"), max_unlabelled))
-    return fit_nnpu(positive, unlabelled, ones / n)
+    prior = ones / n if n else 0.0
+    positive = distinct_sets(docs, least_hashed(known.where("toxic = 1"), max_positive), max_positive) if ones else []
+    if not positive:
+        return no_words(prior)
+    buckets, held = np.unique(np.concatenate(positive), return_counts=True)
+    candidates, held = buckets[held >= MIN_POSITIVE], held[held >= MIN_POSITIVE]
+    n_unlabelled, rows = presence(docs, candidates)
+    ratio = log_likelihood_ratio(held, len(positive), n_unlabelled, rows)
+    best = np.argsort(-ratio, kind="stable")[:max_words]
+    words = np.sort(candidates[best[ratio[best] >= min_llr]])
+    if not len(words):
+        return no_words(prior)
+    masks, counts = patterns(docs, words)
+    bit = {b: 1 << k for k, b in enumerate(words.tolist())}
+    own = np.array([sum(bit.get(b, 0) for b in x.tolist()) for x in positive], np.int64)
+    return fit_nnpu(words, own, masks, counts, prior)
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:
@@ -162,7 +221,7 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = WordBuckets()
-        for batch in batches:
+        for batch in sliced(batches):
             s = np.array([shared.value.score(t, buckets) for t in batch.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -177,7 +236,7 @@ def keep(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = WordBuckets()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([shared.value.score(t, buckets) < threshold for t in texts], pa.bool_()))
 

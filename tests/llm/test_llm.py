@@ -167,11 +167,71 @@ def test_language_id_keeps_all_grams_and_rows(spark):
     rows = [(i, t, "aa") for i, t in enumerate(hot)] + [(100 + i, "zażółć gęślą jaźń" + " ż" * i, "zz") for i in range(3)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["aa", "zz"] and len(model.hashes) > 2_000_000
-    rows = [(i, "lorem ipsum " + "dolor " * (i % 7), "aa") for i in range(3000)] + [(5000 + i, "gęś " * i, "bb") for i in range(1, 4)]
-    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), reject_quantile=0.9)
-    for i, lang in enumerate(model.langs):
-        entropy, _ = model.cross_entropies([t for _, t, x in rows if x == lang])
+    rows = [(i, f"lorem ipsum {'dolor ' * (i % 7)}{i}", "aa") for i in range(3000)] + [(5000 + i, "gęś " * i, "bb") for i in range(1, 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d, reject_quantile=0.9)
+    out = {x.doc_id for x in d.where(langid.kept_out()).collect()}
+    for i, lang in enumerate(model.langs):  # a language of few rows is measured on all of them
+        entropy, _ = model.cross_entropies([t for k, t, x in rows if x == lang and (k in out or lang == "bb")])
         assert model.limits[i] == pytest.approx(np.quantile(entropy[:, i], 0.9), abs=1e-12)
+    counted = langid.LanguageModel(["aa"], [langid.np.unique(np.concatenate([langid.grams(langid.normalised(t)) for k, t, x in rows if x == "aa" and k not in out]), return_counts=True)])
+    some = "lorem dolor ipsum"
+    assert model.cross_entropies([some])[0][0, 0] == pytest.approx(
+        -np.log(counted_probability(model.models[0], some)).mean()) and len(counted.models[0].keys[3]) == len(model.models[0].keys[3])
+
+
+def counted_probability(m, text):
+    return m.probability(langid.grams(langid.normalised(text)))
+
+
+def slow_kneser_ney(texts, alphabet):
+    """P(unit | context) from the definition, over dicts of n-grams as text."""
+    from collections import Counter
+
+    full = Counter()
+    for t in texts:
+        u = langid.normalised(t).tobytes().decode("utf-16-le")
+        full.update(u[i:i + 4] for i in range(len(u) - 3))
+    levels = {4: dict(full)}
+    for k in (3, 2, 1):
+        # the continuation count of an n-gram: how many different units stand before it
+        levels[k] = Counter(g[1:] for g in {x[4 - k - 1:] for x in full})
+    def discount(c):
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        return one / (one + 2 * two) if one and two else 0.5
+
+    def p(g):
+        out = 1 / alphabet
+        for k in range(1, 5):
+            c, own = levels[k], g[4 - k:]
+            followers = [v for x, v in c.items() if x[:-1] == own[:-1]]
+            if not followers:
+                continue
+            d, total = discount(c), sum(followers)
+            out = max(c.get(own, 0) - d, 0) / total + d * len(followers) / total * out
+        return out
+
+    return p
+
+
+def test_kneser_ney_equals_its_definition():
+    texts = ["the cat sat on the mat", "a rat ran at the cat and sat", "that hat"]
+    g, n = np.unique(np.concatenate([langid.grams(langid.normalised(t)) for t in texts]), return_counts=True)
+    m, p = langid.KneserNey(g, n, 20), slow_kneser_ney(texts, 20)
+    for t in (*texts, "the bat had a zebra", "cats"):
+        u = langid.normalised(t)
+        want = [p(u[i:i + 4].tobytes().decode("utf-16-le")) for i in range(len(u) - 3)]
+        assert m.probability(langid.grams(u)) == pytest.approx(want, abs=1e-12)
+
+
+def test_identify_edges(spark):
+    rows = [(i, w * 5, x) for i, (w, x) in enumerate([("abc ", "aa"), ("abc ", "bb"), ("xyz ", "cc")] * 4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    d = spark.createDataFrame([(1, "abc " * 5), (1, "ABC " * 5), (None, "xyz " * 5), (2, "éèà ùòì ßßß"), (3, None)], DOC).selectExpr("*", "'x' as lang_pred", "1 as rejected")
+    got = sorted(((x.doc_id, x.lang_pred, x.rejected) for x in langid.identify(d, model).collect()), key=str)
+    # ties go to the first language, repeated rows get the same, unlike texts are rejected
+    assert got == sorted([(1, "aa", False), (1, "aa", False), (None, "cc", False), (2, got[2][1], True), (3, "und", False)], key=str)
+    assert langid.identify(d.limit(0), model).count() == 0
 
 
 def test_kneser_ney_sums_to_one():
@@ -187,23 +247,65 @@ def test_kneser_ney_sums_to_one():
 # 4 and 9
 
 
-def test_toxicity(spark):
+def toxic_rows():
     r = random.Random(2)
     words = ["w" + c for c in "abcdefghijklmnop"]
-    rows = []
-    for i in range(400):
-        toxic = i % 5 == 0
-        rows.append((i, " ".join(r.choices(words, k=30) + (["Vile,"] if toxic else [])), int(toxic)))
+    return [(i, " ".join(r.choices(words, k=30) + (["Vile,"] if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(400)]
+
+
+def test_toxicity(spark):
+    rows = toxic_rows()
     d = spark.createDataFrame([(a, b) for a, b, _ in rows], DOC)
-    labels = spark.createDataFrame([(a, c) for a, _, c in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows] + [(None, 1), (5, None), (0, 1), (0, 1)], "doc_id long, toxic int")
     model = toxicity.train(d, labels)
     got = toxicity.score(d, model).toPandas().sort_values("doc_id")
     assert got.predicted.tolist() == [c for *_, c in rows]
     edge = toxicity.score(docs(spark, "", None, "VILE " * 100_000).withColumn("score", toxicity.F.lit(0)), model).orderBy("doc_id").collect()
     assert [x.predicted for x in edge] == [0, 0, 1]
+    twice = spark.createDataFrame([(0, "vile"), (0, "vile"), (None, "vile")], DOC)
+    assert len({x.score for x in toxicity.score(twice, model).collect()}) == 1
     assert toxicity.keep(d, model).count() == 320 and toxicity.keep(docs(spark), model).count() == 0
     empty = toxicity.train(d, labels.limit(0))
     assert all(x.score < 1e-5 for x in toxicity.score(d, empty).collect())
+    none = toxicity.train(docs(spark), labels.limit(0))
+    assert none.bias == empty.bias
+    assert toxicity.train(docs(spark, None, ""), spark.createDataFrame([(0, 1), (1, 1)], labels.schema)).bias > 5
+
+
+def test_counts_of_the_unlabelled_are_exact(spark):
+    rows = toxic_rows()
+    d = spark.createDataFrame([(a, b) for a, b, _ in rows] + [(9, None), (9, "")], DOC).repartition(5)
+    buckets = toxicity.WordBuckets()
+    sets = [set(toxicity.word_set(b, buckets)) for _, b, _ in rows] + [set(), set()]
+    words = np.sort(np.array([buckets[w] for w in ("vile", "wa", "wb", "absent")]))
+    n, total = toxicity.presence(d, words)
+    assert total == 402 and n.tolist() == [sum(w in s for s in sets) for w in words.tolist()]
+    masks, counts = toxicity.patterns(d, words)
+    want = {}
+    for s in sets:
+        m = sum(1 << k for k, w in enumerate(words.tolist()) if w in s)
+        want[m] = want.get(m, 0) + 1
+    assert dict(zip(masks.tolist(), counts.tolist(), strict=True)) == want
+
+
+def test_nnpu_lowers_the_risk_it_states():
+    """Against a plain computation of the risk, document by document."""
+    rng = np.random.default_rng(3)
+    words = np.arange(4)
+    positive = rng.integers(0, 16, 40) | 1
+    unlabelled = np.where(rng.random(300) < 0.2, rng.integers(0, 16, 300) | 1, rng.integers(0, 8, 300) << 1)
+    masks, counts = np.unique(unlabelled, return_counts=True)
+    m = toxicity.fit_nnpu(words, positive, masks, counts, 0.2)
+
+    def risk(w, b):
+        z = lambda masks: np.array([b + sum(w[k] for k in range(4) if x >> k & 1) for x in masks.tolist()])
+        loss = lambda z: np.log1p(np.exp(-z))
+        return 0.2 * loss(z(positive)).mean() + max(0, loss(-z(unlabelled)).mean() - 0.2 * loss(-z(positive)).mean())
+
+    best = risk(m.weights, m.bias)
+    assert best < risk(np.zeros(4), np.log(0.25)) - 0.05
+    for _ in range(50):
+        assert risk(m.weights + rng.normal(size=4) * 0.3, m.bias + rng.normal() * 0.3) > best - 1e-2
 
 
 def test_quality_ranking(spark):
@@ -219,11 +321,29 @@ def test_quality_ranking(spark):
     assert rankquality.score(d, model).toPandas().sort_values("doc_id").predicted.tolist() == [c for *_, c in rows]
     assert rankquality.keep(d, model).count() == 200 and rankquality.score(docs(spark), model).count() == 0
     assert all(0 <= x.score <= 1 for x in rankquality.score(docs(spark, "", None, "a " * 300_000), model).collect())
+    odd = spark.createDataFrame([(0, "a b"), (0, "a b"), (None, "a b")], DOC).selectExpr("*", "'x' as score", "1 as predicted", "2 as x")
+    assert len({x.score for x in rankquality.score(odd, model).collect()}) == 1 and rankquality.keep(odd, model).columns == odd.columns
     for q, want in ((1, 1.0), (0, 0.0), (2, 0.5)):
         one = rankquality.train(d, labels.where(f"quality = {q}"))
         assert {x.score for x in rankquality.score(d, one).collect()} == {want}
 
 
+def test_pairs_follow_the_bradley_terry_gradient():
+    """The fit against a plain logistic regression on the differences of one-hot features of all pairs."""
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(1, 1, (30, 2)), rng.normal(0, 1, (20, 2))
+    m = rankquality.fit_pairs(good, bad, 0.4, pairs=10_000, epochs=600)
+    hot = lambda x: np.concatenate([np.eye(rankquality.BINS)[rankquality.bins(x, m.edges)[:, j]] for j in range(2)], 1)
+    diff = (hot(good)[:, None] - hot(bad)[None]).reshape(600, -1)
+    w = np.zeros(diff.shape[1])
+    for _ in range(20_000):
+        w += 0.5 * ((diff / (1 + np.exp(diff @ w))[:, None]).mean(0) - 1e-4 * w)
+    loss = lambda w: np.log1p(np.exp(-diff @ w)).mean()
+    assert loss(m.weights.reshape(-1)) < loss(w) + 0.02
+    s = np.concatenate([m.raw(good), m.raw(bad)])
+    assert abs((s < m.threshold).mean() - 0.4) < 0.1
+
+
 # 5 and 6
 
 
@@ -392,6 +512,54 @@ def test_rules_reject_by_posterior(spark):
     assert got.kept.tolist() == [True] * 60 + [False] * 10 and not got.base_failed.any()
 
 
+def slow_em(patterns, width, rounds=100):
+    """The same estimate text by text: every row of its own, rates as products instead of logarithms."""
+    texts = [v for v, n in patterns for _ in range(n)]
+    good = [0.05 if 0 in v else 0.95 for v in texts]
+    for _ in range(rounds):
+        p = (sum(good) + 1) / (len(texts) + 2)
+        on_good, on_bad = [], []
+        for k in range(width):
+            g = {x: 1 + sum(a for a, v in zip(good, texts, strict=True) if v[k] == x) for x in (1, 0, None)}
+            b = {x: 1 + sum(1 - a for a, v in zip(good, texts, strict=True) if v[k] == x) for x in (1, 0, None)}
+            fair = (1 - qualityrules.FALSE_ALARM) / (g[1] + g[None])
+            on_good.append({1: g[1] * fair, None: g[None] * fair, 0: qualityrules.FALSE_ALARM})
+            on_bad.append({x: b[x] / sum(b.values()) for x in b})
+        good = []
+        for v in texts:
+            a, c = p, 1 - p
+            for k in range(width):
+                a, c = a * on_good[k][v[k]], c * on_bad[k][v[k]]
+            good.append(a / (a + c))
+    return dict(zip(texts, good, strict=True))
+
+
+def test_expectation_maximisation_text_by_text():
+    patterns = [((1, 1, None), 40), ((0, 0, 1), 6), ((0, 1, 1), 3), ((None, 0, 0), 4), ((1, None, 1), 10)]
+    prior, tables = qualityrules.expectation_maximisation(patterns, 3)
+    want = slow_em(patterns, 3)
+    for v, _ in patterns:
+        z = prior + sum(t[x] for t, x in zip(tables, v, strict=True))
+        assert 1 / (1 + math.exp(-z)) == pytest.approx(want[v], abs=1e-6)
+
+
+def test_verdicts_of_ties_and_repeated_rows(spark):
+    r = random.Random(6)
+    clean = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(90))
+    d = spark.createDataFrame([(1, clean), (1, clean), (None, clean), (2, clean.replace(" ", "### "))], DOC)
+    got = qualityrules.judge(d).collect()
+    assert len(got) == 4 and len({x.posterior for x in got if x.doc_id != 2}) == 1
+    at = {x.posterior for x in got if x.doc_id == 1}.pop()
+    assert all(x.kept for x in qualityrules.judge(d, threshold=at).collect() if x.doc_id != 2)  # a posterior of exactly the threshold is kept
+
+
+def test_token_counts_of_nothing_and_of_repeated_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert tokens.token_counts(docs(spark), path).count() == 0
+    d = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], DOC)
+    assert {(x.n_tokens, x.over_limit) for x in tokens.token_counts(d, path, limit=1).collect()} == {(2, True)}
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     r = random.Random(7)
