@@ -32,4 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": vectorjoin.op10_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE_OP1}
+ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE_OP1, "op2_minhash_dedup": minhash.ORACLE_OP2, "op10_embedding_dedup": vectorjoin.ORACLE_OP10,
+}

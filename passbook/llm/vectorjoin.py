@@ -251,3 +251,18 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
+
+
+#: Compares all pairs, so this is meant for small tables.
+ORACLE_OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.dst FROM reach JOIN links ON links.src = reach.b
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), n AS (SELECT src, count(*) AS n FROM links GROUP BY src)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON a = vec_id LEFT JOIN n ON src = vec_id
+"""

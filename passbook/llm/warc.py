@@ -7,7 +7,8 @@ name it.  Spark's text sink writes the members, so any file system, commit
 protocol and task retry works: a gzip member ends in the top byte of its length,
 which is 0 below 16 MiB, so that byte is left to the sink's one-byte line
 separator (a larger member is followed by an empty one, which ends in 0 too).
-The files are plain concatenations of gzip members.
+The files are plain concatenations of gzip members.  Spark rebalances the members before
+they are written, so an archive has about the advisory partition size in bytes, whatever the pages' sizes.
 
 Reading.  ``read_warc`` walks each archive front to back: zlib inflates member by
 member in small steps, the block is framed by Content-Length, and block and
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, shared_dir
+from .common import cut, need, shared_dir
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -130,8 +131,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warc(pages: DataFrame, path: str, min_payload: int = 100, max_records: int = 20_000) -> None:
-    """Write the rows of ``pages`` as WARC archives of at most ``max_records`` records in ``path``."""
-    members = with_revisits(pages, min_payload).mapInArrow(_members, "member binary")
+    """Write the rows of ``pages`` as WARC archives of bounded size, and of at most ``max_records`` records, in ``path``."""
+    members = with_revisits(pages, min_payload).mapInArrow(_members, "member binary").hint("rebalance")
     (members.select(F.col("member").cast("string").alias("value")).write
      .option("lineSep", "\u0000").option("compression", "none")
      .option("maxRecordsPerFile", max_records).mode("overwrite").text(path))
@@ -174,10 +175,10 @@ def parse_record(raw: bytes) -> dict:
     return fields | {"payload": payload}
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(batches: Iterator[pa.RecordBatch], payload: bool = True) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()),
                         ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload_digest", pa.string()),
-                        ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+                        ("payload_bytes", pa.int64()), *([("payload", pa.binary())] if payload else [])])
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
@@ -188,9 +189,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "record_id": r["warc-record-id"], "record_type": r["warc-type"], "page_id": _page(r["warc-record-id"]),
                     "refers_to": _page(r.get("warc-refers-to")), "target_uri": r.get("warc-target-uri"),
                     "payload_digest": r.get("warc-payload-digest", "").removeprefix("sha256:"),
-                    "payload_bytes": None if revisit else len(r["payload"]), "payload": None if revisit else r["payload"],
+                    "payload_bytes": None if revisit else len(r["payload"]), **({"payload": None if revisit else r["payload"]} if payload else {}),
                 })
-                size += len(r["payload"]) + 200
+                size += len(r["payload"]) * payload + 200
                 if size > ROWS_OUT_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, size = [], 0
@@ -198,10 +199,14 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row (schema ``RECORDS``) per record of the archives in ``path``; a revisit has no payload."""
+def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """One row (schema ``RECORDS``) per record of the archives in ``path``; a revisit has no payload.
+
+    Without ``payload`` that column is left out; all digests are verified all the same.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_records, RECORDS)
+    schema = RECORDS if payload else T.StructType([x for x in RECORDS if x.name != "payload"])
+    return files.mapInArrow(lambda batches: _records(batches, payload), schema)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -219,11 +224,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, min_payload: int = 100) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back, revisits resolved."""
+    """Write ``pages`` to archives in the shared folder, read them back once, revisits resolved, and remove the archives."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, min_payload)
-    return resolve_revisits(read_warc(spark, path))
+    records = cut(read_warc(spark, path, payload=False))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return resolve_revisits(records)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
