@@ -43,7 +43,7 @@ from .common import connected_components, cut, mix64, need, shuffle_partitions,
 
 MEMO = 300_000
 #: Members of a list that one task compares with as many others, and candidates of a class that one task compares.
-BLOCK, SPREAD = 250, 250
+BLOCK, SPREAD = 1000, 1000
 
 
 class WordHashes(dict):
@@ -188,24 +188,29 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= threshold))
 
     candidates = cut(joined.select("a", "b", "a_sig", "b_sig").mapInArrow(collide, "a long, b long"))
-    sets = cut(full_sets(candidates.select(F.explode(F.array("a", "b")).alias("id")), classes, docs, size))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in sliced(batches):
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = []
+            for x, text, of_class in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                y = shingles(text, size, hashes)
+                # an id may have several texts, of which this class has one
+                keep.append(class_of(y) == of_class and similar(np.frombuffer(x, np.uint64), y, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # a hub's candidates are dealt over parts of SPREAD, each with its set
+    # few classes stand for many lists, so their sets are made once; their candidates are dealt over parts of SPREAD
     parts = candidates.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts")).withColumnRenamed("a", "p_id")
+    sets = full_sets(candidates.select(F.col("a").alias("id")), classes, docs, size)
     of_a = sets.join(parts, sets["s_id"] == parts["p_id"]).select(
-        "p_id", F.col("shingles").alias("a_set"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = candidates.join(parts, candidates["a"] == parts["p_id"]).select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("b_part"))
-    of_b = sets.select(F.col("s_id").alias("b_id"), F.col("shingles").alias("b_set"))
-    with_b = dealt.join(of_b, dealt["b"] == of_b["b_id"])
-    return with_b.join(of_a, (with_b["a"] == of_a["p_id"]) & (with_b["b_part"] == of_a["part"])).select("a", "b", "a_set", "b_set").mapInArrow(
-        compare, "a long, b long")
+        "p_id", F.col("shingles").alias("a_set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    named = classes.select(F.col("id").alias("b_id"), F.col("class").alias("b_class"), F.col("doc_id").alias("b_doc"))
+    dealt = candidates.join(parts, candidates["a"] == parts["p_id"]).join(named, candidates["b"] == named["b_id"]).select(
+        "a", "b", "b_class", "b_doc", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("b_part"))
+    texts = need(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").alias("b_text"))
+    with_b = dealt.join(texts, dealt["b_doc"] == texts["t_id"])
+    return with_b.join(of_a, (with_b["a"] == of_a["p_id"]) & (with_b["b_part"] == of_a["part"])).select(
+        "a", "b", "a_set", "b_text", "b_class").mapInArrow(compare, "a long, b long")
 
 
 #: Lists of at most so many members are compared many at a time.
