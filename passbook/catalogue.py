@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.functions import lexicon, privacy, text
+from passbook.functions import display, lexicon, privacy, text
 from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence, scans
 from passbook.oracles import COPY_ID, COPY_MS, END, NOW, ORACLES, SCAN_RULES, START
 from passbook.plans import pipeline
@@ -180,6 +180,13 @@ def tx_violations(spark, sf_dir):
 # scalar functions
 
 
+@query
+def display_format(spark, sf_dir):
+    tx = adapters.tx_orders(spark, sf_dir).withColumn("amount_minor", F.col("amount_minor") * F.pow(F.lit(10), F.col("tx_id") % 6).cast("long"))
+    return tx.select("tx_id", display.money(F.col("amount_minor"), F.col("currency")).alias("money"), display.date(F.col("ts_ms")).alias("day"),
+                     display.date_time(F.when(F.col("tx_id") % 3 != 0, F.col("ts_ms"))).alias("at"), display.percent((F.col("tx_id") % 101) / 100).alias("share"))
+
+
 @query
 def amount_parse(spark, sf_dir):
     n = F.col("event_id")

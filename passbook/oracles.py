@@ -395,6 +395,11 @@ ORACLES: dict[str, str] = {
       transfer_status, role, duplicate_status, CASE WHEN duplicate_status <> 'NONE' THEN near_seq END AS possible_duplicate_of FROM scanned"""),
     "tx_violations": f"""{W}{TX} SELECT tx_id, CASE WHEN tx_id % 11 = 0 AND tx_id > 0 THEN 'AMOUNT' WHEN (merchant_key IS NULL) <> (merchant_display IS NULL) THEN 'MERCHANT'
       WHEN duplicate_status = 'NONE' AND tx_id % 5 = 0 THEN 'DUPLICATE_POINTER' WHEN tx_id % 9 = 0 THEN 'CONFIDENCE' WHEN tx_id % 4 = 0 THEN 'TIMES' END AS violation FROM tx""",
+    "display_format": rf"""{W}{TX}, m AS (SELECT tx_id, ts_ms, currency, CAST(CAST(amount_minor AS HUGEINT) * CAST(pow(10, tx_id % 6) AS HUGEINT) AS BIGINT) AS a FROM tx),
+      p AS (SELECT *, CAST(a // 100 AS VARCHAR) AS w, lpad(CAST(a % 100 AS VARCHAR), 2, '0') AS c FROM m)
+      SELECT tx_id, CASE WHEN currency = 'INR' THEN '₹' || CASE WHEN length(w) > 3 THEN ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(\d\d)', '\1,', 'g')), ',') || ',' || right(w, 3)
+          ELSE w END || '.' || c ELSE currency || ' ' || w || '.' || c END AS money, strftime(make_timestamp(ts_ms * 1000), '%d %b %Y') AS day,
+        CASE WHEN tx_id % 3 <> 0 THEN strftime(make_timestamp(ts_ms * 1000), '%d %b %Y, %H:%M') ELSE '—' END AS at, trunc((tx_id % 101) / 100 * 100)::INT || '%' AS share FROM p""",
     "amount_parse": """WITH s AS (SELECT event_id, [' 1,234.5', '12', '7.05 ', '1.234', 'abc', '', '99999999999999999999', '1 000.10'][CAST(event_id % 8 + 1 AS INT)] || CASE WHEN event_id % 8 = 1 THEN CAST(event_id AS VARCHAR) ELSE '' END AS raw FROM events),
       c AS (SELECT event_id, regexp_replace(raw, '[, ]', '', 'g') AS v FROM s)
       SELECT event_id, CASE WHEN regexp_matches(v, '^\\d+(\\.\\d{1,2})?$') THEN TRY_CAST(split_part(v, '.', 1) AS BIGINT) * 100 + CAST(rpad(split_part(v, '.', 2), 2, '0') AS BIGINT) END AS amount_minor FROM c""",
