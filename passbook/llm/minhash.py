@@ -16,8 +16,6 @@
    leave a list in several components, the pairs across components are counted block by
    block inside tasks, and the candidates among them confirmed there on full sets.
    Pairs inside one component cannot change the result and are not formed.
-   Sets are compared as sorted hashes, made once per class; a class with very many
-   candidates is compared by several tasks.
 5. Connected components by minima give each text the least id reachable.
 
 Defined results.  Null or empty text, or no word: empty set, linked with nothing, its
@@ -42,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, mix64, need, shuffle_partitions, sliced
 
 MEMO = 300_000
-#: Members of a list that one task compares with as many others, and candidates of a class that one task compares.
-BLOCK, SPREAD = 1000, 1000
+#: Members of a list that one task compares with as many others.
+BLOCK = 1000
 
 
 class WordHashes(dict):
@@ -177,40 +175,41 @@ def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) ->
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, threshold: int,
               coordinates: int) -> DataFrame:
     """The pairs (a, b) with enough collisions and 100 * intersection >= percent * union on the full sets."""
-    left = classes.select(F.col("id").alias("a_id"), F.col("sig").alias("a_sig"), F.col("n_shingles").alias("a_n"))
-    right = classes.select(F.col("id").alias("b_id"), F.col("sig").alias("b_sig"), F.col("n_shingles").alias("b_n"))
+    def of(side: str) -> DataFrame:
+        names = {"id": "id", "sig": "sig", "n_shingles": "n", "doc_id": "doc", "class": "class"}
+        return classes.select(*[F.col(k).alias(f"{side}_{v}") for k, v in names.items()])
+
+    left, right = of("a"), of("b")
     joined = pairs.join(left, pairs["a"] == left["a_id"]).join(right, pairs["b"] == right["b_id"]).where(
         (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")))
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, coordinates) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= threshold))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, coordinates) for i in (0, 1))
+            yield batch.select([2, 3, 4, 5, 6, 7]).filter(pa.array((x == y).sum(1) >= threshold))
 
-    candidates = cut(joined.select("a", "b", "a_sig", "b_sig").mapInArrow(collide, "a long, b long"))
+    candidates = cut(joined.select("a_sig", "b_sig", "a", "b", "a_doc", "b_doc", "a_class", "b_class").mapInArrow(
+        collide, "a long, b long, a_doc long, b_doc long, a_class binary, b_class binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        last: tuple[tuple | None, np.ndarray] = (None, np.zeros(0))
         for batch in sliced(batches):
             keep = []
-            for x, text, of_class in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                y = shingles(text, size, hashes)
-                # an id may have several texts, of which this class has one
-                keep.append(class_of(y) == of_class and similar(np.frombuffer(x, np.uint64), y, percent))
+            for a, text_a, class_a, text_b, class_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                if last[0] != (a, text_a):
+                    last = ((a, text_a), shingles(text_a, size, hashes))
+                x, y = last[1], shingles(text_b, size, hashes)
+                # an id may have several texts, of which its class has one
+                keep.append(class_of(x) == class_a and class_of(y) == class_b and similar(x, y, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # few classes stand for many lists, so their sets are made once; their candidates are dealt over parts of SPREAD
-    parts = candidates.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts")).withColumnRenamed("a", "p_id")
-    sets = full_sets(candidates.select(F.col("a").alias("id")), classes, docs, size)
-    of_a = sets.join(parts, sets["s_id"] == parts["p_id"]).select(
-        "p_id", F.col("shingles").alias("a_set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    named = classes.select(F.col("id").alias("b_id"), F.col("class").alias("b_class"), F.col("doc_id").alias("b_doc"))
-    dealt = candidates.join(parts, candidates["a"] == parts["p_id"]).join(named, candidates["b"] == named["b_id"]).select(
-        "a", "b", "b_class", "b_doc", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("b_part"))
-    texts = need(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").alias("b_text"))
-    with_b = dealt.join(texts, dealt["b_doc"] == texts["t_id"])
-    return with_b.join(of_a, (with_b["a"] == of_a["p_id"]) & (with_b["b_part"] == of_a["part"])).select(
-        "a", "b", "a_set", "b_text", "b_class").mapInArrow(compare, "a long, b long")
+    texts = need(docs, "doc_id", "text").where("doc_id is not null")
+    of_b = texts.select(F.col("doc_id").cast("long").alias("b_id"), F.col("text").alias("b_text"))
+    of_a = texts.select(F.col("doc_id").cast("long").alias("a_id"), F.col("text").alias("a_text"))
+    with_b = candidates.join(of_b, candidates["b_doc"] == of_b["b_id"])
+    return with_b.join(of_a, with_b["a_doc"] == of_a["a_id"]).select("a", "b", "a_text", "a_class", "b_text", "b_class").mapInArrow(
+        compare, "a long, b long")
 
 
 #: Lists of at most so many members are compared many at a time.
