@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    centroids,
+    codes,
     langid,
     minhash,
     mixing,
@@ -30,8 +32,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_quality_classifier": rankquality.op9_quality_classifier,
     "op10_embedding_dedup": vectorjoin.op10_embedding_dedup,
+    "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE_OP1, "op2_minhash_dedup": minhash.ORACLE_OP2, "op10_embedding_dedup": vectorjoin.ORACLE_OP10,
+    "op11_centroid_clustering": centroids.ORACLE_OP11, "op13_vector_codes": codes.ORACLE_OP13,
 }
