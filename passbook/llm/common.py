@@ -97,6 +97,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.where("src is not null and dst is not null").select(
         F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()  # of the first edges, so that ``edges`` is computed once
     before = None
     while True:
         both = e.where("a <> b").select("a", "b").union(e.where("a <> b").select(F.col("b"), F.col("a")))
@@ -115,8 +116,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    nodes = edges.where("src is not null and dst is not null").select(
-        F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes.join(e, nodes["node"] == e["a"], "left").select(
         "node", F.coalesce("b", "node").alias("component"))
 

@@ -107,24 +107,28 @@ def match_threshold(coordinates: int, similarity: float, miss: float = 1e-6) ->
     return max(t, 1)
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``(doc_id, h, text)``: the id as a number, and a hash that tells the texts of one id apart."""
+    return need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+
+
 def shingle_sets(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """``(doc_id, n_shingles, class, sig)``; class and sig are null for an empty set."""
+    """``(doc_id, h, n_shingles, class, sig)``; class and sig are null for an empty set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in sliced(batches):
             n, cls, sig = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, size, hashes)
                 n.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
                 sig.append(signature(s, coordinates).astype(np.uint32).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "class", "sig"])
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
+                ["doc_id", "h", "n_shingles", "class", "sig"])
 
-    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sets, "doc_id long, n_shingles long, class binary, sig binary")
+    return texts_of(docs).mapInArrow(sets, "doc_id long, h long, n_shingles long, class binary, sig binary")
 
 
 def postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
@@ -154,29 +158,32 @@ def postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
         "x.token", "id", "prefix")
 
 
-def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``(s_id, shingles)`` of the classes in ``ids`` (id): the sorted hashes, made from the text of the document that stands for the class."""
+def class_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(t_id, text)``: one text for each class in ``ids`` (id), however many rows repeat it."""
     wanted = ids.select(F.col("id").alias("w_id")).distinct()
-    chosen = classes.join(wanted, classes["id"] == wanted["w_id"], "left_semi").select("id", "class", F.col("doc_id").alias("of"))
-    texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = texts.join(chosen, texts["doc_id"] == chosen["of"]).select("id", "class", "text")
+    chosen = classes.join(wanted, classes["id"] == wanted["w_id"], "left_semi").select(
+        F.col("id").alias("t_id"), F.col("doc_id").alias("of"), F.col("h").alias("of_h"))
+    texts = texts_of(docs)
+    return texts.join(chosen, (texts["doc_id"] == chosen["of"]) & (texts["h"] == chosen["of_h"])).select("t_id", "text").dropDuplicates(["t_id"])
+
+
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``(s_id, shingles)`` of the classes in ``ids`` (id): the sorted hashes, made from the text that stands for the class."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in sliced(batches):
-            found = [shingles(t, size, hashes) for t in batch.column(2).to_pylist()]
-            # an id may have several texts, of which this class has one
-            own = [class_of(s) == c for s, c in zip(found, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["s_id", "shingles"]).filter(pa.array(own, pa.bool_()))
+            found = [shingles(t, size, hashes).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["s_id", "shingles"])
 
-    return named.mapInArrow(sets, "s_id long, shingles binary").dropDuplicates(["s_id"])
+    return class_texts(ids, classes, docs).mapInArrow(sets, "s_id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, threshold: int,
               coordinates: int) -> DataFrame:
     """The pairs (a, b) with enough collisions and 100 * intersection >= percent * union on the full sets."""
     def of(side: str) -> DataFrame:
-        names = {"id": "id", "sig": "sig", "n_shingles": "n", "doc_id": "doc", "class": "class"}
+        names = {"id": "id", "sig": "sig", "n_shingles": "n"}
         return classes.select(*[F.col(k).alias(f"{side}_{v}") for k, v in names.items()])
 
     left, right = of("a"), of("b")
@@ -186,29 +193,24 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, coordinates) for i in (0, 1))
-            yield batch.select([2, 3, 4, 5, 6, 7]).filter(pa.array((x == y).sum(1) >= threshold))
+            yield batch.select([2, 3]).filter(pa.array((x == y).sum(1) >= threshold))
 
-    candidates = cut(joined.select("a_sig", "b_sig", "a", "b", "a_doc", "b_doc", "a_class", "b_class").mapInArrow(
-        collide, "a long, b long, a_doc long, b_doc long, a_class binary, b_class binary"))
+    candidates = cut(joined.select("a_sig", "b_sig", "a", "b").mapInArrow(collide, "a long, b long"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last: tuple[tuple | None, np.ndarray] = (None, np.zeros(0))
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0))
         for batch in sliced(batches):
             keep = []
-            for a, text_a, class_a, text_b, class_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
-                if last[0] != (a, text_a):
-                    last = ((a, text_a), shingles(text_a, size, hashes))
-                x, y = last[1], shingles(text_b, size, hashes)
-                # an id may have several texts, of which its class has one
-                keep.append(class_of(x) == class_a and class_of(y) == class_b and similar(x, y, percent))
+            for a, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if last[0] != a:
+                    last = (a, shingles(text_a, size, hashes))
+                keep.append(similar(last[1], shingles(text_b, size, hashes), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    texts = need(docs, "doc_id", "text").where("doc_id is not null")
-    of_b = texts.select(F.col("doc_id").cast("long").alias("b_id"), F.col("text").alias("b_text"))
-    of_a = texts.select(F.col("doc_id").cast("long").alias("a_id"), F.col("text").alias("a_text"))
-    with_b = candidates.join(of_b, candidates["b_doc"] == of_b["b_id"])
-    return with_b.join(of_a, with_b["a_doc"] == of_a["a_id"]).select("a", "b", "a_text", "a_class", "b_text", "b_class").mapInArrow(
+    texts = cut(class_texts(candidates.select(F.explode(F.array("a", "b")).alias("id")), classes, docs))
+    with_b = candidates.join(texts.withColumnRenamed("text", "b_text"), F.col("b") == F.col("t_id")).drop("t_id")
+    return with_b.join(texts.withColumnRenamed("text", "a_text"), F.col("a") == F.col("t_id")).select("a", "b", "a_text", "b_text").mapInArrow(
         compare, "a long, b long")
 
 
@@ -338,8 +340,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     with_set = rows.where("class is not null and doc_id is not null")
     # numbered as they are written, so a number stays with its class
     classes = cut(with_set.groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).withColumn(
-        "id", F.monotonically_increasing_id()))
+        F.min(F.struct("doc_id", "h")).alias("of"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).select(
+        "class", "of.doc_id", "of.h", "sig", "n_shingles", F.monotonically_increasing_id().alias("id")))
     lists = cut(postings(classes, coordinates, threshold))
     ends = lists.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").withColumnRenamed("token", "t")
     hubs = lists.join(ends, lists["token"] == ends["t"]).select(
