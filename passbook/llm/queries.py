@@ -15,6 +15,7 @@ from . import (
     packing,
     qualityrules,
     rankquality,
+    spotsigs,
     tokens,
     toxicity,
     vectorjoin,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": rankquality.op9_quality_classifier,
     "op10_embedding_dedup": vectorjoin.op10_embedding_dedup,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_spot_signatures": spotsigs.op12_spot_signatures,
     "op13_vector_codes": codes.op13_vector_codes,
 }
 
