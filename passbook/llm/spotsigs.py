@@ -41,7 +41,7 @@ from .common import connected_components, cut, empty_like, mix64, need, shuffle_
 
 WORD = re.compile(r"\w+")
 #: Number of anchors, and content words of a chain.
-ANCHORS, CHAIN = 100, 3
+ANCHORS, CHAIN = 400, 2
 #: Characters of an anchor at most.
 LONGEST = 32
 #: Words that a worker counts before it passes them on, and words whose hash it remembers.

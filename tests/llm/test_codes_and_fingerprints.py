@@ -144,8 +144,8 @@ def brute_signatures(text, anchors):
     content = [i for i, w in enumerate(words) if w not in anchors]
     out = set()
     for i, w in enumerate(words):
-        chain = [words[j] for j in content if j > i][:3]
-        if w in anchors and len(chain) == 3:
+        chain = [words[j] for j in content if j > i][:2]
+        if w in anchors and len(chain) == 2:
             out.add((w, *chain))
     if not out:
         out = {tuple(words)} if words else {text} if text else set()
