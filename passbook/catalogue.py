@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.functions import display, lexicon, privacy, text
-from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence, scans
-from passbook.oracles import COPY_ID, COPY_MS, END, NOW, ORACLES, SCAN_RULES, START
-from passbook.plans import pipeline
+from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence, rollup, scans
+from passbook.oracles import COPY_ID, COPY_MS, END, NOW, OFF_END, OFF_START, ORACLES, SCAN_RULES, START
+from passbook.plans import ledger, pipeline
 from passbook.plans.query import TransactionQuery
-from passbook.session import checkpointed
+from passbook.session import checkpoint_dir, checkpointed
 from passbook.sources import adapters, rules, store
 from passbook.sources.rules import REGRESSION
 from passbook.streaming import ingest, payloads, telemetry
@@ -177,6 +178,77 @@ def tx_violations(spark, sf_dir):
     return tx.select("tx_id", store.violation().alias("violation"))
 
 
+# the stored ledger
+
+
+def _root(spark: SparkSession) -> str:
+    """A new folder of its own, shared by driver and executors."""
+    return f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+
+
+def _ingested(spark, sf_dir):
+    """A store that took the messages and then their copies, in two runs from one checkpoint."""
+    root, m = _root(spark), adapters.messages(spark, sf_dir)
+    s = store.Store(spark, f"{root}/store")
+    for part in (m, _copies(m)):
+        part.write.mode("append").parquet(f"{root}/in")
+        ingest.run_scan(spark, f"{root}/in", s, REGRESSION, f"{root}/checkpoint", corrections=_scan_rules(spark))
+    return s
+
+
+@query
+def ingest_store(spark, sf_dir):
+    """What ingestion in several batches has stored, exact and near repeats found by the key index and by days."""
+    return _ingested(spark, sf_dir).read("transactions").select(*SCANNED)
+
+
+@query
+def ingest_rows_are_sound(spark, sf_dir):
+    """Violations among the stored rows (none), and how many of them there are."""
+    rows = _ingested(spark, sf_dir).read("transactions")
+    return rows.groupBy(store.violation().alias("violation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def ingest_scan_state(spark, sf_dir):
+    """The state that the batches of a scan have left, from metrics observed while they ran."""
+    return ingest.scan_states(_ingested(spark, sf_dir)).select("status", "processed", "accepted", "failures", "cursor")
+
+
+def _ledger(spark, sf_dir):
+    """A ledger with the orders as transactions, added in two parts, those excluded that are no transactions, and a dashboard in its cache."""
+    own = ledger.Ledger(store.Store(spark, _root(spark), span=400))
+    own.store.write("user_corrections", adapters.corrections(spark, sf_dir).where("field_name = 'NOT_A_TRANSACTION'"))
+    tx = _pointing(spark, sf_dir).withColumns({"is_user_confirmed": F.lit(False), "updated_at": F.lit(0).cast("long")})
+    for k in range(2):
+        own.add(tx.where(F.col("tx_id") % 2 == k), f"part-{k}")
+    own.recompute(START, END, NOW)
+    return own
+
+
+_of(lambda own: rollup.facets(own.parts(OFF_START, OFF_END), "INR"), _ledger, "dash_rollup")
+_of(lambda own: rollup.scalars(own.parts(OFF_START, OFF_END), "INR"), _ledger, "dash_rollup_scalars")
+
+
+def _corrected(spark, sf_dir):
+    own = _ledger(spark, sf_dir)
+    own.correct(adapters.corrections(spark, sf_dir), NOW, "corrections")
+    return own
+
+
+_of(lambda own: rollup.facets(own.parts(OFF_START, OFF_END), "INR"), _corrected, "correction_flow")
+_of(lambda own: own.store.read("transactions").select(
+    "tx_id", "merchant_key", "merchant_display", "category_id", "direction", "duplicate_status", "possible_duplicate_of", "transfer_status",
+    "is_user_confirmed"), _corrected, "correction_flow_rows")
+
+
+@query
+def correction_flow_dashboard(spark, sf_dir):
+    """The cached dashboard after corrections: the old one is dropped, the new one computed from the roll-up."""
+    return _corrected(spark, sf_dir).dashboard(START, END, NOW).select(
+        "gross_minor", "credits_minor", "refunds_minor", "transaction_count", "net_minor", F.size("months").cast("long").alias("n_months"))
+
+
 # scalar functions
 
 
@@ -539,7 +611,8 @@ def telemetry_validate(spark, sf_dir):
 
 def _twice(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_id", "ts", "event_type", F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("app_version"))
-    return e.union(e.withColumn("ts", F.expr("ts + interval 1 hour")))
+    other = F.when(F.col("event_id") % 5 == 0, "again").otherwise(F.col("event_type"))  # some ids come back under another type
+    return e.union(e.withColumns({"ts": F.expr("ts + interval 1 hour"), "event_type": other}))
 
 
 _of(telemetry.daily_counts, _twice, "telemetry_dedupe_daily")
@@ -549,6 +622,14 @@ _of(lambda e: telemetry.added_counts(telemetry.daily_counts(e.where("event_id %
     _twice, "telemetry_added_counts")
 
 
+@query
+def telemetry_expiry(spark, sf_dir):
+    """Arrivals against what was stored 29 or 31 days before: the latter has expired."""
+    e = _events(spark, sf_dir).select("event_id", "ts", "event_type")
+    old = e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.expr("ts - interval 31 days")).otherwise(F.expr("ts - interval 29 days")).alias("ts")).where("event_id % 2 = 0")
+    return telemetry.accepted_and_duplicates(e, old, telemetry.TTL_DAYS)
+
+
 def _uuid(n):
     return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(n.cast("string"), 12, "0"))
 

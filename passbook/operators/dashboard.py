@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from passbook.operators import rollup
 from passbook.operators.classify import spending_role
 
 
@@ -121,15 +122,32 @@ CACHED = ("gross_minor long, credits_minor long, refunds_minor long, transaction
 def cache_row(tx: DataFrame, start: int, end: int, currency: str, now_ms: int) -> DataFrame:
     """One row (cache_key, payload, updated_at) with the dashboard of a period as JSON: scalars, categories, months, recent ids.
 
+    The rows are read once for all sums, which come from their daily roll-up, and once for the latest.
     All lists are bounded: by the categories, by the months of the period, by ten.
     """
-    ordered = lambda df, *c: df.agg(F.sort_array(F.collect_list(F.struct(*c))).alias("x"))
-    parts = scalars(tx, currency)
-    for name, df in (("categories", ordered(by_category(tx, currency), "category_id", "total_minor", "n")),
-                     ("months", ordered(by_month(tx, currency), "month", "total_minor", "n")),
-                     ("recent_ids", recent(tx).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("ts_ms")).alias("t"), "tx_id"))), lambda x: x["tx_id"]).alias("x")))):
-        parts = parts.join(df.withColumnRenamed("x", name))  # one row each
-    return parts.select(F.lit(f"{start}:{end}").alias("cache_key"), F.to_json(F.struct(*parts.columns)).alias("payload"), F.lit(now_ms).alias("updated_at"))
+    return rollup_row(rollup.daily(tx), recent(tx), start, end, currency, now_ms)
+
+
+def rollup_row(parts: DataFrame, latest: DataFrame, start: int, end: int, currency: str, now_ms: int) -> DataFrame:
+    """The same from the roll-up of the period and its latest rows (tx_id, ts_ms)."""
+    sets = parts.withColumn("month", F.date_format(F.timestamp_millis(F.col("day").cast("long") * rollup.DAY_MS), "yyyy-MM"))
+    spent = (F.col("role") == "GROSS_EXPENSE") & (F.col("currency") == currency)
+    # one row per category and month, then one row in all: every shuffle has sums alone
+    sums = sets.groupingSets([["category_id"], ["month"]], "category_id", "month").agg(
+        F.grouping_id().alias("g"), F.sum(F.when(spent, F.col("total_minor"))).alias("total_minor"), F.sum(F.when(spent, F.col("n"))).alias("spent"),
+        *[F.sum(F.when((F.col("role") == r) & (F.col("currency") == currency), F.col("total_minor"))).alias(r) for r in ("GROSS_EXPENSE", "CREDIT", "REFUND")],
+        F.sum("n").alias("n"))
+    by_month = F.col("g") == 2
+    listed = lambda g, c: F.sort_array(F.collect_list(F.when((F.col("g") == g) & (F.col("spent") > 0), F.struct(
+        F.col(c).alias(c), F.col("total_minor").alias("total_minor"), F.col("spent").alias("n")))))
+    total = lambda c: F.coalesce(F.sum(F.when(by_month, F.col(c))), F.lit(0))
+    whole = sums.agg(total("GROSS_EXPENSE").alias("gross_minor"), total("CREDIT").alias("credits_minor"), total("REFUND").alias("refunds_minor"),
+                     total("n").alias("transaction_count"), listed(1, "category_id").alias("categories"), listed(2, "month").alias("months"))
+    ids = latest.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("ts_ms")).alias("t"), "tx_id"))), lambda x: x["tx_id"]).alias("recent_ids"))
+    # one row each
+    row = whole.join(ids).withColumn("net_minor", F.greatest(F.col("gross_minor") - F.col("refunds_minor"), F.lit(0)))
+    payload = F.struct("gross_minor", "credits_minor", "refunds_minor", "transaction_count", "net_minor", "categories", "months", "recent_ids")
+    return row.select(F.lit(f"{start}:{end}").alias("cache_key"), F.to_json(payload).alias("payload"), F.lit(now_ms).cast("long").alias("updated_at"))
 
 
 def cached(cache: DataFrame, start: int, end: int) -> DataFrame:

@@ -15,10 +15,7 @@ from passbook.functions import text
 
 BUCKET_MS = 300_000
 WINDOW_MS = 1_800_000
-
-
-def bucket(ts: Column) -> Column:
-    return F.floor(ts / BUCKET_MS).cast("bigint") * BUCKET_MS
+DAY_MS = 86_400_000
 
 
 def fingerprint() -> Column:
@@ -50,7 +47,8 @@ def _compatible(a: Column, b: Column) -> Column:
 def near_matches(survivors: DataFrame, window_ms: int = WINDOW_MS, stored: DataFrame | None = None) -> DataFrame:
     """``(seq, near_seq, distance_ms)``: each survivor's nearest earlier row within the window; ties by seq.
 
-    All ``stored`` rows are earlier than the survivors, whatever their seq.
+    All ``stored`` rows are earlier than the survivors, whatever their seq; only those within the window of
+    some survivor can match, so a caller that knows the survivors' days gives the rows of those (see ``near_days``).
 
     Rows meet by money, direction, merchant and time bucket of the window's width (an
     earlier row is posted in three buckets), so one hot key is spread over its buckets.
@@ -65,9 +63,7 @@ def near_matches(survivors: DataFrame, window_ms: int = WINDOW_MS, stored: DataF
     base = base_of(survivors, False)
     earlier = base
     if stored is not None:
-        span = survivors.agg((F.min("ts_ms") - window_ms).alias("since"), (F.max("ts_ms") + window_ms).alias("until"))
-        near_in_time = stored.join(F.broadcast(span), F.col("ts_ms").between(F.col("since"), F.col("until"))).drop("since", "until")
-        earlier = base.union(base_of(near_in_time, True))
+        earlier = base.union(base_of(stored, True))
     left = base.select(*[F.col(c).alias("a_" + c) for c in base.columns])
     right = earlier.select(*[F.col(c).alias("b_" + c) for c in base.columns if c != "slot"], F.explode(
         F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("b_slot"))
@@ -80,6 +76,13 @@ def near_matches(survivors: DataFrame, window_ms: int = WINDOW_MS, stored: DataF
         "seq", F.col("x.s").alias("near_seq"), F.col("x.d").alias("distance_ms"))
 
 
+def near_days(survivors: DataFrame, window_ms: int = WINDOW_MS) -> list[int]:
+    """The days on which a stored row can be near a survivor: one row a day reaches the driver."""
+    day = lambda c: F.floor(c / F.lit(DAY_MS)).cast("int")
+    ends = survivors.select(F.explode(F.array(day(F.col("ts_ms") - window_ms), day(F.col("ts_ms") + window_ms))).alias("day"))
+    return sorted(r["day"] for r in ends.where("day is not null").distinct().collect())
+
+
 def status_of(near: Column, override: Column) -> Column:
     """duplicate_status of a new row: NONE without a near match or if the user says so, else the user's status or SUSPECTED."""
     return F.when(near.isNull() | F.coalesce(override == "NONE", F.lit(False)), "NONE").otherwise(F.coalesce(override, F.lit("SUSPECTED")))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -170,10 +170,15 @@ def source_hash() -> Column:
     return text.sha256(F.col("source_message_id"), F.col("sender"), F.col("received_ms"))
 
 
-def candidates(messages: DataFrame, rules: Rules) -> DataFrame:
-    """Filter, then parse: one transaction candidate per message that succeeds."""
-    accepted = filtered(messages, rules).where("reject_reason is null").drop("reject_reason")
-    return outcomes(accepted, rules).where("parse_status = 'SUCCESS'").select(
-        "source_message_id", source_hash().alias("source_hash"), "institution", "direction", "amount_minor", "currency",
+def candidates(messages: DataFrame, rules: Rules, accepted: Observation | None = None) -> DataFrame:
+    """Filter, then parse: one transaction candidate per message that succeeds.
+
+    ``accepted`` observes, as the plan runs, how many messages the filter accepts.
+    """
+    judged = filtered(messages, rules)
+    if accepted is not None:
+        judged = judged.observe(accepted, F.count_if(F.col("reject_reason").isNull()).alias("accepted"))
+    return outcomes(judged.where("reject_reason is null").drop("reject_reason"), rules).where("parse_status = 'SUCCESS'").select(
+        "source_message_id", source_hash().alias("source_hash"), "received_ms", "institution", "direction", "amount_minor", "currency",
         "merchant", "reference_hash", F.lit(None).cast("string").alias("masked_account"), "ts_ms", "confidence",
         text.payment_method(F.col("body")).alias("payment_method"))

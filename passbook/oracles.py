@@ -10,6 +10,8 @@ from passbook.sources.adapters import MERCHANTS, METHODS
 from passbook.sources.rules import REGRESSION
 
 START, END, NOW = 800_000_000_000, 900_000_000_000, 1_000_000_000_000
+#: A period that begins and ends within a day.
+OFF_START, OFF_END = 790_000_000_123, 899_000_456_789
 #: The copies that the scan's queries add to the messages.
 COPY_ID, COPY_MS = 10_000_000, 600_000
 #: Future rules of the scan's queries: (field, value, merchant key, updated at).
@@ -343,6 +345,12 @@ bodies AS (
 )"""
 
 W = "WITH "
+#: Every event twice, an hour apart; some ids come back under another type.
+TWICE = """WITH e AS (SELECT event_id, ts, event_type FROM events
+        UNION ALL SELECT event_id, ts + INTERVAL 1 HOUR, CASE WHEN event_id % 5 = 0 THEN 'again' ELSE event_type END FROM events)"""
+ACCEPTED = """SELECT e.event_type, e.n AS received, coalesce(f.n, 0) AS accepted, e.n - coalesce(f.n, 0) AS duplicates
+      FROM (SELECT event_type, count(*) AS n FROM e GROUP BY 1) e LEFT JOIN (SELECT event_type, count(*) AS n FROM first GROUP BY 1) f USING (event_type)"""
+
 ORACLES: dict[str, str] = {
     "dash_scalars": f"""{W}{PERIOD}, s AS (SELECT
       CAST(coalesce(sum(amount_minor) FILTER (role = 'GROSS_EXPENSE' AND currency = 'INR'), 0) AS BIGINT) AS gross_minor,
@@ -519,11 +527,15 @@ ORACLES: dict[str, str] = {
     "telemetry_validate": f"""WITH t AS (SELECT event_id, {_list([*lexicon.TELEMETRY_EVENT_TYPES, "other"])}[CAST(event_id % 8 + 1 AS INT)] AS t, {_list([*lexicon.DURATION_BUCKETS, "LONG"])}[CAST(event_id % 8 + 1 AS INT)] AS d FROM events)
       SELECT event_id AS n, CASE WHEN event_id % 10 = 3 THEN 'INVALID_EVENT_ID' WHEN t = 'other' THEN 'INVALID_EVENT_TYPE' WHEN event_id % 3 = 0 AND d = 'LONG' THEN 'INVALID_DURATION' END AS error_code FROM t""",
     "telemetry_dedupe_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, 'v' || (user_id % 3) AS app_version, count(*) AS n FROM events GROUP BY ALL",
-    "telemetry_accepted": """WITH e AS (SELECT event_id, event_type FROM events UNION ALL SELECT event_id, event_type FROM events)
-      SELECT event_type, count(*) AS received, count(DISTINCT event_id) AS accepted, count(*) - count(DISTINCT event_id) AS duplicates FROM e GROUP BY 1""",
-    "telemetry_accepted_stored": """WITH e AS (SELECT event_id, event_type FROM events UNION ALL SELECT event_id, event_type FROM events),
-      c AS (SELECT event_type, count(*) AS received, CAST(count(DISTINCT event_id) FILTER (event_id % 4 <> 0) AS BIGINT) AS accepted FROM e GROUP BY 1)
-      SELECT *, received - accepted AS duplicates FROM c""",
+    "telemetry_accepted": f"""{TWICE}, first AS (SELECT event_type FROM e QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1)
+      {ACCEPTED}""",
+    "telemetry_accepted_stored": f"""{TWICE}, first AS (SELECT event_type FROM (
+        SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1) WHERE event_id NOT IN (SELECT event_id FROM e WHERE event_id % 4 = 0))
+      {ACCEPTED}""",
+    "telemetry_expiry": f"""WITH e AS (SELECT event_id, ts, event_type FROM events),
+      old AS (SELECT event_id, ts - CASE WHEN event_id % 3 = 0 THEN INTERVAL 31 DAY ELSE INTERVAL 29 DAY END AS ts FROM events WHERE event_id % 2 = 0),
+      first AS (SELECT event_type FROM e WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.event_id = e.event_id AND old.ts + INTERVAL 30 DAY > e.ts))
+      {ACCEPTED}""",
     "telemetry_added_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, 'v' || (user_id % 3) AS app_version, count(*) AS n FROM events GROUP BY ALL",
     "telemetry_payloads": f"{W}{REQUESTS} SELECT n, code, field, field_code FROM judged",
     "telemetry_payload_events": f"""{W}{REQUESTS} SELECT n, json_extract_string(e, '$.eventId') AS event_id, json_extract_string(e, '$.eventType') AS event_type FROM (
@@ -556,3 +568,39 @@ ORACLES: dict[str, str] = {
     "cached_recent_ids": f"""{W}{TX} SELECT pos, tx_id, amount_minor FROM (SELECT unnest([5, 3, 999999999, 8, 1]) AS tx_id, unnest([0, 1, 2, 3, 4]) AS pos) JOIN tx USING (tx_id)""",
     "duplicate_pointer_join": f"{W}{TXE} SELECT near.seq, near_seq, b.ts_ms AS near_ts_ms FROM near JOIN kept b ON b.seq = near_seq",
 }
+
+_FACETS = """
+      SELECT 'total' AS facet, NULL AS member, CAST(sum(amount_minor) AS BIGINT) AS total_minor, count(*) AS n FROM spent
+      UNION ALL SELECT 'category', category_id, CAST(sum(amount_minor) AS BIGINT), count(*) FROM spent GROUP BY 2
+      UNION ALL SELECT 'month', month, CAST(sum(amount_minor) AS BIGINT), count(*) FROM spent GROUP BY 2
+      UNION ALL SELECT 'merchant', merchant_key, CAST(sum(amount_minor) AS BIGINT), count(*) FROM spent WHERE merchant_key IS NOT NULL GROUP BY 2"""
+
+
+def _off(sql: str) -> str:
+    """The same over the period that begins and ends within a day."""
+    return sql.replace(f"BETWEEN {START} AND {END}", f"BETWEEN {OFF_START} AND {OFF_END}")
+
+
+#: The corrected ledger worked out from scratch, with its roles.
+_FIXED = f"""WITH fixed AS ({ORACLES["corrections_materialise"]}), {TX}, {CORR},
+p AS (
+  SELECT f.*, t.ts_ms, t.amount_minor, t.currency, {_role("f.direction", "f.transfer_status",
+    "(f.duplicate_status = 'CONFIRMED' OR f.tx_id IN (SELECT tx_id FROM corr WHERE field_name = 'NOT_A_TRANSACTION'))")} AS role
+  FROM fixed f JOIN tx t USING (tx_id) WHERE t.ts_ms BETWEEN {START} AND {END}
+), spent AS (SELECT *, strftime(make_timestamp(ts_ms * 1000), '%Y-%m') AS month FROM p WHERE role = 'GROSS_EXPENSE' AND currency = 'INR')"""
+_SUM = "CAST(coalesce(sum(amount_minor) FILTER (role = '{0}' AND currency = 'INR'), 0) AS BIGINT)"
+
+ORACLES |= {
+    "dash_rollup": _off(ORACLES["dash_grouping_sets"]),
+    "dash_rollup_scalars": _off(ORACLES["dash_scalars"]),
+    "correction_flow": _off(_FIXED) + _FACETS,
+    "correction_flow_rows": ORACLES["corrections_materialise"],
+    "correction_flow_dashboard": f"""{_FIXED}, s AS (SELECT {_SUM.format("GROSS_EXPENSE")} AS gross_minor, {_SUM.format("CREDIT")} AS credits_minor,
+      {_SUM.format("REFUND")} AS refunds_minor, count(*) AS transaction_count FROM p)
+      SELECT *, greatest(gross_minor - refunds_minor, 0) AS net_minor, (SELECT count(DISTINCT month) FROM spent) AS n_months FROM s""",
+    "ingest_store": ORACLES["scan_two_batches"],
+    "ingest_rows_are_sound": f"SELECT CAST(NULL AS VARCHAR) AS violation, count(*) AS n FROM ({ORACLES['scan_two_batches']})",
+    "ingest_scan_state": f"""{W}{FILTER} SELECT 'COMPLETED' AS status, count(*) + count(*) FILTER (source_message_id % 3 = 0) AS processed,
+      count(*) FILTER (reject_reason IS NULL) + count(*) FILTER (reject_reason IS NULL AND source_message_id % 3 = 0) AS accepted, 0 AS failures,
+      max(CASE WHEN source_message_id % 3 = 0 THEN source_message_id + {COPY_ID} ELSE source_message_id END) AS cursor FROM filtered""",
+}

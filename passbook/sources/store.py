@@ -1,97 +1,230 @@
-"""Tables as versioned Parquet folders: every change writes a new version, then points to it.
+"""Tables as Parquet folders under one small manifest.
 
-The pointer is itself a one-row table, so a store works on any file system Spark reads;
-a reader keeps the version it began with, and a failed write leaves the old one in place.
+Every change writes new folders, then a manifest that names the folder of each table.  A
+manifest is created, never overwritten, so of two writers one fails or starts from the other's: a change of
+several tables is seen at once or not at all, and a reader keeps the folders it began with.
+Tables that are ``DAYED`` lie in folders by day, so what is read of them are the days asked for.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.functions import lexicon
-
+from passbook.session import checkpointed
 
 ANALYSED = ("transactions", "user_corrections", "subscriptions", "scan_state", "dashboard_cache")
+DAY_MS = 86_400_000
+#: Tables in folders by day, and the time in milliseconds that tells it.
+DAYED = {"transactions": "ts_ms", "telemetry_events": "received_ms", "support_submissions": "received_ms"}
 
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+def day_of(ms: str | F.Column, span: int = 1) -> F.Column:
+    """The day of a time, or the first of the ``span`` days it lies in."""
+    return (F.floor((F.col(ms) if isinstance(ms, str) else ms) / F.lit(DAY_MS * span)) * span).cast("int")
+
+
+#: Days that a support submission is kept.
+SUPPORT_DAYS = 14
+
+
+class Conflict(RuntimeError):
+    """Another writer changed a table that this change is based on."""
+
 
-    def version(self, table: str) -> int | None:
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_versions")
-        fs = fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
+class Store:
+    """``span``: days in a folder of the tables by day, the same for the life of a store; one suits streams, more suits long thin histories."""
+
+    def __init__(self, spark: SparkSession, root: str, span: int = 1):
+        self.spark, self.root, self.span = spark, root.rstrip("/"), span
+
+    def _path(self, *parts: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _names(self, *parts: str) -> list[str]:
+        """The names of what a folder holds; none if it isn't there."""
+        fs, path = self._path(*parts)
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def manifest(self) -> tuple[int, dict[str, str]]:
+        """The newest number and the folder of every table."""
+        numbers = [int(n) for n in self._names("_manifest") if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        fs, path = self._path("_manifest", f"{max(numbers):010d}")
+        file = fs.open(path)
+        try:
+            return max(numbers), json.loads(file.readUTF())
+        finally:
+            file.close()
+
+    def commit(self, changed: dict[str, str], based_on: dict[str, str]) -> None:
+        """Name new folders, unless one of the changed tables has another folder by now than ``based_on`` says."""
+        while True:
+            number, current = self.manifest()
+            if any(current.get(t) != based_on.get(t) for t in changed):
+                raise Conflict(", ".join(sorted(changed)))
+            fs, path = self._path("_manifest", f"{number + 1:010d}")
+            fs.mkdirs(path.getParent())
+            try:
+                file = fs.create(path, False)  # fails if another writer was first
+            except Exception:
+                if not fs.exists(path):
+                    raise
+                continue
+            file.writeUTF(json.dumps(current | changed))
+            file.close()
+            return
+
+    def read(self, table: str, without: str | None = None, folders: dict[str, str] | None = None) -> DataFrame | None:
+        """The newest rows (or those of ``folders``, a manifest's), but for the part named ``without``."""
+        folder = (self.manifest()[1] if folders is None else folders).get(table)
+        if folder is None:
             return None
-        return self.spark.read.schema("version long").parquet(f"{self.root}/{table}/_versions").agg(F.max("version")).first()[0]
+        rows = self.spark.read.parquet(f"{self.root}/{table}/{folder}")
+        if without is not None:
+            rows = rows.where(F.col("_part").cast("string") != without)
+        return rows.drop("_part", "day") if table in DAYED else rows.drop("_part")
 
-    def read(self, table: str, without: str | None = None) -> DataFrame | None:
-        """The newest version, but for the part named ``without``."""
-        v = self.version(table)
-        if v is None:
+    def read_days(self, table: str, days: Iterable[int], without: str | None = None, keep_layout: bool = False) -> DataFrame | None:
+        """The rows in the folders of the given days; nothing else is listed or opened."""
+        folder = self.manifest()[1].get(table)
+        if folder is None:
+            return None
+        base = f"{self.root}/{table}/{folder}"
+        fs, _ = self._path()
+        found = [f"{base}/day={d}" for d in self.folder_days(days) if fs.exists(self._path(table, folder, f"day={d}")[1])]
+        if not found:
             return None
-        rows = self.spark.read.parquet(f"{self.root}/{table}/v{v}")
+        rows = self.spark.read.option("basePath", base).parquet(*found)
         if without is not None:
             rows = rows.where(F.col("_part").cast("string") != without)
-        return rows.drop("_part")
+        return rows if keep_layout else rows.drop("_part", "day")
+
+    def folder_days(self, days: Iterable[int]) -> list[int]:
+        return sorted({d // self.span * self.span for d in days})
+
+    def _save(self, table: str, rows: DataFrame, folder: str, part: str) -> None:
+        if table in DAYED and DAYED[table] in rows.columns:
+            # a part that is written again replaces itself, day by day; a day is one file, or several if it is large
+            rows.withColumns({"day": day_of(DAYED[table], self.span), "_part": F.lit(part)}).hint("rebalance", "day").write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("day", "_part").parquet(f"{self.root}/{table}/{folder}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{folder}/_part={part}")
+
+    def replace(self, tables: dict[str, DataFrame], based_on: dict[str, str] | None = None) -> None:
+        """Replace whole tables, all in one commit."""
+        based_on = self.manifest()[1] if based_on is None else based_on
+        new = {t: uuid.uuid4().hex for t in tables}
+        for t, rows in tables.items():
+            self._save(t, rows, new[t], "whole")
+            if t in DAYED:  # an empty table has no day, but columns
+                self.spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{self.root}/{t}/{new[t]}/{_day_zero(t, rows)}_part=none")
+        self.commit(new, based_on)
 
     def write(self, table: str, rows: DataFrame) -> None:
-        v = (self.version(table) or 0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{v}/_part=whole")
-        self.spark.range(1).select(F.lit(v).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/{table}/_versions")
+        self.replace({table: rows})
 
     def upsert(self, table: str, incoming: DataFrame, key: str, kept: tuple[str, ...] = ()) -> None:
         """Rows by ``key``: incoming values win but for the ``kept`` columns, which a stored row keeps."""
-        stored = self.read(table)
-        self.write(table, incoming if stored is None else upserted(stored, incoming, key, kept))
+        self.upsert_all({table: (incoming, key, kept)})
+
+    def upsert_all(self, changes: dict[str, tuple[DataFrame, str, tuple[str, ...]]]) -> None:
+        """Upserts of several tables, all in one commit: (incoming, key, kept) by table."""
+        _, folders = self.manifest()
+        new = {}
+        for t, (incoming, key, kept) in changes.items():
+            stored = self.read(t, folders=folders)
+            new[t] = incoming if stored is None else upserted(stored, incoming, key, kept)
+        self.replace(new, folders)
 
     def delete(self, table: str, keys: DataFrame, key: str) -> None:
-        stored = self.read(table)
+        _, folders = self.manifest()
+        stored = self.read(table, folders=folders)
         if stored is not None:
-            self.write(table, stored.join(keys.select(key).distinct(), key, "left_anti"))
+            self.replace({table: stored.join(keys.select(key).distinct(), key, "left_anti")}, folders)
 
     def append(self, table: str, rows: DataFrame, part: str) -> None:
-        """Add rows in a part of their own, in the table's newest version; a part that is written again replaces itself.
+        """Add rows in a part of their own, in the table's newest folder; a part that is written again replaces itself.
 
         What is stored already isn't rewritten, so a stream of small batches costs what the batches cost.
         """
-        v = self.version(table)
-        if v is None:
-            self.write(table, rows.limit(0))
-            v = self.version(table)
-        # replaced as a whole, so a batch that failed half-way and is repeated leaves no row twice
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{v}/_part={part}")
+        folder = self.manifest()[1].get(table)
+        if folder is None:
+            try:
+                self.write(table, rows.limit(0))
+            except Conflict:
+                pass  # another writer made it
+            folder = self.manifest()[1][table]
+        self._save(table, rows, folder, part)
+
+    def has_part(self, table: str, part: str) -> bool:
+        """Whether a part of a table that isn't ``DAYED`` has been written to its end."""
+        folder = self.manifest()[1].get(table)
+        return folder is not None and "_SUCCESS" in self._names(table, folder, f"_part={part}")
+
+    def drop_days(self, table: str, before: int) -> None:
+        """Delete the days of a ``DAYED`` table before the given one, and nothing else."""
+        folder = self.manifest()[1].get(table)
+        for name in self._names(table, folder) if folder is not None else ():
+            if name.startswith("day=") and name[4:].lstrip("-").isdigit() and 0 < int(name[4:]) + self.span <= before and name != "day=0":  # day 0 holds the columns of an empty table
+                fs, path = self._path(table, folder, name)
+                fs.delete(path, True)
+
+    def change_days(self, table: str, days: Iterable[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrite the rows of the given days by ``change``, which keeps their times; other days aren't touched."""
+        rows = self.read_days(table, days, keep_layout=True)
+        if rows is not None:
+            folder = self.manifest()[1][table]
+            checkpointed(change(rows)).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "_part").parquet(
+                f"{self.root}/{table}/{folder}")
 
     def wipe(self, *tables: str) -> None:
-        for t in tables:
-            stored = self.read(t)
-            if stored is not None:
-                self.write(t, stored.limit(0))
+        """Empty tables, all in one commit."""
+        _, folders = self.manifest()
+        stored = {t: rows for t in tables if (rows := self.read(t, folders=folders)) is not None}
+        if stored:
+            self.replace({t: rows.limit(0) for t, rows in stored.items()}, folders)
 
     def wipe_analysed(self) -> None:
         """Empty the tables that analysis fills; categories and the metadata of rules stay."""
         self.wipe(*ANALYSED)
 
     def vacuum(self, table: str, keep: int = 2) -> None:
-        """Delete all but the newest ``keep`` versions; readers of older ones fail from then on."""
-        newest = self.version(table) or 0
-        for v in range(max(1, newest - keep - 50), newest - keep + 1):
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v{v}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete all folders of a table but those of the newest ``keep`` manifests; readers of older ones fail from then on."""
+        numbers = sorted(int(n) for n in self._names("_manifest") if n.isdigit())[-keep:]
+        kept = set()
+        for n in numbers:
+            fs, path = self._path("_manifest", f"{n:010d}")
+            file = fs.open(path)
+            kept.add(json.loads(file.readUTF()).get(table))
+            file.close()
+        for name in self._names(table):
+            if name not in kept:
+                fs, path = self._path(table, name)
+                fs.delete(path, True)
 
     def delete_transactions(self, ids: DataFrame) -> None:
-        """Delete transactions (tx_id) and what hangs on them: see ``without_transactions``."""
-        tables = {t: df for t in ("transactions", "user_corrections", "subscriptions") if (df := self.read(t)) is not None}
-        for t, rows in without_transactions(tables, ids).items():
-            self.write(t, rows)
+        """Delete transactions (tx_id) and what hangs on them, in one commit: see ``without_transactions``."""
+        _, folders = self.manifest()
+        tables = {t: df for t in ("transactions", "user_corrections", "subscriptions") if (df := self.read(t, folders=folders)) is not None}
+        self.replace(without_transactions(tables, ids), folders)
 
     def save_subscriptions(self, merged: DataFrame) -> None:
         """Replace stored subscriptions, and the evidence in their rows, by those of the same id."""
         self.upsert("subscriptions", merged, "subscription_id", kept=("subscription_id", "created_at"))
 
 
+def _day_zero(table: str, rows: DataFrame) -> str:
+    return "day=0/" if DAYED[table] in rows.columns else ""
+
+
 def upserted(stored: DataFrame, incoming: DataFrame, key: str, kept: tuple[str, ...] = ()) -> DataFrame:
     """The merge of two keyed tables of equal columns in one full outer join."""
     s = stored.select(*[F.col(c).alias("s_" + c) for c in stored.columns])
@@ -129,9 +262,10 @@ def deletable_categories(categories: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def transaction_rows(scanned: DataFrame, parser_version: str, now_ms: int) -> DataFrame:
-    """Rows of the transactions table from those of a scan: confirmed by no user, created and updated now."""
+    """Rows of the transactions table from those of a scan: confirmed by no user, created and updated now; their id is that of the message."""
     return scanned.withColumns({
-        "parser_version": F.lit(parser_version), "is_user_confirmed": F.lit(False), "created_at": F.lit(now_ms), "updated_at": F.lit(now_ms)})
+        "tx_id": F.col("seq"), "parser_version": F.lit(parser_version), "is_user_confirmed": F.lit(False), "created_at": F.lit(now_ms).cast("long"),
+        "updated_at": F.lit(now_ms).cast("long")})
 
 
 def violation() -> F.Column:
@@ -180,8 +314,8 @@ def support_outcome(submissions: DataFrame, stored: DataFrame | None = None) ->
                     ((F.col("seq") == F.col("s")) & F.col("old").isNull()).alias("stored"))
 
 
-def support_rows(submissions: DataFrame, outcome: DataFrame, now_ms: int, days: int = 14) -> DataFrame:
+def support_rows(submissions: DataFrame, outcome: DataFrame, now_ms: int, days: int = SUPPORT_DAYS) -> DataFrame:
     """The submissions that ``support_outcome`` says to store, with their hash and the time they are to be deleted."""
     new = outcome.where("stored").select(F.col("seq").alias("o_seq"))
     j = submissions.join(new, submissions["seq"] == new["o_seq"], "left_semi")
-    return j.select(*submissions.columns, F.sha2("payload", 256).alias("payload_hash"), F.lit(now_ms + days * 86_400_000).alias("delete_at_ms"))
+    return j.select(*submissions.columns, F.sha2("payload", 256).alias("payload_hash"), F.lit(now_ms + days * DAY_MS).cast("long").alias("delete_at_ms"))

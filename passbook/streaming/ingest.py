@@ -1,44 +1,160 @@
-"""Resumable ingestion: files of messages, bounded micro-batches, idempotent merge."""
+"""Resumable ingestion: files of messages, bounded micro-batches, idempotent merge, state of the scan, rows that fail."""
 
 from __future__ import annotations
 
 import hashlib
+import time
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from passbook.plans.pipeline import scan
+from passbook.operators import messages
+from passbook.plans.pipeline import Earlier, scan
 from passbook.session import checkpointed
+from passbook.sources.keyindex import KeyIndex
 from passbook.sources.rules import Rules
-from passbook.sources.store import Store
+from passbook.sources.store import Store, transaction_rows
 
 SCHEMA = "source_message_id long, sender string, received_ms long, body string"
+STATE = ("scan_id string, batch long, status string, processed long, accepted long, failures long, cursor long, parser_version string, at_ms long")
+#: Messages of one batch that may fail by themselves; more say that the rules are at fault.
+MAX_FAILURES = 100
+
+
+def failing(batch: DataFrame, run: Callable[[DataFrame], object], limit: int = MAX_FAILURES) -> list[int]:
+    """The ids of the messages of a batch on which ``run`` raises, found by halving the range of their ids' hashes.
+
+    Each failing message costs the logarithm of the batch in runs.  More than ``limit`` of them raise the last
+    error: that isn't a fault of single messages, and nothing is left out for it.
+    """
+    found: list[int] = []
+    keyed = batch.withColumn("_hash", F.xxhash64("source_message_id"))
+
+    def look(low: int, high: int) -> None:
+        part = keyed.where(F.col("_hash").between(low, high)).drop("_hash")
+        try:
+            run(part)
+            return
+        except AnalysisException:
+            raise  # the plan itself
+        except (PySparkException, Py4JError):
+            ids = part.select("source_message_id").distinct().limit(2).collect()
+            if len(ids) == 1:
+                found.append(ids[0][0])
+                if len(found) > limit:
+                    raise
+                return
+            if low == high or not ids:
+                raise
+        middle = (low + high) >> 1
+        look(low, middle)
+        look(middle + 1, high)
+
+    look(-(1 << 63), (1 << 63) - 1)
+    return found
+
+
+def parse_all(batch: DataFrame, rules: Rules) -> None:
+    messages.candidates(messages.mapped(batch), rules).write.format("noop").mode("overwrite").save()
 
 
 def ingest(spark: SparkSession, folder: str, store: Store, rules: Rules, checkpoint: str, files_per_batch: int | None = None,
-           bytes_per_batch: int = 256 << 20, corrections: DataFrame | None = None) -> StreamingQuery:
+           bytes_per_batch: int = 256 << 20, corrections: DataFrame | None = None, clock: Callable[[], int] | None = None,
+           parse: Callable[[DataFrame, Rules], None] = parse_all) -> StreamingQuery:
     """Read what is new in ``folder``, stop when done; bounded batches by bytes, or by files if given.  ``stop()`` of the query cancels it
 
     after its batch, and the next call goes on from there.  A batch that is repeated after a failure replaces its own rows,
-    and stored source hashes and fingerprints are left out.  Each batch adds a part to the table of transactions and
-    rewrites nothing that is stored.  Bodies are never written.
+    and stored source hashes and fingerprints are left out (see ``KeyIndex``).  Each batch adds a part to the tables of
+    transactions, keys, scan state and dead letters and rewrites nothing that is stored.  Bodies are never written.
+
+    What a batch processed and accepted is observed while its rows are computed.  If the batch fails, the
+    messages that fail by themselves are found and go to ``dead_letters`` as RULE_RUNTIME_ERROR; the others go on.
     """
+    now = clock or (lambda: int(time.time() * 1000))
+    index = KeyIndex(store)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        part = f"{run}-{number}"
-        stored = store.read("transactions", without=part)
+    def rows_of(batch: DataFrame, part: str) -> tuple[DataFrame, dict]:
+        read, accepted = Observation(), Observation()
+        seen = batch.observe(read, F.count(F.lit(1)).alias("processed"), F.max("source_message_id").alias("cursor"))
+        earlier = Earlier(lambda tx: index.unstored(tx, part), lambda days: store.read_days("transactions", days, without=part))
+        rows = scan(seen, rules, corrections, earlier, accepted)
         # the rows are computed before anything is replaced
-        store.append("transactions", checkpointed(scan(batch, rules, corrections, stored=stored)), part)
+        return checkpointed(transaction_rows(rows, rules.parser_version, now())), read.get | accepted.get
+
+    def merge(batch: DataFrame, number: int) -> None:
+        part, failed = f"{run}-{number}", []
+        try:
+            rows, counts = rows_of(batch, part)
+        except AnalysisException:
+            raise
+        except (PySparkException, Py4JError):
+            failed = failing(batch, lambda b: parse(b, rules))
+            if not failed:
+                raise  # no message fails by itself
+            bad = batch.where(F.col("source_message_id").isin(failed))
+            store.append("dead_letters", bad.select(
+                "source_message_id", "received_ms", F.lit("RULE_RUNTIME_ERROR").alias("reason"), F.lit(number).cast("long").alias("batch")).distinct(), part)
+            good = batch.where(~F.coalesce(F.col("source_message_id").isin(failed), F.lit(False)))
+            rows, counts = rows_of(good, part)
+        store.append("transactions", rows, part)
+        index.add(rows, part)
+        # last, so a state tells of what is stored
+        state = (run, number, "RUNNING", (counts["processed"] or 0) + len(failed), counts["accepted"] or 0, len(failed),
+                 max([c for c in (counts["cursor"], *failed) if c is not None], default=None), rules.parser_version, now())
+        store.append("scan_batches", spark.createDataFrame([state], STATE), part)
 
     # batches are numbered within a checkpoint, so its name tells runs of different ones apart
-    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    run = run_of(checkpoint)
     source = spark.readStream.schema(SCHEMA)
     source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source.option("maxBytesPerTrigger", bytes_per_batch)
     return source.parquet(folder).writeStream.queryName(f"ingest-{run}").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
+def run_of(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+
+def run_scan(spark: SparkSession, folder: str, store: Store, rules: Rules, checkpoint: str, cancelled: Callable[[], bool] = lambda: False,
+             clock: Callable[[], int] | None = None, **how) -> str:
+    """Ingest until the source is read, the scan is cancelled or it fails; stores and returns the status it ended with.
+
+    A cancelled or interrupted scan goes on from its checkpoint with the next call; until then ``scans.resumable`` finds it.
+    """
+    now = clock or (lambda: int(time.time() * 1000))
+    query = ingest(spark, folder, store, rules, checkpoint, clock=clock, **how)
+    status = "COMPLETED"
+    try:
+        while not query.awaitTermination(0.2):
+            if cancelled():
+                query.stop()
+                status = "CANCELLED"
+        if cancelled():
+            status = "CANCELLED"
+    except PySparkException:
+        status = "INTERRUPTED"
+    end = (run_of(checkpoint), None, status, 0, 0, 0, None, rules.parser_version, now())
+    store.append("scan_batches", spark.createDataFrame([end], STATE), f"{run_of(checkpoint)}-end")
+    return status
+
+
+def scan_states(store: Store) -> DataFrame | None:
+    """One row per scan from its batches: status and times of the newest, sums of the counts, the cursor."""
+    rows = store.read("scan_batches")
+    if rows is None:
+        return None
+    ended = F.col("batch").isNull()
+    return rows.groupBy("scan_id").agg(
+        F.max_by("status", F.struct("at_ms", ended)).alias("status"), F.sum("processed").alias("processed"), F.sum("accepted").alias("accepted"),
+        F.sum("failures").alias("failures"), F.max("cursor").alias("cursor"), F.min("at_ms").alias("started_at"), F.max("at_ms").alias("updated_at"),
+        F.max_by("parser_version", "at_ms").alias("parser_version")).withColumn(
+        "completed_at", F.when(~F.col("status").isin("PENDING", "RUNNING"), F.col("updated_at")))
+
+
 #: What a run does after each way a scan can end.
 AFTER = {
     "COMPLETED": "SUCCESS", "CANCELLED": "SUCCESS", "PERMISSION_REVOKED": "FAILURE", "PROVIDER_ERROR": "RETRY", "COROUTINE_CANCELLED": "RETRY",
