@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.functions import display, lexicon, privacy, text
-from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence, rollup, scans
-from passbook.oracles import COPY_ID, COPY_MS, END, NOW, OFF_END, OFF_START, ORACLES, SCAN_RULES, START
+from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence, rollup, scans, search
+from passbook.oracles import COPY_ID, COPY_MS, END, NEEDLES, NOW, OFF_END, OFF_START, ORACLES, SCAN_RULES, START
 from passbook.plans import ledger, pipeline
 from passbook.plans.query import TransactionQuery
 from passbook.session import checkpoint_dir, checkpointed
@@ -79,6 +79,18 @@ def tx_search_like(spark, sf_dir):
     return TransactionQuery(search="#0000_01").run(adapters.tx_orders(spark, sf_dir)).select("tx_id", "merchant_display")
 
 
+@query
+def tx_search_index(spark, sf_dir):
+    """Several needles, wildcards and short ones among them, by the trigram index of the merchants."""
+    tx = adapters.tx_orders(spark, sf_dir)
+    names = checkpointed(search.dictionary(tx))
+    postings, found = checkpointed(search.trigrams(names)), None
+    for needle in NEEDLES:
+        own = search.search(needle, tx, names, postings).select(F.lit(needle).alias("needle"), "tx_id")
+        found = own if found is None else found.union(own)
+    return found
+
+
 @query
 def tx_merchant_drill(spark, sf_dir):
     return TransactionQuery(start_ms=START, merchant_key="customer#000000010").run(adapters.tx_orders(spark, sf_dir)).select(

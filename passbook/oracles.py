@@ -12,6 +12,8 @@ from passbook.sources.rules import REGRESSION
 START, END, NOW = 800_000_000_000, 900_000_000_000, 1_000_000_000_000
 #: A period that begins and ends within a day.
 OFF_START, OFF_END = 790_000_000_123, 899_000_456_789
+#: What is searched for by the trigram index.
+NEEDLES = ("#0000_01", "CUSTOMER#00000001", "er#0%17", "77", "no such", "R#%")
 #: The copies that the scan's queries add to the messages.
 COPY_ID, COPY_MS = 10_000_000, 600_000
 #: Future rules of the scan's queries: (field, value, merchant key, updated at).
@@ -598,6 +600,8 @@ ORACLES |= {
     "correction_flow_dashboard": f"""{_FIXED}, s AS (SELECT {_SUM.format("GROSS_EXPENSE")} AS gross_minor, {_SUM.format("CREDIT")} AS credits_minor,
       {_SUM.format("REFUND")} AS refunds_minor, count(*) AS transaction_count FROM p)
       SELECT *, greatest(gross_minor - refunds_minor, 0) AS net_minor, (SELECT count(DISTINCT month) FROM spent) AS n_months FROM s""",
+    "tx_search_index": f"""{W}{TX}, needles AS (SELECT unnest({_list(NEEDLES)}) AS needle)
+      SELECT needle, tx_id FROM tx JOIN needles ON merchant_display ILIKE '%' || needle || '%' OR merchant_key ILIKE '%' || needle || '%'""",
     "ingest_store": ORACLES["scan_two_batches"],
     "ingest_rows_are_sound": f"SELECT CAST(NULL AS VARCHAR) AS violation, count(*) AS n FROM ({ORACLES['scan_two_batches']})",
     "ingest_scan_state": f"""{W}{FILTER} SELECT 'COMPLETED' AS status, count(*) + count(*) FILTER (source_message_id % 3 = 0) AS processed,

@@ -311,3 +311,25 @@ def test_support_keys_expire(spark, tmp_path):
         telemetry.support_sink(s, spark.readStream.schema(sent).parquet(str(tmp_path / "in")), str(tmp_path / "ck"), lambda now=now: (20_000 + now) * DAY_MS).awaitTermination()
     assert dict(s.read("support_outcomes").select("seq", "status").collect()) == {1: 201, 2: 409, 3: 201, 4: 201, 5: 409, 6: 201}
     assert sorted(r.seq for r in s.read("support_submissions").collect()) == [1, 6]
+
+
+# search
+
+
+def test_search_by_trigrams_equals_a_plain_search(spark, tmp_path):
+    from passbook.operators import search
+    from passbook.plans.query import TransactionQuery
+
+    names = [("swiggy", "Swiggy"), ("swiggy", "SWIGGY Instamart"), ("a_b", "A_B%c"), ("ab", None), (None, "Ökostrom İst K"), ("cafe", "Café \\ Bar"), (None, None), ("xyxyxy", "xy")]
+    rows = [(i, *names[i % len(names)]) for i in range(40)]
+    schema = "tx_id long, merchant_key string, merchant_display string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "tx"))
+    tx = spark.read.parquet(str(tmp_path / "tx"))
+    known = search.dictionary(tx).checkpoint()
+    postings = search.trigrams(known).checkpoint()
+    for needle in ("swig", "SWIGGY", "gy ins", "a_b%c", "a_b", "b", "xyxyx", "É \\ b", "İst", "ist", "no such", "s%y%m", "%", "K"):
+        got = sorted(r.tx_id for r in search.search(needle, tx, known, postings).collect())
+        assert got == sorted(r.tx_id for r in TransactionQuery(search=needle).run(tx).collect()), needle
+    plan = search.search("swig", tx, known, postings)._jdf.queryExecution().executedPlan().toString()
+    assert "In(merchant_key" in plan or "EqualTo(merchant_key,swiggy)" in plan
+    assert search.needed("ab%cde_fghi") == ["cde", "fgh", "ghi"]
