@@ -131,8 +131,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warc(pages: DataFrame, path: str, min_payload: int = 100, max_records: int = 20_000) -> None:
-    """Write the rows of ``pages`` as WARC archives of bounded size, and of at most ``max_records`` records, in ``path``."""
-    members = with_revisits(pages, min_payload).mapInArrow(_members, "member binary").hint("rebalance")
+    """Write the rows of ``pages`` as WARC archives, of at most ``max_records`` records, in ``path``.
+
+    A task writes what it read of the pages or got from the join with the repeated digests: its
+    archives are bounded by the size of input splits and of adaptive partitions, of which Spark splits the skewed.
+    """
+    members = with_revisits(pages, min_payload).mapInArrow(_members, "member binary")
     (members.select(F.col("member").cast("string").alias("value")).write
      .option("lineSep", "\u0000").option("compression", "none")
      .option("maxRecordsPerFile", max_records).mode("overwrite").text(path))
