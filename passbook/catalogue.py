@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.functions import display, lexicon, privacy, text
-from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence, rollup, scans, search
+from passbook.operators import classify, corrections, dashboard, dedupe, messages, recurrence, rollup, rulebook, scans, search
 from passbook.oracles import COPY_ID, COPY_MS, END, NEEDLES, NOW, OFF_END, OFF_START, ORACLES, SCAN_RULES, START
 from passbook.plans import ledger, pipeline
 from passbook.plans.query import TransactionQuery
@@ -144,6 +144,9 @@ _of(lambda m: messages.extractions(m, REGRESSION).select(
     _accepted, "msg_extract")
 _of(lambda m: messages.extractions(m, REGRESSION).select(
     "source_message_id", "rule_id", F.round("confidence", 6).alias("confidence")), _accepted, "msg_confidence")
+_of(lambda m: rulebook.extractions(m, REGRESSION).select(
+    "source_message_id", "rule_id", "institution", "direction", "amount_minor", "currency", "merchant", "reference_hash", "ts_ms"),
+    _accepted, "msg_extract_indexed")
 _of(lambda m: messages.outcomes(m, REGRESSION).select(
     "source_message_id", "parse_status", "parse_reason", F.when(F.col("parse_status") == "SUCCESS", F.col("rule_id")).alias("rule_id")),
     _accepted, "msg_outcome")
