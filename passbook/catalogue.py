@@ -154,6 +154,8 @@ _of(lambda m: m.select("source_message_id", text.payment_method(F.col("body")).a
 _of(lambda m: m.select("source_message_id", messages.source_hash().alias("source_hash")), adapters.messages, "msg_source_hash")
 _of(lambda m: pipeline.counters(m, REGRESSION), _raw, "scan_counters")
 
+#: Messages of a page.
+PAGE = 6_000
 SCANNED = ("seq", "source_hash", "fingerprint", "amount_minor", "direction", "merchant_key", "merchant_display", "category_id", "transfer_status",
            "role", "duplicate_status", "possible_duplicate_of")
 
@@ -217,6 +219,16 @@ def ingest_store(spark, sf_dir):
     return _ingested(spark, sf_dir).read("transactions").select(*SCANNED)
 
 
+@query
+def scan_in_pages(spark, sf_dir):
+    """The same messages in pages by id, cancelled after the first page and resumed from the stored cursor."""
+    s, m = store.Store(spark, f"{_root(spark)}/store"), adapters.messages(spark, sf_dir)
+    both, asked = m.unionByName(_copies(m)), []
+    for stop in (2, 1_000_000):
+        ingest.scan_pages(both, s, REGRESSION, "pages", 0, 1 << 60, PAGE, _scan_rules(spark), cancelled=lambda: (asked.append(1), len(asked) == stop)[1])
+    return s.read("transactions").select(*SCANNED)
+
+
 @query
 def ingest_rows_are_sound(spark, sf_dir):
     """Violations among the stored rows (none), and how many of them there are."""
@@ -466,7 +478,7 @@ def dash_cache(spark, sf_dir):
 
 @query
 def recur_merge(spark, sf_dir):
-    found = _subscriptions(spark, sf_dir)
+    found = checkpointed(_subscriptions(spark, sf_dir))  # looked at three times
     first, n = F.element_at("evidence_ids", 1), F.size("evidence_ids")
     stored = found.where(first % 5 != 0).select(
         F.col("merchant_key").alias("subscription_id"), "merchant_key", F.lit(1).alias("updated_at"),

@@ -603,6 +603,7 @@ ORACLES |= {
     "tx_search_index": f"""{W}{TX}, needles AS (SELECT unnest({_list(NEEDLES)}) AS needle)
       SELECT needle, tx_id FROM tx JOIN needles ON merchant_display ILIKE '%' || needle || '%' OR merchant_key ILIKE '%' || needle || '%'""",
     "msg_extract_indexed": ORACLES["msg_extract"],
+    "scan_in_pages": ORACLES["scan_two_batches"],
     "ingest_store": ORACLES["scan_two_batches"],
     "ingest_rows_are_sound": f"SELECT CAST(NULL AS VARCHAR) AS violation, count(*) AS n FROM ({ORACLES['scan_two_batches']})",
     "ingest_scan_state": f"""{W}{FILTER} SELECT 'COMPLETED' AS status, count(*) + count(*) FILTER (source_message_id % 3 = 0) AS processed,

@@ -290,7 +290,9 @@ class BundleStore:
 
     def install(self, envelope: str, now_ms: int = 0) -> Bundle:
         """Take a bundle whose checks pass; Refused else.  An active one of the same version becomes installed."""
-        e, _ = checked(envelope, self.app_version, self.verify)
+        e, found = checked(envelope, self.app_version, self.verify)
+        if self.store is not None and (wrong := java_problems(self.store.spark, found)):
+            raise Refused("INVALID_RULES", "; ".join(wrong))
         bundle = Bundle(e.parser_version, e.rules_version, e.checksum, e.text, installed_at=now_ms)
         self._put(bundle)
         return bundle

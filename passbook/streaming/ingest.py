@@ -62,19 +62,14 @@ def parse_all(batch: DataFrame, rules: Rules) -> None:
     messages.candidates(messages.mapped(batch), rules).write.format("noop").mode("overwrite").save()
 
 
-def ingest(spark: SparkSession, folder: str, store: Store, rules: Rules, checkpoint: str, files_per_batch: int | None = None,
-           bytes_per_batch: int = 256 << 20, corrections: DataFrame | None = None, clock: Callable[[], int] | None = None,
-           parse: Callable[[DataFrame, Rules], None] = parse_all) -> StreamingQuery:
-    """Read what is new in ``folder``, stop when done; bounded batches by bytes, or by files if given.  ``stop()`` of the query cancels it
+def merger(spark: SparkSession, store: Store, rules: Rules, run: str, corrections: DataFrame | None, now: Callable[[], int],
+           parse: Callable[[DataFrame, Rules], None]) -> Callable[[DataFrame, int], None]:
+    """What stores a numbered batch of a run; a batch that is stored again replaces its own rows.
 
-    after its batch, and the next call goes on from there.  A batch that is repeated after a failure replaces its own rows,
-    and stored source hashes and fingerprints are left out (see ``KeyIndex``).  Each batch adds a part to the tables of
-    transactions, keys, scan state and dead letters and rewrites nothing that is stored.  Bodies are never written.
-
-    What a batch processed and accepted is observed while its rows are computed.  If the batch fails, the
+    Each batch adds a part to the tables of transactions, keys, scan state and dead letters and rewrites nothing that is stored.
+    What it processed and accepted is observed while its rows are computed.  If that fails, the
     messages that fail by themselves are found and go to ``dead_letters`` as RULE_RUNTIME_ERROR; the others go on.
     """
-    now = clock or (lambda: int(time.time() * 1000))
     index = KeyIndex(store)
 
     def rows_of(batch: DataFrame, part: str) -> tuple[DataFrame, dict]:
@@ -107,14 +102,65 @@ def ingest(spark: SparkSession, folder: str, store: Store, rules: Rules, checkpo
                  max([c for c in (counts["cursor"], *failed) if c is not None], default=None), rules.parser_version, now())
         store.append("scan_batches", spark.createDataFrame([state], STATE), part)
 
+    return merge
+
+
+def clock_ms() -> int:
+    return int(time.time() * 1000)
+
+
+def ingest(spark: SparkSession, folder: str, store: Store, rules: Rules, checkpoint: str, files_per_batch: int | None = None,
+           bytes_per_batch: int = 256 << 20, corrections: DataFrame | None = None, clock: Callable[[], int] | None = None,
+           parse: Callable[[DataFrame, Rules], None] = parse_all) -> StreamingQuery:
+    """Read what is new in ``folder``, stop when done; bounded batches by bytes, or by files if given.  ``stop()`` of the query cancels it
+
+    after its batch, and the next call goes on from there.  A batch that is repeated after a failure replaces its own rows,
+    and stored source hashes and fingerprints are left out (see ``KeyIndex``).  Bodies are never written.
+    """
     # batches are numbered within a checkpoint, so its name tells runs of different ones apart
     run = run_of(checkpoint)
+    merge = merger(spark, store, rules, run, corrections, clock or clock_ms, parse)
     source = spark.readStream.schema(SCHEMA)
     source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source.option("maxBytesPerTrigger", bytes_per_batch)
     return source.parquet(folder).writeStream.queryName(f"ingest-{run}").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
+def ended(store: Store, scan_id: str, status: str, parser_version: str, at_ms: int) -> None:
+    end = (scan_id, None, status, 0, 0, 0, None, parser_version, at_ms)
+    store.append("scan_batches", store.spark.createDataFrame([end], STATE), f"{scan_id}-end")
+
+
+def scan_pages(source: DataFrame, store: Store, rules: Rules, scan_id: str, start: int, end: int, limit: int,
+               corrections: DataFrame | None = None, cancelled: Callable[[], bool] = lambda: False, clock: Callable[[], int] | None = None) -> str:
+    """Scan a table of messages in pages of at most ``limit`` rows by their ids, for sources that aren't files of a stream.
+
+    The cursor is that of the newest stored page, so a scan that was cut off or cancelled goes on after what is stored; the
+    predicates of period and cursor reach the files.  The scan's state is stored as with ``run_scan``.
+    """
+    now = clock or clock_ms
+    merge = merger(source.sparkSession, store, rules, scan_id, corrections, now, parse_all)
+    pages = store.read("scan_batches")
+    pages = pages.where((F.col("scan_id") == scan_id) & F.col("batch").isNotNull()) if pages is not None else None
+    newest = pages.agg(F.max("cursor").alias("cursor"), F.max("batch").alias("batch")).first() if pages is not None else None
+    cursor, number = (newest["cursor"], -1 if newest["batch"] is None else newest["batch"]) if newest else (None, -1)
+    status = "COMPLETED"
+    while True:
+        if cancelled():
+            status = "CANCELLED"
+            break
+        page = checkpointed(messages.keyset_page(source, start, end, cursor, limit))
+        state = messages.page_state(page, limit).first()
+        if state["n_rows"]:
+            number += 1
+            merge(page, number)
+            cursor = state["next_id"]
+        if state["exhausted"]:
+            break
+    ended(store, scan_id, status, rules.parser_version, now())
+    return status
+
+
 def run_of(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
@@ -125,7 +171,7 @@ def run_scan(spark: SparkSession, folder: str, store: Store, rules: Rules, check
 
     A cancelled or interrupted scan goes on from its checkpoint with the next call; until then ``scans.resumable`` finds it.
     """
-    now = clock or (lambda: int(time.time() * 1000))
+    now = clock or clock_ms
     query = ingest(spark, folder, store, rules, checkpoint, clock=clock, **how)
     status = "COMPLETED"
     try:
@@ -137,8 +183,7 @@ def run_scan(spark: SparkSession, folder: str, store: Store, rules: Rules, check
             status = "CANCELLED"
     except PySparkException:
         status = "INTERRUPTED"
-    end = (run_of(checkpoint), None, status, 0, 0, 0, None, rules.parser_version, now())
-    store.append("scan_batches", spark.createDataFrame([end], STATE), f"{run_of(checkpoint)}-end")
+    ended(store, run_of(checkpoint), status, rules.parser_version, now())
     return status
 
 

@@ -169,6 +169,19 @@ def test_cancelled_between_batches(spark, tmp_path):
     assert sorted(r.seq for r in s.read("transactions").collect()) == [1, 11, 21]
 
 
+def test_pages_by_rows_resume_from_the_stored_cursor(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    source = spark.createDataFrame([credit(i) for i in range(1, 8)] + [(8, " ", 1, "x"), (9, "EXBANK", 99_000_000, "Rs.9.00 credited")], ingest.SCHEMA)
+    asked = []
+    how = {"start": 0, "end": 50_000_000, "limit": 3}
+    assert ingest.scan_pages(source, s, REGRESSION, "p", **how, cancelled=lambda: (asked.append(1), len(asked) == 2)[1]) == "CANCELLED"
+    assert sorted(r.seq for r in s.read("transactions").collect()) == [1, 2, 3]
+    assert ingest.scan_pages(source, s, REGRESSION, "p", **how) == "COMPLETED"
+    assert sorted(r.seq for r in s.read("transactions").collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert [(r.status, r.processed, r.accepted, r.cursor) for r in ingest.scan_states(s).collect()] == [("COMPLETED", 8, 7, 8)]
+    assert [(r.batch, r.processed) for r in s.read("scan_batches").where("batch is not null").orderBy("batch").collect()] == [(0, 3), (1, 3), (2, 2)]
+
+
 def test_one_failing_message_stops_no_other(spark, tmp_path, monkeypatch):
     poison = lambda df: df.withColumn("body", F.when(F.col("source_message_id").isin(7, 1234), F.raise_error(F.lit("rule"))).otherwise(F.col("body")))
     monkeypatch.setattr(ingest, "scan", lambda batch, *a: scan(poison(batch), *a))
