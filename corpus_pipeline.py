@@ -6,7 +6,8 @@ but the last returns the columns of its ``docs``, whatever they are; ``docs`` mu
 doc_id, text and source.  An empty table gives an empty table at each stage.
 
 ``run`` writes each stage as Parquet into the shared folder and reads it again, so the
-order of the files carries the mix to the packing.
+order of the files carries the mix to the packing.  A stage's files are removed once the next stage is
+written; those of the last written one stay, as the result is read from them.
 """
 
 from __future__ import annotations
@@ -87,7 +88,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again but the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
