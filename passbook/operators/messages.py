@@ -75,7 +75,8 @@ def reject_reason(patterns: Sequence[str]) -> Column:
 
 
 def filtered(messages: DataFrame, rules: Rules) -> DataFrame:
-    return messages.withColumn("reject_reason", reject_reason(rules.senders()))
+    # generated, so that a filter on the reason reads it: merged into the filter, its patterns would be searched for time and again
+    return messages.drop("reject_reason").select("*", F.explode_outer(F.array(reject_reason(rules.senders()))).alias("reject_reason"))
 
 
 def _tries(rules: Rules) -> Column:
