@@ -697,3 +697,41 @@ def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
     got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect())
     assert got == [(2, 2), (2, 2), (3, 3), (5, 2), (5, 3)]
     assert {r.doc_id for r in minhash.keep_one_each(d).collect()} == {2, 3}
+
+
+def test_training_rows_of_a_repeated_id_are_bounded(spark):
+    """One id with far more rows than the bound gives the bound's rows, the same ones whatever the partitions."""
+    texts = [f"text number {i} " + "word " * (i % 7) for i in range(300)]
+    d = spark.createDataFrame([(1, t) for t in texts] + [(2, "another text")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (1,), (2,)], "doc_id long")
+    some = rankquality.measured(d.repartition(7), ids, 40)
+    assert some.shape == (40, len(rankquality.measures(""))) and (some == rankquality.measured(d.coalesce(1), ids, 40)).all()
+    every = rankquality.measured(d, ids, 1000)
+    assert sorted(map(tuple, every.tolist())) == sorted(tuple(map(float, rankquality.measures(t))) for t in [*texts, "another text"])
+    assert rankquality.measured(d, ids.where("doc_id = 3"), 5).shape == (0, some.shape[1])
+
+
+@pytest.mark.parametrize(("rule", "counts", "vote"), [
+    ("v_length", {"n_words": 80}, 1), ("v_length", {"n_words": 79}, None),
+    ("v_symbols", {"n_symbols": 2}, 1), ("v_symbols", {"n_symbols": 3}, None), ("v_symbols", {"n_symbols": 10}, 0),
+    ("v_dup_lines", {"n_dup_lines": 2}, 1), ("v_dup_lines", {"n_dup_lines": 3}, None), ("v_dup_lines", {"n_dup_lines": 5}, 0),
+    ("v_dup_lines", {"n_lines": 0}, None),
+    ("v_repeats", {"n_repeat_words": 20}, 1), ("v_repeats", {"n_repeat_words": 21}, None), ("v_repeats", {"n_repeat_words": 45}, 0),
+    ("v_word_length", {"word_chars": 300}, 1), ("v_word_length", {"word_chars": 900}, 1), ("v_word_length", {"word_chars": 299}, None),
+    ("v_word_length", {"word_chars": 199}, 0), ("v_word_length", {"word_chars": 1500}, None), ("v_word_length", {"word_chars": 1501}, 0),
+    ("v_capitals", {"n_upper": 75}, 1), ("v_capitals", {"n_upper": 76}, None), ("v_capitals", {"n_upper": 250}, 0),
+    ("v_shouts", {"n_shouts": 5}, 1), ("v_shouts", {"n_shouts": 6}, None), ("v_shouts", {"n_shouts": 30}, 0),
+    ("v_distinct", {"n_distinct": 25}, 1), ("v_distinct", {"n_distinct": 24}, None), ("v_distinct", {"n_distinct": 12}, 0),
+])
+def test_each_rule_votes_at_its_bounds(spark, rule, counts, vote):
+    fine = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_upper": 0, "n_shouts": 0, "n_lines": 10, "n_distinct": 100}
+    row = spark.createDataFrame([tuple((fine | counts).values())], ", ".join(f"{c} long" for c in fine))
+    votes = row.select(*[v.alias(k) for k, v in qualityrules.rules().items()]).first().asDict()
+    # only n_words, word_chars and n_lines are read by several rules
+    assert votes.pop(rule) == vote
+    assert set(votes.values()) <= ({1, None} if {"n_words", "word_chars", "n_lines"} & set(counts) else {1})
+
+
+def test_no_rule_votes_without_a_word(spark):
+    got = qualityrules.text_counts(docs(spark, None, "", " \n\t ")).select(*[v.alias(k) for k, v in qualityrules.rules().items()])
+    assert {v for r in got.collect() for v in r} == {None}
