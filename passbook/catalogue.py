@@ -385,7 +385,8 @@ def category_seed_join(spark, sf_dir):
 
 @query
 def category_seed_insert(spark, sf_dir):
-    stored = spark.createDataFrame([("other", 99)], "category_id string, sort_order int")
+    """The categories that merchants have are stored already, in an order of the user's own; the seed adds the others."""
+    stored = _merchants(spark, sf_dir).groupBy(_category().alias("category_id")).agg((F.count(F.lit(1)) + 100).cast("int").alias("sort_order"))
     return store.inserted_or_ignored(stored, store.seed_categories(spark).select("category_id", "sort_order"), "category_id")
 
 
@@ -622,7 +623,9 @@ _of(lambda m: m.select("source_message_id", privacy.looks_secret(F.col("body")).
 
 @query
 def prohibited_keys(spark, sf_dir):
-    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"a": [1, {"b": {"Sms_Body": '), "props", F.lit("}}]}"))).otherwise(F.col("props"))
+    n = F.col("event_id") % 4
+    body = (F.when(n == 0, F.concat(F.lit('{"a": [1, {"b": {"Sms_Body": '), "props", F.lit("}}]}")))
+            .when(n == 1, F.concat(F.lit('{"list": ['), "props", F.lit(', {"x": {"S-m-s": 1}, "body": 2}]}'))).otherwise(F.col("props")))
     return _events(spark, sf_dir).select("event_id", privacy.prohibited_key(body).alias("key"), privacy.prohibited_path(body).alias("path"))
 
 

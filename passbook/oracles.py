@@ -348,8 +348,14 @@ bodies AS (
 
 W = "WITH "
 #: Every event twice, an hour apart; some ids come back under another type.
-TWICE = """WITH e AS (SELECT event_id, ts, event_type FROM events
-        UNION ALL SELECT event_id, ts + INTERVAL 1 HOUR, CASE WHEN event_id % 5 = 0 THEN 'again' ELSE event_type END FROM events)"""
+TWICE = """WITH e AS (SELECT event_id, ts, event_type, 'v' || (user_id % 3) AS app_version FROM events
+        UNION ALL SELECT event_id, ts + INTERVAL 1 HOUR, CASE WHEN event_id % 5 = 0 THEN 'again' ELSE event_type END, 'v' || (user_id % 3) FROM events)"""
+FIRST = "f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1)"
+METADATA = """m AS (SELECT CAST(event_id AS VARCHAR) AS parser_version, ['ACTIVE', 'INSTALLED', 'ROLLBACK', 'INVALID'][CAST(event_id % 4 + 1 AS INT)] AS status,
+        CASE WHEN event_id % 4 = 0 THEN event_id END AS activated_at FROM events)"""
+#: How a scan can end, in the order in which the query deals them to the events.
+ENDS = ("COMPLETED", "CANCELLED", "PERMISSION_REVOKED", "PROVIDER_ERROR", "COROUTINE_CANCELLED", "PERMISSION_DENIED", "PARSER_UNAVAILABLE",
+        "SCAN_ALREADY_ACTIVE", "NOT_RESUMABLE", "UNEXPECTED")
 ACCEPTED = """SELECT e.event_type, e.n AS received, coalesce(f.n, 0) AS accepted, e.n - coalesce(f.n, 0) AS duplicates
       FROM (SELECT event_type, count(*) AS n FROM e GROUP BY 1) e LEFT JOIN (SELECT event_type, count(*) AS n FROM first GROUP BY 1) f USING (event_type)"""
 
@@ -510,10 +516,12 @@ ORACLES: dict[str, str] = {
     "exclusion_join": f"{W}{CORR} SELECT DISTINCT tx_id FROM corr WHERE field_name = 'NOT_A_TRANSACTION'",
     "upsert_fingerprint": f"""{W}{TX}, s AS (SELECT * FROM tx WHERE tx_id % 2 = 0), i AS (SELECT tx_id, ts_ms + 1 AS ts_ms, amount_minor + 100 AS amount_minor FROM tx WHERE tx_id % 3 = 0 OR tx_id % 2 = 1)
       SELECT coalesce(s.tx_id, i.tx_id) AS tx_id, coalesce(s.ts_ms, i.ts_ms) AS ts_ms, coalesce(i.amount_minor, s.amount_minor) AS amount_minor FROM s FULL JOIN i ON s.tx_id = i.tx_id""",
-    "activate_bundle": f"""SELECT CAST(event_id AS VARCHAR) AS parser_version, CASE WHEN event_id = 13 THEN 'ACTIVE' WHEN event_id % 4 = 0 THEN 'INSTALLED' ELSE
-      ['INSTALLED', 'ROLLBACK', 'INVALID'][CAST(event_id % 4 AS INT)] END AS status, CASE WHEN event_id = 13 THEN {NOW} WHEN event_id % 4 = 0 THEN event_id END AS activated_at FROM events""",
-    "mark_bundle": """SELECT CAST(event_id AS VARCHAR) AS parser_version, CASE event_id WHEN 4 THEN 'INVALID' WHEN 8 THEN 'ROLLBACK' ELSE
-      ['ACTIVE', 'INSTALLED', 'ROLLBACK', 'INVALID'][CAST(event_id % 4 + 1 AS INT)] END AS status, CASE WHEN event_id % 4 = 0 AND event_id <> 4 THEN event_id END AS activated_at FROM events""",
+    "activate_bundle": f"""WITH {METADATA}, wanted AS (SELECT parser_version FROM m WHERE parser_version = '13' AND status <> 'INVALID')
+      SELECT m.parser_version, CASE WHEN w.parser_version IS NOT NULL THEN 'ACTIVE' WHEN m.status = 'ACTIVE' AND EXISTS (SELECT 1 FROM wanted) THEN 'INSTALLED' ELSE m.status END AS status,
+        CASE WHEN w.parser_version IS NOT NULL THEN {NOW} ELSE m.activated_at END AS activated_at FROM m LEFT JOIN wanted w ON w.parser_version = m.parser_version""",
+    "mark_bundle": f"""WITH {METADATA}, marks AS (SELECT * FROM (VALUES ('4', 'INVALID'), ('8', 'ROLLBACK')) AS v(version, mark))
+      SELECT m.parser_version, coalesce(mark, status) AS status, CASE WHEN mark IS DISTINCT FROM 'INVALID' THEN activated_at END AS activated_at
+      FROM m LEFT JOIN marks ON version = parser_version""",
     "version_order_long": "SELECT event_id, CAST(sign(CAST(event_id % 4 AS BIGINT) - user_id % 3) AS INT) AS ordering FROM events",
     "app_version_check": r"""WITH v AS (SELECT event_id, (event_id % 3) || '.' || (user_id % 4) || CASE WHEN event_id % 5 = 0 THEN '-beta.1' WHEN event_id % 7 = 0 THEN '.x' ELSE '+7' END AS cur FROM events),
       p AS (SELECT event_id, regexp_replace(cur, '[-+].*$', '') AS core FROM v)
@@ -523,12 +531,15 @@ ORACLES: dict[str, str] = {
       SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 WHEN a1 < b1 THEN -1 WHEN a1 > b1 THEN 1 WHEN a2 > 0 THEN 1 ELSE 0 END AS ordering FROM v""",
     "privacy_scan": f"SELECT doc_id, {_any('text', lexicon.SECRET_PATTERNS)} AS looks_secret FROM documents",
     "privacy_messages": f"{W}{MSG} SELECT source_message_id, {_any('body', lexicon.SECRET_PATTERNS)} AS looks_secret FROM msg",
-    "prohibited_keys": f"""WITH b AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{{"a": [1, {{"b": {{"Sms_Body": ' || props || '}}}}]}}' ELSE props END AS body FROM events),
-      k AS (SELECT event_id, list_filter(regexp_extract_all(body, '"([^"]+)"\\s*:', 1), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g') IN {lexicon.PROHIBITED_KEYS})[1] AS key FROM b)
-      SELECT event_id, key, CASE WHEN key IS NOT NULL THEN 'a.[1].b.' || key END AS path FROM k""",
+    "prohibited_keys": f"""WITH b AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{{"a": [1, {{"b": {{"Sms_Body": ' || props || '}}}}]}}'
+        WHEN 1 THEN '{{"list": [' || props || ', {{"x": {{"S-m-s": 1}}, "body": 2}}]}}' ELSE props END AS body FROM events),
+      k AS (SELECT event_id, min_by(t.key, t.id) AS key, min_by(t.path || '.' || t.key, t.id) AS place FROM b, json_tree(b.body) AS t
+        WHERE regexp_replace(lower(t.key), '[^a-z0-9]', '', 'g') IN {lexicon.PROHIBITED_KEYS} GROUP BY 1)
+      SELECT event_id, key, replace(substr(place, 3), '[', '.[') AS path FROM b LEFT JOIN k USING (event_id)""",
     "telemetry_validate": f"""WITH t AS (SELECT event_id, {_list([*lexicon.TELEMETRY_EVENT_TYPES, "other"])}[CAST(event_id % 8 + 1 AS INT)] AS t, {_list([*lexicon.DURATION_BUCKETS, "LONG"])}[CAST(event_id % 8 + 1 AS INT)] AS d FROM events)
       SELECT event_id AS n, CASE WHEN event_id % 10 = 3 THEN 'INVALID_EVENT_ID' WHEN t = 'other' THEN 'INVALID_EVENT_TYPE' WHEN event_id % 3 = 0 AND d = 'LONG' THEN 'INVALID_DURATION' END AS error_code FROM t""",
-    "telemetry_dedupe_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, 'v' || (user_id % 3) AS app_version, count(*) AS n FROM events GROUP BY ALL",
+    "telemetry_dedupe_daily": f"""{TWICE}, {FIRST}
+      SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, app_version, count(*) AS n FROM f GROUP BY ALL""",
     "telemetry_accepted": f"""{TWICE}, first AS (SELECT event_type FROM e QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1)
       {ACCEPTED}""",
     "telemetry_accepted_stored": f"""{TWICE}, first AS (SELECT event_type FROM (
@@ -538,7 +549,10 @@ ORACLES: dict[str, str] = {
       old AS (SELECT event_id, ts - CASE WHEN event_id % 3 = 0 THEN INTERVAL 31 DAY ELSE INTERVAL 29 DAY END AS ts FROM events WHERE event_id % 2 = 0),
       first AS (SELECT event_type FROM e WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.event_id = e.event_id AND old.ts + INTERVAL 30 DAY > e.ts))
       {ACCEPTED}""",
-    "telemetry_added_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, 'v' || (user_id % 3) AS app_version, count(*) AS n FROM events GROUP BY ALL",
+    "telemetry_added_counts": f"""{TWICE}, {FIRST},
+      old AS (SELECT * FROM e WHERE event_id % 4 = 0 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1),
+      counted AS (SELECT * FROM old UNION ALL SELECT * FROM f WHERE event_id NOT IN (SELECT event_id FROM old))
+      SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, app_version, count(*) AS n FROM counted GROUP BY ALL""",
     "telemetry_payloads": f"{W}{REQUESTS} SELECT n, code, field, field_code FROM judged",
     "telemetry_payload_events": f"""{W}{REQUESTS} SELECT n, json_extract_string(e, '$.eventId') AS event_id, json_extract_string(e, '$.eventType') AS event_type FROM (
       SELECT n, unnest(CAST(json_extract(body, '$.events[*]') AS JSON[])) AS e FROM judged WHERE field_code IS NULL)""",
@@ -554,14 +568,19 @@ ORACLES: dict[str, str] = {
       SELECT seq, k AS idempotency_key, CASE WHEN payload = p THEN 201 ELSE 409 END AS status, seq = f.s AS stored FROM s JOIN f USING (k)""",
     "category_seed_join": f"""{W}{CLASSIFY}, c AS (SELECT {CATEGORY} AS category_id FROM cl), s AS (SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {_q(n)}, {i})' for i, (k, n) in enumerate(lexicon.CATEGORIES))}) AS v(category_id, name, sort_order))
       SELECT s.category_id, name, sort_order, count(c.category_id) AS n FROM s LEFT JOIN c ON c.category_id = s.category_id GROUP BY ALL""",
-    "category_seed_insert": f"""SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {i})' for i, (k, _) in enumerate(lexicon.CATEGORIES) if k != 'other')}, ('other', 99)) AS v(category_id, sort_order)""",
+    "category_seed_insert": f"""{W}{CLASSIFY}, stored AS (SELECT {CATEGORY} AS category_id, CAST(100 + count(*) AS INT) AS sort_order FROM cl GROUP BY 1),
+      seed AS (SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {i})' for i, (k, _) in enumerate(lexicon.CATEGORIES))}) AS v(category_id, sort_order))
+      SELECT * FROM stored UNION ALL SELECT * FROM seed WHERE category_id NOT IN (SELECT category_id FROM stored)""",
     "latest_completed": f"{W}{SCANS} SELECT scan_id, completed_at FROM scans WHERE status = 'COMPLETED' ORDER BY completed_at DESC NULLS LAST, scan_id DESC LIMIT 1",
     "status_lookups": f"""{W}{SCANS} SELECT 'active' AS lookup, max_by(scan_id, (updated_at, scan_id)) AS scan_id FROM scans WHERE status IN ('PENDING', 'RUNNING')
       UNION ALL SELECT 'resumable', max_by(scan_id, (updated_at, scan_id)) FROM scans WHERE status IN ('PENDING', 'RUNNING', 'INTERRUPTED')""",
     "scan_newest_by_status": f"{W}{SCANS} SELECT status, max_by(scan_id, (updated_at, scan_id)) AS scan_id FROM scans GROUP BY 1",
     "scan_violations": f"""{W}{SCANS} SELECT scan_id, CASE WHEN accepted > processed THEN 'COUNTS' WHEN status = 'COMPLETED' AND completed_at IS NULL THEN 'COMPLETED_AT'
       WHEN status IN ('PENDING', 'RUNNING') AND completed_at IS NOT NULL THEN 'STILL_RUNNING' END AS violation FROM scans""",
-    "retry_mapping": """SELECT event_id, ['SUCCESS', 'SUCCESS', 'FAILURE', 'RETRY', 'RETRY', 'FAILURE', 'FAILURE', 'RETRY', 'FAILURE', 'RETRY', 'RETRY'][CAST(event_id % 11 + 1 AS INT)] AS outcome FROM events""",
+    "retry_mapping": f"""WITH reasons AS (SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {i})' for i, k in enumerate((*ENDS, 'no such')))}) AS v(reason, i)),
+      ended AS (SELECT event_id, reason FROM events JOIN reasons ON i = event_id % 11)
+      SELECT event_id, CASE WHEN reason IN ('COMPLETED', 'CANCELLED') THEN 'SUCCESS'
+        WHEN reason IN ('PERMISSION_REVOKED', 'PERMISSION_DENIED', 'PARSER_UNAVAILABLE', 'NOT_RESUMABLE') THEN 'FAILURE' ELSE 'RETRY' END AS outcome FROM ended""",
     "support_idempotency_stored": """WITH s AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS k, CAST(event_id % 2 AS VARCHAR) AS payload FROM events),
       o AS (SELECT k, min_by(payload, seq) AS p FROM s WHERE seq % 10 = 0 GROUP BY 1), i AS (SELECT * FROM s WHERE seq % 10 <> 0),
       f AS (SELECT k, min_by(payload, seq) AS p, min(seq) AS s FROM i GROUP BY 1)
