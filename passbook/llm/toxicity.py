@@ -4,8 +4,8 @@ Positives are confirmed toxic training rows, at most ``max_positive`` of them (t
 id hash); texts whose word sets agree in three min-hashes are near copies and count once.
 Unlabelled are all training documents, whatever their labels.  Words that at least ``MIN_POSITIVE``
 positives hold are candidates; Spark counts in how many of all training documents each
-occurs, and the ``max_words`` candidates of the greatest log-likelihood ratio between the two
-(``min_llr`` at least) become the model's words.  A text matters to the model by which of these
+occurs, and all candidates with a log-likelihood ratio between the two of ``min_llr`` at least
+become the model's words.  A text matters to the model by which of these
 it holds, so Spark counts the different sets over all training documents, and the risk of
 the unlabelled is an exact sum over all of them:
 
@@ -13,8 +13,10 @@ the unlabelled is an exact sum over all of them:
 
 minimised by a numpy logistic model on word presence, with the ascent step of the method
 whenever the second part is negative.  The class prior is the share of label 1 over all labelled training rows.
-What the driver gathers is bounded by the positives and by the different sets of
-``max_words`` words that texts hold, most of them no word at all.
+The driver gathers the word sets of the positives and one count for each candidate word.  The
+different sets of the unlabelled stay in Spark, which sums the risk and its gradient over them for
+every step; where they hold at most ``LOCAL`` words together they are gathered once and the
+same sums are made on the driver, so the model does not depend on which of the two it was.
 
 Scoring streams over all rows: whole texts, word by word, no shuffle.
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -37,13 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, mix64, need, sliced
+from .common import cut, fold, mix64, need, sliced
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 22
 MEMO = 300_000
 #: Positives that must hold a word of the model.
 MIN_POSITIVE = 3
+#: Words and sets of the unlabelled up to which the driver sums their risk itself (about 100 MB).
+LOCAL = 1 << 21
 
 
 class WordBuckets(dict):
@@ -123,24 +127,80 @@ def presence(docs: DataFrame, candidates: np.ndarray) -> tuple[np.ndarray, int]:
     return out, rows
 
 
-def patterns(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different sets of ``words`` (62 buckets at most) that rows of ``docs`` (text) hold, as bit masks, and how many rows hold each."""
+def patterns(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """``(held, n)``: the different sets of ``words`` (sorted buckets) that rows of ``docs`` (text) hold, and how many rows hold each.
 
-    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, bit = WordBuckets(), {b: 1 << k for k, b in enumerate(words.tolist())}
-        held: Counter[int] = Counter()
+    A set is the rising places of its words in ``words``, as little-endian 32-bit integers.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, place = WordBuckets(), {b: k for k, b in enumerate(words.tolist())}
+        found: Counter[bytes] = Counter()
         for batch in sliced(batches):
-            held.update(sum(bit.get(b, 0) for b in word_set(t, buckets)) for t in batch.column(0).to_pylist())
-            if len(held) > 1 << 20:
-                yield table(held)
-                held.clear()
-        yield table(held)
+            found.update(packed(word_set(t, buckets), place) for t in batch.column(0).to_pylist())
+            if len(found) > 1 << 17:
+                yield table(found)
+                found.clear()
+        yield table(found)
+
+    def table(found: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["held", "n"])
+
+    return docs.select("text").mapInArrow(sets, "held binary, n long").groupBy("held").agg(F.sum("n").alias("n"))
+
+
+def packed(buckets: list[int], place: dict[int, int]) -> bytes:
+    return np.array(sorted(k for b in buckets if (k := place.get(b)) is not None), "<i4").tobytes()
+
+
+class Sets:
+    """Word sets as rows of a sparse 0/1 matrix, and the weight of each row."""
+
+    def __init__(self, held: list[bytes], counts: np.ndarray) -> None:
+        self.words = np.frombuffer(b"".join(held), "<i4")
+        self.rows = np.repeat(np.arange(len(held)), [len(x) // 4 for x in held])
+        self.counts = counts
+
+    def margins(self, w: np.ndarray, b: float) -> np.ndarray:
+        return b + np.bincount(self.rows, w[self.words], len(self.counts))
+
+    def gather(self, d: np.ndarray, width: int) -> np.ndarray:
+        """Sum of ``d`` (one value per row) over the rows that hold each word."""
+        return np.bincount(self.words, d[self.rows], width)
+
+    def as_negative(self, w: np.ndarray, b: float) -> np.ndarray:
+        """Gradient by words, gradient by bias and sum of the loss of all rows as negatives, one after another."""
+        z = self.margins(w, b)
+        d = sigmoid(z) * self.counts
+        return np.r_[self.gather(d, len(w)), d.sum(), (np.logaddexp(0, z) * self.counts).sum()]
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def unlabelled_risk(found: DataFrame, local: int = LOCAL) -> Callable[[np.ndarray, float], np.ndarray]:
+    """``as_negative`` per row of the documents counted in ``found`` (of ``patterns``): by Spark, or by the driver if their size allows it."""
+    found = cut(found)
+    rows, size = found.agg(F.sum("n"), F.sum(F.length("held") / 4 + 1)).first()
+    if size <= local:
+        t = found.orderBy("held").toArrow()
+        sets = Sets(t["held"].to_pylist(), t["n"].to_numpy().astype(float))
+        return lambda w, b: sets.as_negative(w, b) / rows
+
+    def risk(w: np.ndarray, b: float) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(w) + 2)
+            for batch in sliced(batches):
+                total += Sets(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)).as_negative(w, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "x"])
 
-    def table(held: Counter[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["mask", "n"])
+        sums = found.mapInArrow(part, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow()
+        out = np.zeros(len(w) + 2)
+        out[sums["k"].to_numpy()] = sums["x"].to_numpy()
+        return out / rows
 
-    found = docs.select("text").mapInArrow(masks, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).toArrow()
-    return found["mask"].to_numpy(), found["n"].to_numpy()
+    return risk
 
 
 def log_likelihood_ratio(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
@@ -160,40 +220,33 @@ def no_words(prior: float) -> Toxicity:
     return Toxicity(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
 
 
-def fit_nnpu(words: np.ndarray, positive: np.ndarray, masks: np.ndarray, counts: np.ndarray, prior: float,
+def fit_nnpu(words: np.ndarray, positive: Sets, unlabelled: Callable[[np.ndarray, float], np.ndarray], prior: float,
              epochs: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Toxicity:
     """Fit the logistic model with the non-negative risk estimator by full-batch Adam steps.
 
-    ``positive`` and ``masks``: sets of ``words`` as bit masks, one per positive and one per different set among the
-    unlabelled, of which ``counts`` rows have it.
+    ``positive``: the positives' sets of ``words``; ``unlabelled``: see ``unlabelled_risk``.
     """
     model = no_words(prior)
     prior = 1 / (1 + np.exp(-model.bias))
-    bits = np.arange(len(words))
-    xp, xu = (((m[:, None] >> bits) & 1).astype(float) for m in (positive, masks))
-    share = counts / counts.sum()
-    w, b = np.zeros(len(words)), model.bias
-    mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    softplus = lambda z: np.logaddexp(0, z)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    n = len(positive.counts)
+    x = np.r_[np.zeros(len(words)), model.bias]
+    m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, epochs + 1):
-        zp, zu = b + xp @ w, b + xu @ w
-        negative = (softplus(zu) * share).sum() - prior * softplus(zp).mean()
-        gp_plus, gp_minus, gu = -prior * sigmoid(-zp) / len(zp), -prior * sigmoid(zp) / len(zp), sigmoid(zu) * share
+        w, b = x[:-1], x[-1]
+        zp, risk = positive.margins(w, b), unlabelled(w, b)
+        negative = risk[-1] - prior * np.logaddexp(0, zp).mean()
+        plus, minus, du = -prior * sigmoid(-zp) / n, -prior * sigmoid(zp) / n, risk[:-1]
         if negative >= 0:
-            dp, du = gp_plus + gp_minus, gu
+            dp = plus + minus
         else:  # the estimate fell below zero: step back from the overfit part
-            dp, du = -gp_minus, -gu
-        g, gb = dp @ xp + du @ xu + decay * w, dp.sum() + du.sum()
-        mw, vw = 0.9 * mw + 0.1 * g, 0.999 * vw + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9 ** t, 1 - 0.999 ** t
-        w -= rate * (mw / c1) / (np.sqrt(vw / c2) + 1e-8)
-        b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Toxicity(words, w, float(b))
+            dp, du = -minus, -du
+        g = np.r_[positive.gather(dp, len(w)) + decay * w, dp.sum()] + du
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    return Toxicity(words, x[:-1], float(x[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_words: int = 62, min_llr: float = 16.0) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, min_llr: float = 16.0) -> Toxicity:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both already cut to the training fold."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
@@ -205,14 +258,12 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_word
     candidates, held = buckets[held >= MIN_POSITIVE], held[held >= MIN_POSITIVE]
     n_unlabelled, rows = presence(docs, candidates)
     ratio = log_likelihood_ratio(held, len(positive), n_unlabelled, rows)
-    best = np.argsort(-ratio, kind="stable")[:max_words]
-    words = np.sort(candidates[best[ratio[best] >= min_llr]])
+    words = candidates[ratio >= min_llr]
     if not len(words):
         return no_words(prior)
-    masks, counts = patterns(docs, words)
-    bit = {b: 1 << k for k, b in enumerate(words.tolist())}
-    own = np.array([sum(bit.get(b, 0) for b in x.tolist()) for x in positive], np.int64)
-    return fit_nnpu(words, own, masks, counts, prior)
+    place = {b: k for k, b in enumerate(words.tolist())}
+    own = Sets([packed(x.tolist(), place) for x in positive], np.ones(len(positive)))
+    return fit_nnpu(words, own, unlabelled_risk(patterns(docs, words)), prior)
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:

@@ -280,12 +280,41 @@ def test_counts_of_the_unlabelled_are_exact(spark):
     words = np.sort(np.array([buckets[w] for w in ("vile", "wa", "wb", "absent")]))
     n, total = toxicity.presence(d, words)
     assert total == 402 and n.tolist() == [sum(w in s for s in sets) for w in words.tolist()]
-    masks, counts = toxicity.patterns(d, words)
     want = {}
-    for s in sets:
-        m = sum(1 << k for k, w in enumerate(words.tolist()) if w in s)
-        want[m] = want.get(m, 0) + 1
-    assert dict(zip(masks.tolist(), counts.tolist(), strict=True)) == want
+    for x in sets:
+        held = tuple(k for k, w in enumerate(words.tolist()) if w in x)
+        want[held] = want.get(held, 0) + 1
+    found = toxicity.patterns(d, words)
+    assert {tuple(np.frombuffer(r.held, "<i4").tolist()): r.n for r in found.collect()} == want
+    # the sums of Spark and of the driver are those of a plain loop over the documents
+    w, b = np.array([1.5, -0.5, 0.25, 2.0]), -0.75
+    plain = np.zeros(6)
+    for x in sets:
+        z = b + sum(w[k] for k, c in enumerate(words.tolist()) if c in x)
+        for k, c in enumerate(words.tolist()):
+            plain[k] += (c in x) / (1 + math.exp(-z))
+        plain[4:] += 1 / (1 + math.exp(-z)), math.log1p(math.exp(z))
+    for local in (0, toxicity.LOCAL):
+        assert toxicity.unlabelled_risk(found, local)(w, b) == pytest.approx(plain / 402, rel=1e-12)
+
+
+def test_a_model_has_no_greatest_number_of_words(spark):
+    """Two hundred words mark the toxic rows; all but those too rare among the distinct positives are learned, and any ten find a text."""
+    r = random.Random(8)
+    bad, plain = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)], ["w" + c for c in "abcdefghijklmnop"]
+    rows = [(i, " ".join(r.choices(plain, k=20) + (r.sample(bad, 60) if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(800)]
+    d = spark.createDataFrame([x[:2] for x in rows], DOC)
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    buckets = toxicity.WordBuckets()
+    assert set(model.buckets.tolist()) <= {buckets[w] for w in bad} and len(model.buckets) > 180
+    got = toxicity.score(docs(spark, *[" ".join(bad[i:i + 10]) for i in range(0, 200, 10)], "wa wb wc"), model)
+    assert [x.predicted for x in got.orderBy("doc_id").collect()] == [1] * 20 + [0]
+    # summed by Spark, a few steps end at the same weights
+    own = toxicity.Sets([toxicity.packed([buckets[w] for w in bad[:5]], {x: k for k, x in enumerate(model.buckets.tolist())})], np.ones(1))
+    found = toxicity.patterns(d, model.buckets)
+    a, b = (toxicity.fit_nnpu(model.buckets, own, toxicity.unlabelled_risk(found, n), 0.25, epochs=5) for n in (0, toxicity.LOCAL))
+    assert a.weights == pytest.approx(b.weights, rel=1e-6) and a.bias == pytest.approx(b.bias, rel=1e-6)
 
 
 def test_nnpu_lowers_the_risk_it_states():
@@ -294,8 +323,9 @@ def test_nnpu_lowers_the_risk_it_states():
     words = np.arange(4)
     positive = rng.integers(0, 16, 40) | 1
     unlabelled = np.where(rng.random(300) < 0.2, rng.integers(0, 16, 300) | 1, rng.integers(0, 8, 300) << 1)
-    masks, counts = np.unique(unlabelled, return_counts=True)
-    m = toxicity.fit_nnpu(words, positive, masks, counts, 0.2)
+    held = lambda masks: [np.array([k for k in range(4) if x >> k & 1], "<i4").tobytes() for x in masks.tolist()]
+    of_unlabelled = toxicity.Sets(held(unlabelled), np.full(300, 1 / 300))
+    m = toxicity.fit_nnpu(words, toxicity.Sets(held(positive), np.ones(40)), of_unlabelled.as_negative, 0.2)
 
     def risk(w, b):
         z = lambda masks: np.array([b + sum(w[k] for k in range(4) if x >> k & 1) for x in masks.tolist()])
