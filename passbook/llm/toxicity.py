@@ -4,8 +4,9 @@ Positives are confirmed toxic training rows, at most ``max_positive`` of them (t
 id hash); texts whose word sets agree in three min-hashes are near copies and count once.
 Unlabelled are all training documents, whatever their labels.  Words that at least ``MIN_POSITIVE``
 positives hold are candidates; Spark counts in how many of all training documents each
-occurs, and all candidates with a log-likelihood ratio between the two of ``min_llr`` at least
-become the model's words.  A text matters to the model by which of these
+occurs, and all candidates become the model's words that have a log-likelihood ratio between the two of ``min_llr``
+at least and are held by ``min_lift`` times the share of positives as of the documents that are none (by the prior).
+The second limit does not depend on the number of rows: with many of them every slight preference is significant.  A text matters to the model by which of these
 it holds, so Spark counts the different sets over all training documents, and the risk of
 the unlabelled is an exact sum over all of them:
 
@@ -246,7 +247,8 @@ def fit_nnpu(words: np.ndarray, positive: Sets, unlabelled: Callable[[np.ndarray
     return Toxicity(words, x[:-1], float(x[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, min_llr: float = 16.0) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, min_llr: float = 16.0,
+          min_lift: float = 2.0) -> Toxicity:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both already cut to the training fold."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
@@ -258,7 +260,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, min_llr:
     candidates, held = buckets[held >= MIN_POSITIVE], held[held >= MIN_POSITIVE]
     n_unlabelled, rows = presence(docs, candidates)
     ratio = log_likelihood_ratio(held, len(positive), n_unlabelled, rows)
-    words = candidates[ratio >= min_llr]
+    by_positives, by_all = held / len(positive), n_unlabelled / rows
+    lifted = by_positives * (1 - prior) >= min_lift * (by_all - prior * by_positives)
+    words = candidates[(ratio >= min_llr) & lifted]
     if not len(words):
         return no_words(prior)
     place = {b: k for k, b in enumerate(words.tolist())}
