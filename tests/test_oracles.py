@@ -37,3 +37,16 @@ def test_same_rows(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_corrections_of_payments_that_share_a_number(spark, tmp_path):
+    """Order 16 of a customer isn't event 16 of a user: the event's later correction says nothing about the customer."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    at = "TIMESTAMP '2024-01-01' + to_days(CAST(d AS INT))"
+    con.execute(f"create table orders as select id as o_orderkey, 1 as o_custkey, {at} as o_orderdate from (values (16, 0), (1, 30), (24, 60)) t(id, d)")
+    con.execute(f"create table events as select id as event_id, {at} as ts, 7 as user_id, 'view' as event_type, 1.0 as value from (values (16, 90), (5, 91)) t(id, d)")
+    for t in ("orders", "events"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    got, want = QUERIES["sub_corrections"](spark, str(tmp_path)).toPandas(), con.execute(ORACLES["sub_corrections"]).df()
+    assert rows(got) == rows(want) and got.status.tolist() == ["DISMISSED"]
