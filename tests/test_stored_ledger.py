@@ -182,6 +182,24 @@ def test_pages_by_rows_resume_from_the_stored_cursor(spark, tmp_path):
     assert [(r.batch, r.processed) for r in s.read("scan_batches").where("batch is not null").orderBy("batch").collect()] == [(0, 3), (1, 3), (2, 2)]
 
 
+def test_pages_are_stored_in_runs_that_double(spark, tmp_path, monkeypatch):
+    """Forty pages are a handful of batches, each row is taken once, and rows of one id stay together."""
+    s, sizes = Store(spark, str(tmp_path / "store")), []
+    source = spark.createDataFrame([credit(i) for i in range(1, 79)] + [credit(4, 4001), credit(90), (None, "EXBANK", 5, "Rs.1.00 credited")], ingest.SCHEMA).repartition(5)
+    assert ingest.page_ends(source, 0, 50_000_000, None, 2)[:4] == [(1, 2), (3, 2), (4, 2), (6, 2)]
+    assert ingest.page_ends(source, 0, 50_000_000, 78, 2) == [(90, 1)] and ingest.page_ends(source, 0, 50_000_000, 90, 2) == []
+
+    def merger(*a):
+        def merge(batch, number):
+            ids = sorted(r.source_message_id or 0 for r in batch.collect())
+            sizes.append((number, len(ids), ids[0], ids[-1]))
+        return merge
+
+    monkeypatch.setattr(ingest, "merger", merger)
+    assert ingest.scan_pages(source, s, REGRESSION, "p", 0, 50_000_000, 2) == "COMPLETED"
+    assert sizes == [(0, 2, 0, 1), (1, 2, 2, 3), (2, 4, 4, 6), (3, 8, 7, 14), (4, 16, 15, 30), (5, 32, 31, 62), (6, 17, 63, 90)]
+
+
 def test_one_failing_message_stops_no_other(spark, tmp_path, monkeypatch):
     poison = lambda df: df.withColumn("body", F.when(F.col("source_message_id").isin(7, 1234), F.raise_error(F.lit("rule"))).otherwise(F.col("body")))
     monkeypatch.setattr(ingest, "scan", lambda batch, *a: scan(poison(batch), *a))
