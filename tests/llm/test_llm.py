@@ -719,6 +719,24 @@ def test_windows_follow_the_files(spark, tmp_path):
     assert (got.window == got.doc_id // 100).all()
 
 
+def test_quality_is_learned_from_all_rows(spark):
+    """Bins are cut at exact quantiles of more rows than were once taken of a label; Spark's sums over them give the model of the driver's."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["ab", "Cde", "f1", "gh,", "#", "ij.\n", "k"], k=r.randrange(1, 12))) for _ in range(13_000)]
+    good = [int(r.random() < (0.3 if "#" in t else 0.9)) for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), DOC)
+    labels = spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int")
+    model = rankquality.train(d, labels)
+    x = np.sort(rankquality.features(texts), 0)
+    at = np.ceil(np.arange(1, rankquality.BINS) * len(x) / rankquality.BINS).astype(int) - 1
+    assert (model.edges == x[at].T).all()
+    raw = np.sort(model.raw(rankquality.features(texts)))
+    n_bad = good.count(0)
+    assert raw[n_bad - 1] <= model.threshold <= raw[n_bad]
+    apart = rankquality.train(d.repartition(7), labels, gathered=0)
+    assert np.allclose(apart.score(x), model.score(x), atol=1e-3) and (apart.edges == model.edges).all()
+
+
 def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (4, "k l m n o p"), (4, "a b c d e f")], DOC)
     got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect())
