@@ -123,3 +123,7 @@ def test_keyset_page_pushes_both_filters_to_the_scan(spark, tmp_path):
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(source_message_id,4)" in plan and "GreaterThanOrEqual(received_ms,0)" in plan
     assert messages.page_state(page, 5).first().asDict() == {"next_id": 9, "n_rows": 5, "exhausted": False}
+
+
+def test_the_parse_of_the_same_rules_is_built_once(spark):
+    assert messages.outcome(REGRESSION) is messages.outcome(REGRESSION)
